@@ -32,8 +32,8 @@ ENSEMBLE = model({"name": "ensemble", "type": "weighted_ensemble", "clip_min": 0
 STATE_SQL = GRID_SQL + f""",
 obs AS (SELECT series_id, field, pos, value, row_number() OVER ({BY_FIELD}) AS k FROM grid WHERE value IS NOT NULL),
 st AS (SELECT *, avg(value) OVER w8 AS mean8, quantile_cont(value, 0.5) OVER w8 AS median8,
-  avg(value) OVER w8 + regr_slope(value, k) OVER w8 * (k - avg(k) OVER w8) AS fit8, regr_slope(value, k) OVER w8 AS slope8,
-  regr_slope(value, k) OVER w5 AS slope5
+  CASE WHEN k > 1 THEN avg(value) OVER w8 + regr_slope(value, k) OVER w8 * (k - avg(k) OVER w8) END AS fit8,
+  CASE WHEN k > 1 THEN regr_slope(value, k) OVER w8 END AS slope8, CASE WHEN k > 1 THEN regr_slope(value, k) OVER w5 END AS slope5
   FROM obs WINDOW w8 AS ({BY_FIELD} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW),
                   w5 AS ({BY_FIELD} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 h0 AS (SELECT g.series_id, g.field, g.pos, g.value AS raw,
