@@ -211,11 +211,12 @@ def pivot_forecast(tidy: DataFrame, targets: Sequence[str], horizons: Sequence[i
 def unpivot_forecast(wide: DataFrame, step_minutes: int = 15, keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
     from slotwise.functions.names import horizon_of, target_of
 
-    cells = [c for c in wide.columns if c not in keys]
-    long = wide.select(*keys, *[F.col(f"`{c}`").alias(c) for c in cells]).unpivot(
-        list(keys), [F.col(f"`{c}`") for c in cells], "column", "y_pred")
-    name = F.regexp_replace("column", "`", "")
-    return long.select(*keys, target_of(name).alias("field"), horizon_of(name, step_minutes).alias("horizon"), "y_pred")
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("y_pred")) for c in wide.columns if c not in keys])
+    long = wide.select(*keys, F.explode(cells).alias("_cell"))
+    name = F.col("_cell.column")
+    return long.select(*keys, target_of(name).alias("field"), horizon_of(name, step_minutes).alias("horizon"),
+                       F.col("_cell.y_pred").alias("y_pred"))
 
 
 def weighted_blend(long: DataFrame, weights: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
