@@ -80,11 +80,10 @@ def candidate_gate(
     return out.withColumn("reasons", listed).withColumn("passed", F.size("reasons") == 0)
 
 
-def two_window_gate(recent: DataFrame, cross_month: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Both windows must pass; gains are averaged, the worst fold of either counts."""
-    tagged = recent.withColumn("_w", F.lit("recent")).unionByName(cross_month.withColumn("_w", F.lit("cross_month")))
-    said = F.transform("reasons", lambda r: F.concat(F.col("_w"), F.lit(": "), r))
-    return tagged.withColumn("_said", said).groupBy(*by).agg(
+def two_window_gate(gates: DataFrame, window: str = "validation_type", by: Sequence[str] = ()) -> DataFrame:
+    """One verdict out of the gate rows of both windows: all must pass, the worst fold of either counts."""
+    said = F.transform("reasons", lambda r: F.concat(F.col(window), F.lit(": "), r))
+    return gates.withColumn("_said", said).groupBy(*by).agg(
         F.bool_and("passed").alias("passed"), F.avg("mean_gain").alias("mean_gain"),
         F.min("worst_gain").alias("worst_gain"), F.sum("improved_folds").alias("improved_folds"),
         F.array_sort(F.flatten(F.collect_list("_said"))).alias("reasons"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.numbers import ape_floor
+from slotwise.session import cut_lineage
 
 
 def fold_subset(tidy: DataFrame, kind: str, count: int, fold: str = "fold") -> DataFrame:
@@ -70,7 +71,8 @@ def diverse_shortlist(
     in this order until ``top_k``: the best, the best per target (hardest target first), the best of
     each preferred parameterization, winners of most columns, the best of each family, the rest.
     """
-    ranked = trials.where(F.col("value").isNotNull())
+    # one row per candidate, read by every tier below: stored once
+    ranked = cut_lineage(trials.where(F.col("value").isNotNull()))
     rank = F.struct("value", "number")
     best = ranked.agg(F.min_by(F.col("number"), rank).alias("number"), F.min_by(F.col("target_mape"), rank).alias("_hard"))
     tiers = [best.select("number", F.lit(0).alias("tier"), F.lit(0.0).alias("major"), F.lit("").alias("minor"))]

@@ -102,9 +102,7 @@ SELECT bool_and(passed) AS passed, {sig_sql("avg(mg)")} AS mean_gain, {sig_sql("
 """)
 def two_window_gate_query(spark, sf):
     base, cand = _arms(spark, sf)
-    part = lambda kind: candidate_gate(
-        base.where(F.col("validation_type") == kind), cand.where(F.col("validation_type") == kind))
-    return two_window_gate(part("recent"), part("cross_month")).select(
+    return two_window_gate(candidate_gate(base, cand, by=["validation_type"])).select(
         "passed", *sigs(["mean_gain", "worst_gain"]), "improved_folds")
 
 
