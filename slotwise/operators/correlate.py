@@ -61,7 +61,7 @@ def least_squares(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], t
 
     Rows stay distributed; the solve sees one row of K x K covariances per group.
     """
-    complete = rows.where(_complete([*fields, target]))
+    complete = rows.where(complete_row([*fields, target]))
     moments = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("y_mean")]
     moments += [F.avg(f).alias(f"m_{i}") for i, f in enumerate(fields)]
     moments += [F.covar_pop(f, target).alias(f"b_{i}") for i, f in enumerate(fields)]
@@ -88,7 +88,7 @@ def least_squares(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], t
     return grouped.mapInPandas(solve, schema)
 
 
-def _complete(columns: Sequence[str]) -> Column:
+def complete_row(columns: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in columns:
         out = out & F.col(c).isNotNull()
@@ -103,6 +103,6 @@ def fitted(fields: Sequence[str], intercept: str = "intercept", coefficients: st
 
 
 def with_residual(rows: DataFrame, fit: DataFrame, keys: Sequence[str], fields: Sequence[str], target: str) -> DataFrame:
-    complete = rows.where(_complete([*fields, target]))
+    complete = rows.where(complete_row([*fields, target]))
     joined = complete.join(fit, list(keys)) if keys else complete.crossJoin(fit)
     return joined.withColumn("residual", F.col(target) - fitted(fields))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from slotwise.functions.slots import slot_start
 from slotwise.operators.blocks import running_total, with_halo
 from slotwise.operators.clean import constant_runs
-from slotwise.operators.correlate import lag_moments, least_squares, shift_risk, with_residual
+from slotwise.operators.correlate import complete_row, lag_moments, least_squares, shift_risk, with_residual
 from slotwise.operators.order_stats import exact_quantiles
 
 SITE = ("series_id",)
@@ -57,11 +57,8 @@ def multivariate_fit(wide: DataFrame, fields: Sequence[str], target: str, train_
 
     (keys, target, rows, test_rows, r2, residual_ratio, intercept, coefficients).
     """
-    present = F.lit(True)
-    for c in (*fields, target):
-        present = present & F.col(c).isNotNull()
     complete = wide.select(*keys, "pos", *fields, F.col(target).alias("_y")).where(
-        present if target in fields else _all_present(fields) & F.col("_y").isNotNull())
+        complete_row([*fields, "_y"]))
     numbered = running_total(complete, keys, F.lit(1).cast("bigint"), "_k", block=block)
     sizes = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     cut = F.greatest(F.lit(20), F.floor(F.col("rows") * train_share))
@@ -80,13 +77,6 @@ def multivariate_fit(wide: DataFrame, fields: Sequence[str], target: str, train_
         "intercept", "coefficients")
 
 
-def _all_present(columns):
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(c).isNotNull()
-    return out
-
-
 def strongest(fit: DataFrame, fields: Sequence[str], count: int = 8) -> DataFrame:
     """The fields with the largest coefficients, as JSON (a report of at most ``count`` entries)."""
     names = F.array(*[F.lit(f) for f in fields])
