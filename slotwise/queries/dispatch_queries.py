@@ -231,37 +231,39 @@ def _inputs(spark, sf):
 
 
 @query("dispatch_input", "WITH " + RESOURCE_SQL + f"""
-SELECT series_id, target_pos, 'blast' AS gas_type, {sig_sql("pb")} AS production, {sig_sql("holder")} AS initial_storage,
+SELECT series_id, target_pos, gas_type, {sig_sql("production")} AS production, {sig_sql("initial_storage")} AS initial_storage,
   CASE WHEN hour(t) BETWEEN 8 AND 10 OR hour(t) BETWEEN 17 AND 21 THEN 1.0 WHEN hour(t) < 7 OR hour(t) >= 23 THEN 0.35 ELSE 0.65 END::DOUBLE AS price
-FROM (SELECT *, make_timestamp(target_pos * 3600000000) AS t FROM rf)
+FROM (SELECT series_id, target_pos, 'blast' AS gas_type, pb AS production, holder AS initial_storage, make_timestamp(target_pos * 3600000000) AS t FROM rf
+  UNION ALL SELECT series_id, target_pos, 'coke', pc, NULL, make_timestamp(target_pos * 3600000000) FROM rf)
 """)
 def dispatch_input_query(spark, sf):
-    return _inputs(spark, sf).where("gas_type = 'blast'").select(
-        "series_id", "target_pos", "gas_type", sig("production"), sig("initial_storage"), "price")
+    return _inputs(spark, sf).select("series_id", "target_pos", "gas_type", sig("production"), sig("initial_storage"), "price")
 
 
-@query("dispatch_input_contract", "WITH " + RESOURCE_SQL + """
-SELECT series_id AS plan_id, 'blast' AS gas_type, count(*) FILTER (pb IS NULL OR db IS NULL) AS non_finite, count(*) FILTER (pb < 0 OR db < 0) AS negative,
-  count(*) FILTER (NOT coalesce(holder BETWEEN 200 * 0.15 AND 200 * 0.9, false)) AS storage_outside,
-  CASE WHEN count(*) FILTER (pb IS NULL OR db IS NULL) = 0 AND count(*) FILTER (NOT coalesce(holder BETWEEN 200 * 0.15 AND 200 * 0.9, false)) = 0
-    THEN 'passed' ELSE 'failed' END AS status FROM rf GROUP BY 1
+@query("dispatch_input_contract", "WITH " + RESOURCE_SQL + """,
+i AS (SELECT series_id AS plan_id, 'blast' AS gas_type, pb AS p, db AS d, coalesce(holder BETWEEN 200 * 0.15 AND 200 * 0.9, false) AS ok FROM rf
+  UNION ALL SELECT series_id, 'coke', pc, dc, false FROM rf)
+SELECT plan_id, gas_type, count(*) FILTER (p IS NULL OR d IS NULL) AS non_finite, count(*) FILTER (p < 0 OR d < 0) AS negative,
+  count(*) FILTER (NOT ok) AS storage_outside,
+  CASE WHEN count(*) FILTER (p IS NULL OR d IS NULL OR p < 0 OR d < 0 OR NOT ok) = 0 THEN 'passed' ELSE 'failed' END AS status FROM i GROUP BY 1, 2
 """)
 def dispatch_input_contract(spark, sf):
-    rows = _inputs(spark, sf).where("gas_type = 'blast'").select(
+    rows = _inputs(spark, sf).select(
         F.col("series_id").alias("plan_id"), F.col("target_pos").alias("pos"), "gas_type", "production", "demand", "initial_storage", "price")
-    return input_rules(rows, 24, {"blast": 200.0}).select("plan_id", "gas_type", "non_finite", "negative", "storage_outside", "status")
+    return input_rules(rows, 24, {"blast": 200.0, "coke": 200.0}).select(
+        "plan_id", "gas_type", "non_finite", "negative", "storage_outside", "status")
 
 
 @query("asof_holder", "WITH " + GRID_SQL + f"""
 SELECT e.event_id, e.series_id, {sig_sql("arg_max(g.value, g.pos)")} AS holder
-FROM (SELECT event_id, series_id, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS pos FROM raw WHERE field = 'purchase') e
+FROM (SELECT event_id, series_id, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS pos FROM raw) e
 LEFT JOIN grid g ON g.series_id = e.series_id AND g.field = 'view' AND g.pos <= e.pos AND g.value IS NOT NULL GROUP BY 1, 2
 """)
 def asof_holder(spark, sf):
     from slotwise.functions.slots import slot_ceil
     from slotwise.queries.base import readings
 
-    probes = readings(spark, sf).where("field = 'purchase'").select("event_id", "series_id", slot_ceil("ts", HOUR).alias("pos"))
+    probes = readings(spark, sf).select("event_id", "series_id", slot_ceil("ts", HOUR).alias("pos"))
     facts = hourly_grid(spark, sf).where("field = 'view'")
     return asof_last(facts, probes, ["series_id"], "value", "holder", block=200).select("event_id", "series_id", sig("holder"))
 

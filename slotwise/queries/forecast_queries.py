@@ -13,7 +13,7 @@ from slotwise.plans.metrics import (
     summarize, tail_errors,
 )
 from slotwise.plans.splits import MonthStart, Recent, Rolling, add_folds, fold_table, split_integrity
-from slotwise.queries.base import BY_FIELD, DAY, GRID_SQL, HOUR, hourly_grid, query, sig, sig_sql, sigs, table
+from slotwise.queries.base import BY_FIELD, DAY, FIELDS, GRID_SQL, HOUR, hourly_grid, query, sig, sig_sql, sigs, table
 
 HORIZONS = tuple(range(1, 9))
 LAST = Model("last_value", "last_value")
@@ -384,26 +384,23 @@ def alignment_query(spark, sf):
 @query("wide_forecast", "WITH " + STATE_SQL + """
 SELECT a.series_id, a.pos, """ + ", ".join(
     sig_sql(f"max(CASE WHEN field = '{t}' AND horizon = {h} THEN mean8 END)") + f' AS "{t}_t+{60 * h}_pred"'
-    for t in ("click", "view") for h in (1, 2)) + " FROM ask a WHERE field IN ('click', 'view') GROUP BY 1, 2")
+    for t in FIELDS for h in HORIZONS) + " FROM ask a GROUP BY 1, 2")
 def wide_forecast(spark, sf):
-    grid = hourly_grid(spark, sf).where(F.col("field").isin("click", "view"))
-    tidy = forecast(grid, [MEAN], (1, 2)).withColumnRenamed("mean_8", "y_pred")
-    wide = pivot_forecast(tidy, ("click", "view"), (1, 2), 60)
+    tidy = forecast(hourly_grid(spark, sf), [MEAN], HORIZONS).withColumnRenamed("mean_8", "y_pred")
+    wide = pivot_forecast(tidy, FIELDS, HORIZONS, 60)
     return wide.select("series_id", "pos", *[sig(F.col(f"`{c}`"), c) for c in wide.columns[2:]])
 
 
 @query("parse_forecast_columns", "WITH " + STATE_SQL + f"""
 SELECT a.series_id, a.pos, field, CAST(horizon AS INTEGER) AS horizon, {sig_sql("last")} AS y_pred FROM ask a
-WHERE field IN ('click', 'view') AND horizon <= 2
 UNION ALL
 SELECT k.series_id, k.pos, t.field, CAST(x.h AS INTEGER), NULL
-FROM (SELECT DISTINCT series_id, pos FROM ask WHERE field IN ('click', 'view')) k, (VALUES ('click'), ('view')) AS t(field), unnest([1, 2]) AS x(h)
+FROM (SELECT DISTINCT series_id, pos FROM ask) k, (SELECT DISTINCT field FROM grid) t, unnest(generate_series(1, 8)) AS x(h)
 WHERE NOT EXISTS (SELECT 1 FROM ask b WHERE b.series_id = k.series_id AND b.pos = k.pos AND b.field = t.field)
 """)
 def parse_forecast_columns(spark, sf):
-    grid = hourly_grid(spark, sf).where(F.col("field").isin("click", "view"))
-    tidy = forecast(grid, [LAST], (1, 2)).withColumnRenamed("last_value", "y_pred")
-    wide = pivot_forecast(tidy, ("click", "view"), (1, 2), 60)
+    tidy = forecast(hourly_grid(spark, sf), [LAST], HORIZONS).withColumnRenamed("last_value", "y_pred")
+    wide = pivot_forecast(tidy, FIELDS, HORIZONS, 60)
     return unpivot_forecast(wide, 60).select("series_id", "pos", "field", "horizon", sig("y_pred"))
 
 

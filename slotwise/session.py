@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, app: str = "slotwise", **conf: str) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SLOTWISE_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
