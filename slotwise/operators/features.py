@@ -158,3 +158,10 @@ def adjacent_pairs(rows: DataFrame, keys: Sequence[str], state: str, order: str
     paired = with_halo(rows, keys, compute, back=1, order=order, block=block)
     return paired.where(
         (F.col(order) - F.col(f"prev_{order}") == 1) & (F.col(state) == F.col(f"prev_{state}")))
+
+
+def flag_features(cleaned: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
+    """Missing flag, missing run, outlier flag and robust value of every field as wide features."""
+    parts = {"feat_missing__": "missing", "feat_missing_run__": "missing_run", "feat_outlier__": "outlier", "feat_robust__": "robust"}
+    return cleaned.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("field") == f, F.col(source))).alias(prefix + f) for f in fields for prefix, source in parts.items()])

@@ -210,3 +210,9 @@ def setpoints(grid: DataFrame, step: float = 1.0, count: int = 10, keys: Sequenc
 def plan_fields(fields: DataFrame, registry: DataFrame) -> DataFrame:
     return fields.join(registry.where("is_plan"), "field").select(
         "field", "available_at_origin", "allow_short", "allow_long", "pending")
+
+
+def relation_summary(summaries: DataFrame, delays: DataFrame) -> DataFrame:
+    """Counts of fitted relations, of those strong enough, and of delay candidates."""
+    fitted = summaries.agg(F.count(F.lit(1)).alias("linear_relations"), F.count_if("candidate").alias("candidate_relations"))
+    return fitted.crossJoin(delays.agg(F.count(F.lit(1)).alias("delay_candidates")))

@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slotwise.functions.names import forecast_columns
 from slotwise.functions.numbers import finite
+from slotwise.operators.blocks import with_halo
 
 
 class ContractError(AssertionError):
@@ -67,12 +67,8 @@ def check_request(grid: DataFrame, origins: DataFrame, targets: Sequence[str], h
 
 def input_frame_rules(frame: DataFrame, columns: Sequence[str], key: str = "series_id") -> DataFrame:
     """Contract of a model-input frame: one row per slot, no hole, every cell finite."""
-    size = 8192
-    from slotwise.operators.blocks import with_halo
-
     stepped = with_halo(
-        frame, [key], lambda rows, w: rows.withColumn("_prev", F.lag("pos").over(w)), back=1, block=size)
-    first = Window.partitionBy(key)
+        frame, [key], lambda rows, w: rows.withColumn("_prev", F.lag("pos").over(w)), back=1)
     cells = [F.col(c) for c in columns]
     bad_cells = sum((finite(c).isNull().cast("bigint") for c in cells), F.lit(0).cast("bigint"))
     spans = frame.groupBy(key).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("rows"))
@@ -80,7 +76,6 @@ def input_frame_rules(frame: DataFrame, columns: Sequence[str], key: str = "seri
         F.count_if(F.col("_prev") == F.col("pos")).alias("repeated"),
         F.count_if(F.col("pos") - F.col("_prev") > 1).alias("holes"),
         F.sum("_bad").alias("non_finite"))
-    del first
     return spans.join(scanned, key).withColumn(
         "status", F.when(F.expr("repeated = 0 AND holes = 0 AND non_finite = 0"), "passed").otherwise("failed"))
 
@@ -146,3 +141,20 @@ def bundle_rules(parts: Mapping[str, DataFrame]) -> DataFrame:
 def target_time_errors(tidy: DataFrame) -> DataFrame:
     """Rows whose target slot is not origin + horizon."""
     return tidy.where(F.col("target_pos") != F.col("pos") + F.col("horizon"))
+
+
+def aligned_sources(frames: Mapping[str, DataFrame], columns: int, rows: int, keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
+    """Contract of several forecast tables that are to be blended: shape, unique origins, one time axis."""
+    names = list(frames)
+    out = None
+    for name, df in frames.items():
+        cells = [c for c in df.columns if c not in keys]
+        empty = sum((finite(F.col(f"`{c}`")).isNull().cast("int") for c in cells), F.lit(0)) > 0
+        part = df.agg(
+            F.lit(name).alias("table"), (F.lit(len(cells)) != columns).cast("bigint").alias("wrong_columns"),
+            F.abs(F.count(F.lit(1)) - F.lit(rows)).alias("row_difference"),
+            (F.count(F.lit(1)) - F.count_distinct(*keys)).alias("repeated_origins"), F.count_if(empty).alias("non_finite"))
+        other = origin_difference(df, frames[names[0]], keys).agg(F.count(F.lit(1)).alias("axis_difference"))
+        part = part.crossJoin(other)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -185,14 +185,20 @@ def resource_forecast(wide: DataFrame, roles: Roles, generation: str, rule: Mode
 
 def dispatch_input(
     wide: DataFrame, roles: Roles, generation: str, rule: Model, periods: int, origins: DataFrame, step_seconds: int,
-    price: Column | None = None,
+    price_field: str | None = None,
 ) -> DataFrame:
-    """Forecast resources with the last known holder level at the origin and a price path."""
+    """Forecast resources with the last known holder level at the origin and a price path.
+
+    A price field is forecast like the resources; without one the hourly tariff is the price.
+    """
     plan = resource_forecast(wide, roles, generation, rule, periods, origins)
     holders = lengthen(wide.select("series_id", "pos", *dict.fromkeys(roles.holder.values())), list(dict.fromkeys(roles.holder.values())))
     probes = origins.select("series_id", "pos").distinct().withColumn("field", F.explode(F.array(*[
         F.lit(c) for c in dict.fromkeys(roles.holder.values())])))
     level = asof_last(holders, probes, ["series_id", "field"], "value", "initial_storage")
     holder = F.coalesce(*[F.when(F.col("gas_type") == g, F.lit(c)) for g, c in roles.holder.items()], F.lit(None).cast("string"))
-    paid = tariff(slot_start("target_pos", step_seconds)) if price is None else price
-    return plan.withColumn("field", holder).join(level, ["series_id", "pos", "field"], "left").drop("field").withColumn("price", paid)
+    held = plan.withColumn("field", holder).join(level, ["series_id", "pos", "field"], "left").drop("field")
+    if price_field is None:
+        return held.withColumn("price", tariff(slot_start("target_pos", step_seconds)))
+    path = forecast(lengthen(wide.select("series_id", "pos", price_field), [price_field]), [rule], list(range(1, periods + 1)), origins)
+    return held.join(path.select("series_id", "pos", "target_pos", F.col(rule.name).alias("price")), ["series_id", "pos", "target_pos"], "left")

@@ -240,9 +240,21 @@ def dispatch_input_query(spark, sf):
     return _inputs(spark, sf).select("series_id", "target_pos", "gas_type", sig("production"), sig("initial_storage"), "price")
 
 
+@query("price_path", "WITH " + RESOURCE_SQL + f""",
+pl AS (SELECT series_id, arg_max(purchase, pos) FILTER (purchase IS NOT NULL) AS last FROM wide GROUP BY 1)
+SELECT rf.series_id, rf.target_pos, {sig_sql("coalesce(w.purchase, pl.last)")} AS price
+FROM rf JOIN pl USING (series_id) LEFT JOIN wide w ON w.series_id = rf.series_id AND w.pos = rf.target_pos - 24
+""")
+def price_path(spark, sf):
+    wide = hourly_wide(spark, sf)
+    origins = wide.groupBy("series_id").agg(F.max("pos").alias("pos"))
+    out = dispatch_input(wide, GAS_ROLES, "view", DAILY, 24, origins, HOUR, price_field="purchase")
+    return out.groupBy("series_id", "target_pos").agg(sig(F.max("price"), "price"))
+
+
 @query("dispatch_input_contract", "WITH " + RESOURCE_SQL + """,
 i AS (SELECT series_id AS plan_id, 'blast' AS gas_type, pb AS p, db AS d, coalesce(holder BETWEEN 200 * 0.15 AND 200 * 0.9, false) AS ok FROM rf
-  UNION ALL SELECT series_id, 'coke', pc, dc, false FROM rf)
+  UNION ALL SELECT series_id, 'coke', pc, pc, false FROM rf)
 SELECT plan_id, gas_type, count(*) FILTER (p IS NULL OR d IS NULL) AS non_finite, count(*) FILTER (p < 0 OR d < 0) AS negative,
   count(*) FILTER (NOT ok) AS storage_outside,
   CASE WHEN count(*) FILTER (p IS NULL OR d IS NULL OR p < 0 OR d < 0 OR NOT ok) = 0 THEN 'passed' ELSE 'failed' END AS status FROM i GROUP BY 1, 2

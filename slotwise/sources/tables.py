@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.functions.numbers import combine, to_number
-from slotwise.functions.slots import slot_start
+from slotwise.functions.slots import slot_of, slot_start
 from slotwise.operators.grid import align, collapse, lengthen, resample
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -133,8 +133,6 @@ def table_quality(df: DataFrame, spec: TableSpec, step_seconds: int) -> DataFram
     rows = df.select(
         (F.col(spec.series).cast("string") if spec.series else F.lit("series_0")).alias("series_id"),
         parse_time(df, spec.time_column, spec.time_format).alias("ts"))
-    from slotwise.functions.slots import slot_of
-
     moments = rows.groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("n"))
     slots = moments.withColumn("pos", slot_of("ts", step_seconds)).groupBy("series_id", "pos").agg(
         F.sum("n").alias("rows"), F.count("ts").alias("moments"))
@@ -226,3 +224,32 @@ def forecast_origins(
         return slots
     ends = slots.groupBy(key).agg(F.max("pos").alias("_end"))
     return slots.join(ends, key).where(F.col("pos") > F.col("_end") - last).drop("_end")
+
+
+def write_checked(df: DataFrame, path: str, rules, kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Write a table only if it keeps its rules, read it back and check the stored copy again.
+
+    ``rules`` maps a table to its report (check, broken, status); returns the reader of the stored table.
+    """
+    from slotwise.plans.contracts import require_zero
+
+    require_zero(rules(df).where("status = 'failed'"), "table breaks its contract before writing")
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+    spark = df.sparkSession
+    stored = (spark.read.option("header", True).schema(schema or df.schema).csv(path) if kind == "csv" else spark.read.parquet(path))
+    require_zero(rules(stored).where("status = 'failed'"), "stored table breaks its contract")
+    return stored
+
+
+def feature_family(names: Sequence[str], family: str, target: str | None = None) -> list[str]:
+    """Names of a feature family: everything, the target's own features, or a compact set."""
+    if family == "all":
+        return list(names)
+    own = [n for n in names if target and (f"_{target}" in n)]
+    if family == "target":
+        return own
+    if family == "compact":
+        short = ("_current_", "_diff_", "_accel_", "_lag_", "feat_time_", "feat_state_")
+        return [n for n in names if n.startswith("feat_time_") or (n in own and any(k in n for k in short))]
+    raise ValueError(f"unknown feature family {family!r}")
