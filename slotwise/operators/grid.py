@@ -105,9 +105,8 @@ def align(tables: Mapping[str, DataFrame], sum_fields: Sequence[str] = ()) -> Da
     owners = per_table.select("series_id", "table", "t_lo", "t_hi", F.explode("fields").alias("field"))
     clash = owners.groupBy("series_id", "field").agg(
         F.min("t_lo").alias("t_lo"), F.max("t_hi").alias("t_hi"), F.count(F.lit(1)).alias("owners"))
-    checked = clash.withColumn(
-        "t_lo", F.when(F.col("owners") == 1, F.col("t_lo")).otherwise(
-            F.raise_error(F.concat(F.lit("field comes from several tables: "), F.col("field")))))
+    refuse = F.raise_error(F.concat(F.lit("field comes from several tables: "), F.col("field"))).cast("boolean")
+    checked = clash.where(F.when(F.col("owners") > 1, refuse).otherwise(F.lit(True)))
     slots = slot_skeleton(checked.drop("owners").join(whole, "series_id"))
     joined = slots.join(stacked.drop("table"), ["series_id", "field", "pos"], "left")
     in_own = F.col("pos").between(F.col("t_lo"), F.col("t_hi"))

@@ -173,6 +173,10 @@ def blend_report(rows: DataFrame, prediction: str, by: Sequence[str]) -> DataFra
         F.count(F.lit(1)).alias("samples"), F.avg(ape_floor("y_true", prediction)).alias("mape"))
 
 
+def _sum_at(rows: Column, place: int) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + F.get(r["_loss"], F.lit(place)))
+
+
 def hard_winner(
     wide: DataFrame, models: Sequence[str], cell: Sequence[str] = CELL, fold: str = "fold",
     prefixes: Mapping[str, float] | None = None, masks: DataFrame | None = None,
@@ -190,10 +194,17 @@ def hard_winner(
         per_fold = per_fold.join(masks.select(*cell, "mask"), list(cell))
     else:
         per_fold = per_fold.withColumn("mask", F.array(*[F.lit(True)] * len(models)))
+    # a cell has one row per fold; the folds other than the held one are added up directly, because
+    # a total minus a very bad fold would lose the digits of the others
     whole = Window.partitionBy(*cell)
-    sums = F.array(*[F.sum(F.get("_loss", F.lit(i))).over(whole) for i in range(len(models))])
-    rated = per_fold.withColumns({
-        "_all": sums, "_wall": F.sum("_w").over(whole), "_nall": F.sum("_n").over(whole)})
+    listed = F.array_sort(F.collect_list(F.struct("held", "_w", "_n", "_loss")).over(whole))
+    rated = per_fold.withColumn("_folds", listed)
+
+    def pooled(rows: Column) -> tuple[Column, Column, Column]:
+        total = F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r["_w"])
+        count = F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, r: acc + r["_n"])
+        return total, count, F.array(*[_sum_at(rows, i) for i in range(len(models))])
+
     names = F.array(*[F.lit(m) for m in models])
 
     def champion(losses: Column, total: Column) -> Column:
@@ -201,18 +212,17 @@ def hard_winner(
             losses, lambda x, i: F.when(F.get(F.col("mask"), i), F.struct((x / total).alias("loss"), i.alias("i"))))
         return F.array_min(F.array_compact(numbered))
 
-    others = F.zip_with("_all", "_loss", lambda a, b: a - b)
-    rest = F.col("_wall") - F.col("_w")
-    held = rated.withColumn("_best", F.when(rest > 0, champion(others, rest))).select(
+    rest_w, rest_n, rest_loss = pooled(F.filter("_folds", lambda r: r["held"] != F.col("held")))
+    held = rated.withColumn("_best", F.when(rest_w > 0, champion(rest_loss, rest_w))).select(
         *cell, "held", F.get(names, F.col("_best.i")).alias("winner"),
-        (F.col("_nall") - F.col("_n")).alias("selection_samples"), F.col("_best.loss").alias("selection_mape"),
+        rest_n.alias("selection_samples"), F.col("_best.loss").alias("selection_mape"),
         F.col("_n").alias("held_out_samples"),
         F.when(F.col("_n") > 0, F.get("_plain", F.col("_best.i")) / F.col("_n")).alias("held_out_mape"))
-    final = rated.where(F.col("_wall") > 0).dropDuplicates(list(cell)).withColumn(
-        "_best", champion(F.col("_all"), F.col("_wall"))).select(
-            *cell, F.lit(None).cast("string").alias("held"), F.get(names, F.col("_best.i")).alias("winner"),
-            F.col("_nall").alias("selection_samples"), F.col("_best.loss").alias("selection_mape"),
-            F.lit(None).cast("bigint").alias("held_out_samples"), F.lit(None).cast("double").alias("held_out_mape"))
+    all_w, all_n, all_loss = pooled(F.col("_folds"))
+    final = rated.dropDuplicates(list(cell)).where(all_w > 0).withColumn("_best", champion(all_loss, all_w)).select(
+        *cell, F.lit(None).cast("string").alias("held"), F.get(names, F.col("_best.i")).alias("winner"),
+        all_n.alias("selection_samples"), F.col("_best.loss").alias("selection_mape"),
+        F.lit(None).cast("bigint").alias("held_out_samples"), F.lit(None).cast("double").alias("held_out_mape"))
     return held.unionByName(final)
 
 
