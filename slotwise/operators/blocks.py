@@ -47,6 +47,12 @@ def with_halo(
     return compute(spread, window).where(F.col("_blk") == here).drop("_blk")
 
 
+def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a one-row aggregate, fetched once as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return rows.withColumn("_one", packed).select(*rows.columns, "_one.*")
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str],

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.operators.blocks import with_halo
+from slotwise.operators.blocks import beside, with_halo
 
 
 def lag_moments(
@@ -104,5 +104,5 @@ def fitted(fields: Sequence[str], intercept: str = "intercept", coefficients: st
 
 def with_residual(rows: DataFrame, fit: DataFrame, keys: Sequence[str], fields: Sequence[str], target: str) -> DataFrame:
     complete = rows.where(complete_row([*fields, target]))
-    joined = complete.join(fit, list(keys)) if keys else complete.crossJoin(fit)
+    joined = complete.join(fit, list(keys)) if keys else beside(complete, fit)
     return joined.withColumn("residual", F.col(target) - fitted(fields))

@@ -42,7 +42,7 @@ def collapse(
     aggregates = [_aggregate(m, F.col(c), order).alias(c) for c, m in plain.items()]
     out = df.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias("_rows")]))
     for column in [c for c, m in methods.items() if m == "median"]:
-        middle = exact_quantiles(df, keys, F.col(column), {column: 0.5}, ranges=8).drop("n")
+        middle = exact_quantiles(df, keys, F.col(column), {column: 0.5}).drop("n")
         out = out.join(middle, list(keys), "left")
     return out.select(*keys, *methods)
 

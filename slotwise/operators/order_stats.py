@@ -1,9 +1,10 @@
 """Exact order statistics of groups that may be as large as the table.
 
-Spark's ``percentile`` keeps a whole group in one task. Here equal values are first
-collapsed to counts, each group is cut into value ranges by an approximate sketch (only
-the *cuts* are approximate), ranks inside a range come from a window per range, and the
-offset of a range from a table of at most ``ranges`` rows per group.
+Spark's ``percentile`` keeps a whole group in one task. Here equal values are first collapsed
+to counts; the value axis is cut into ranges that hold about equally many collapsed rows, whatever
+their group (a sketch finds the *cuts*, never a result); ranks inside a range come from a window per
+group and range, and the offset of a range from the short table of range sizes. So no task holds
+more than one range, even if a single group is the whole table.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotwise.operators.blocks import beside
+
 # fixed values: names of the interpolation rules between two order statistics
 INTERPOLATIONS = ("linear", "lower", "higher", "midpoint", "nearest")
 
 
+def _range_count(df: DataFrame) -> int:
+    return min(16384, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def ranked_mass(
-    df: DataFrame, keys: Sequence[str], value: Column, mass: Column | None = None, ranges: int = 32,
+    df: DataFrame, keys: Sequence[str], value: Column, mass: Column | None = None, ranges: int | None = None,
 ) -> DataFrame:
     """(keys, value, lo, hi, total): cumulative mass before and after every distinct value."""
     mass = F.lit(1).cast("bigint") if mass is None else mass
@@ -29,14 +36,17 @@ def ranked_mass(
         .where(F.col("value").isNotNull())
         .groupBy(*keys, "value").agg(F.sum("mass").alias("mass"))
     )
+    ranges = ranges or _range_count(df)
+    stride = math.isqrt(ranges) + 1
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = distinct.groupBy(*keys).agg(F.percentile_approx("value", steps, 1000).alias("_cuts"))
-    placed = (
-        distinct.join(cuts, list(keys)) if keys else distinct.crossJoin(cuts)
-    ).select(
+    cuts = distinct.agg(F.percentile_approx("value", steps, max(10_000, 4 * ranges)).alias("_cuts"))
+    # every stride-th cut finds the stretch, the cuts of that stretch find the range
+    cuts = cuts.select("_cuts", F.filter("_cuts", lambda c, i: (i + 1) % stride == 0).alias("_coarse"))
+    below = lambda c: c < F.col("value")
+    skipped = F.size(F.filter("_coarse", below)) * stride
+    placed = beside(distinct, cuts).withColumn("_skip", skipped).select(
         *keys, "value", "mass",
-        F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("_range"),
-    )
+        (F.col("_skip") + F.size(F.filter(F.slice("_cuts", F.col("_skip") + 1, F.lit(stride)), below))).alias("_range"))
     sizes = placed.groupBy(*keys, "_range").agg(F.sum("mass").alias("_size"))
     ordered = Window.partitionBy(*keys).orderBy("_range")
     offsets = sizes.select(
@@ -59,7 +69,7 @@ def ranked_mass(
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[str, float],
-    interpolations: Sequence[str] = ("linear",), ranges: int = 32,
+    interpolations: Sequence[str] = ("linear",), ranges: int | None = None,
 ) -> DataFrame:
     """One row per group; column ``<name>`` (linear) or ``<name>_<rule>`` when several rules are asked."""
     unknown = set(interpolations) - set(INTERPOLATIONS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from slotwise.operators.blocks import with_halo
+from slotwise.operators.blocks import beside, with_halo
 from slotwise.session import cut_lineage
 
 MAD_SCALE = 1.4826  # fixed value: MAD of a normal variable to its standard deviation
@@ -82,16 +82,16 @@ def nearest(
         # chunk numbers follow a hash, so they are even whatever the identifiers look like
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         parts = F.ceil(F.col("_rows") / F.lit(chunk)).cast("int")
-        joined = df.join(sizes, list(keys)) if keys else df.crossJoin(sizes)
+        joined = df.join(sizes, list(keys)) if keys else beside(df, sizes)
         # fresh column identities: both sides usually come from the same table
         own = [F.col(c).alias(c) for c in keys]
         return joined.select(*own, F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
                              F.pmod(F.xxhash64(F.col(ident)), parts).cast("int").alias(name), parts.alias(f"_n{name}"))
 
     left, right = chunked(queries, "_q"), chunked(candidates, "_c")
-    q_parts = left.select(*keys, F.col("_n_q")).distinct() if keys else left.select("_n_q").distinct()
-    c_parts = right.select(*keys, F.col("_n_c")).distinct() if keys else right.select("_n_c").distinct()
-    meet = lambda df, other: df.join(other, list(keys)) if keys else df.crossJoin(F.broadcast(other))
+    q_parts = left.groupBy(*keys).agg(F.max("_n_q").alias("_n_q"))
+    c_parts = right.groupBy(*keys).agg(F.max("_n_c").alias("_n_c"))
+    meet = lambda df, other: df.join(other, list(keys)) if keys else beside(df, other)
     left = meet(left, c_parts).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n_c") - 1)))
     right = meet(right, q_parts).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n_q") - 1)))
     id_type = queries.schema[ident].dataType

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.slots import slot_start
-from slotwise.operators.blocks import running_total, with_halo
+from slotwise.operators.blocks import beside, running_total, with_halo
 from slotwise.operators.clean import constant_runs
 from slotwise.operators.correlate import complete_row, lag_moments, least_squares, shift_risk, with_residual
 from slotwise.operators.order_stats import exact_quantiles
@@ -215,4 +215,4 @@ def plan_fields(fields: DataFrame, registry: DataFrame) -> DataFrame:
 def relation_summary(summaries: DataFrame, delays: DataFrame) -> DataFrame:
     """Counts of fitted relations, of those strong enough, and of delay candidates."""
     fitted = summaries.agg(F.count(F.lit(1)).alias("linear_relations"), F.count_if("candidate").alias("candidate_relations"))
-    return fitted.crossJoin(delays.agg(F.count(F.lit(1)).alias("delay_candidates")))
+    return beside(fitted, delays.agg(F.count(F.lit(1)).alias("delay_candidates")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.numbers import ape_floor, finite
-from slotwise.operators.blocks import asof_last
+from slotwise.operators.blocks import asof_last, beside
 from slotwise.session import cut_lineage
 
 # fixed values: signals, centres, windows and shares of the full grid
@@ -116,10 +116,9 @@ def recipe(compensated: DataFrame, by: Sequence[str] = (), prefix: str = "cross_
     rated = compensated.where(F.col("fold").startswith(prefix) & F.col("y_true").isNotNull())
     sums = cut_lineage(rated.groupBy(*cell, "fold", "setting").agg(
         F.sum(ape_floor("y_true", "y_comp")).alias("e"), F.count("y_comp").alias("n")))
-    folds = sums.select(F.col("fold").alias("held")).distinct().unionByName(
-        sums.select(F.lit(None).cast("string").alias("held")).limit(1))
-    # folds are a handful of names; the sums table is one row per cell, fold and setting
-    training = sums.crossJoin(F.broadcast(folds)).where(F.col("held").isNull() | (F.col("held") != F.col("fold")))
+    names = sums.agg(F.array_append(F.array_sort(F.collect_set("fold")), F.lit(None).cast("string")).alias("_names"))
+    others = F.filter("_names", lambda held: held.isNull() | (held != F.col("fold")))
+    training = beside(sums, names).withColumn("held", F.explode(others)).drop("_names")
     cells = training.groupBy(*cell, "held", "setting").agg((F.sum("e") / F.sum("n")).alias("m"))
     scores = cells.groupBy(*by, "held", "setting").agg((100 * (1 - F.avg("m"))).alias("score"))
     order = Window.partitionBy(*by, "held").orderBy(F.desc("score"), "setting")

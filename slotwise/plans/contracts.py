@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.names import forecast_columns
 from slotwise.functions.numbers import finite
-from slotwise.operators.blocks import with_halo
+from slotwise.operators.blocks import beside, with_halo
 
 
 class ContractError(AssertionError):
@@ -155,6 +155,6 @@ def aligned_sources(frames: Mapping[str, DataFrame], columns: int, rows: int, ke
             F.abs(F.count(F.lit(1)) - F.lit(rows)).alias("row_difference"),
             (F.count(F.lit(1)) - F.count_distinct(*keys)).alias("repeated_origins"), F.count_if(empty).alias("non_finite"))
         other = origin_difference(df, frames[names[0]], keys).agg(F.count(F.lit(1)).alias("axis_difference"))
-        part = part.crossJoin(other)
+        part = beside(part, other)
         out = part if out is None else out.unionByName(part)
     return out

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from slotwise.functions.clock import hour_bin
 from slotwise.functions.numbers import ape_floor, finite
+from slotwise.operators.blocks import beside
 from slotwise.operators.order_stats import weighted_median
 from slotwise.plans.gates import CELL, column_gate
 from slotwise.session import cut_lineage
@@ -268,9 +269,10 @@ def cross_fit_calibration(
     fold: str = "fold", time: str = "target_ts", **settings,
 ) -> DataFrame:
     """Every fold is calibrated with factors learnt on the other folds."""
+    # one row: the names of the folds
     folds = rows.select(fold).distinct().agg(F.collect_set(fold).alias("_folds"))
     others = F.filter("_folds", lambda f: f != F.col(fold))
-    training = rows.crossJoin(F.broadcast(folds)).withColumn("_held", F.explode(others)).drop("_folds")
+    training = beside(rows, folds).withColumn("_held", F.explode(others)).drop("_folds")
     factors = hour_factors(training, prediction, ["_held", *keys], time=time, **settings)
     marked = rows.withColumn("_held", F.col(fold))
     return calibrate(marked, factors, prediction, out, ["_held", *keys], settings.get("bin_size", 4), time).drop("_held")

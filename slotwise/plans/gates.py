@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.numbers import ape_floor, finite
+from slotwise.operators.blocks import beside
 
 CELL = ("field", "horizon")
 
@@ -70,7 +71,7 @@ def candidate_gate(
     targets = joined.groupBy(*by, target).agg(gain.alias("gain")).groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(target, "gain")))).alias("target_gains"),
         F.min("gain").alias("worst_target_gain"))
-    out = folds.join(targets, list(by)) if by else folds.crossJoin(targets)
+    out = folds.join(targets, list(by)) if by else beside(folds, targets)
     needed = F.least(F.lit(minimum_improved_folds), F.col("total_folds"))
     listed = reasons(
         ("mean gain too small", F.col("mean_gain") < minimum_mean_gain),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.numbers import ape_floor, ape_official, finite
+from slotwise.operators.blocks import beside
 from slotwise.operators.order_stats import exact_quantiles
 
 ALL = "__all__"
@@ -124,7 +125,7 @@ def coverage(tidy: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("startup").alias("startup_rows"), F.sum("shutdown").alias("shutdown_rows"))
     per = tidy.groupBy(*by, "condition").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "n")))).alias("conditions"))
-    return totals.join(per, list(by)) if by else totals.crossJoin(per)
+    return totals.join(per, list(by)) if by else beside(totals, per)
 
 
 def floored_means(tidy: DataFrame, sets: Sequence[Sequence[str]], name: str = "mean_ape") -> DataFrame:
@@ -156,7 +157,7 @@ def error_groups(tidy: DataFrame, keys: Sequence[str]) -> DataFrame:
     rated = tidy.withColumn("ape", ape_floor("y_true", "y_pred"))
     means = rated.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.avg("ape").alias("mean_mape"))
     # groups may hold null keys (a flag that is not known), hence the null-safe join
-    tails = exact_quantiles(rated.withColumn("_key", F.struct(*keys)), ["_key"], F.col("ape"), {"p95_mape": 0.95}, ranges=16)
+    tails = exact_quantiles(rated.withColumn("_key", F.struct(*keys)), ["_key"], F.col("ape"), {"p95_mape": 0.95})
     return means.withColumn("_key", F.struct(*keys)).join(tails.drop("n"), "_key", "left").drop("_key")
 
 

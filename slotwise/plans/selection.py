@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.numbers import ape_floor
+from slotwise.operators.blocks import beside
 from slotwise.session import cut_lineage
 
 
@@ -78,7 +79,7 @@ def diverse_shortlist(
     tiers = [best.select("number", F.lit(0).alias("tier"), F.lit(0.0).alias("major"), F.lit("").alias("minor"))]
     targets = ranked.select("number", "value", F.explode("target_mape").alias("target", "mape")).groupBy("target").agg(
         F.min_by("number", F.struct("mape", "value", "number")).alias("number"))
-    tiers.append(targets.crossJoin(best.select("_hard")).select(
+    tiers.append(beside(targets, best.select("_hard")).select(
         "number", F.lit(1).alias("tier"), (-F.coalesce(F.col("_hard")[F.col("target")], F.lit(0.0))).alias("major"),
         F.col("target").alias("minor")))
     for place, name in enumerate(preferred):

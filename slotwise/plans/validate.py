@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.slots import slot_start
+from slotwise.operators.blocks import beside
 from slotwise.plans.forecast import Model, forecast
 from slotwise.plans.metrics import coverage, fold_statistics, horizon_gain, largest_errors, score, summarize
 from slotwise.plans.postprocess import apply_limits
@@ -80,7 +81,7 @@ def reachability(
         F.when(F.col("baseline_score_percent") >= stable, "series barely moves"),
         F.when(F.col("best_score_percent") < leading, "leading range not reached by legal models"),
         F.when(F.col("wrong_alignment_gain") >= alignment_gain, "check origin and target columns")))
-    return head.crossJoin(shift).withColumn("notes", notes)
+    return beside(head, shift).withColumn("notes", notes)
 
 
 def local_scores(tidy: DataFrame, by: str = "validation_type", **options) -> DataFrame:

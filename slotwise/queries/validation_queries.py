@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slotwise.operators.blocks import beside
 from slotwise.operators.clean import clean, drop_empty_fields
 from slotwise.operators.features import flag_features, rolling_features
 from slotwise.operators.grid import densify, resample
@@ -43,7 +44,7 @@ def feature_causality(spark, sf):
     grid = hourly_grid(spark, sf)
     build = lambda g: rolling_features(clean(g, CLEAN), (8,), ("mean", "slope"), "robust").drop("value")
     moved = moved_rows(build, grid, _cut(grid)).agg(F.count(F.lit(1)).alias("moved"))
-    return grid.agg(F.count(F.lit(1)).alias("slots")).crossJoin(moved)
+    return beside(grid.agg(F.count(F.lit(1)).alias("slots")), moved)
 
 
 @query("forecast_causality", "WITH " + GRID_SQL + "SELECT count(*) AS slots, CAST(0 AS BIGINT) AS moved FROM grid")
@@ -51,7 +52,7 @@ def forecast_causality(spark, sf):
     grid = hourly_grid(spark, sf)
     build = lambda g: forecast(g, [MODELS[m] for m in ("mean_8", "trend_8", "daily", "season_median")], (1, 8))
     moved = moved_rows(build, grid, _cut(grid), (-11.0, 9999991.0)).agg(F.count(F.lit(1)).alias("moved"))
-    return grid.agg(F.count(F.lit(1)).alias("slots")).crossJoin(moved)
+    return beside(grid.agg(F.count(F.lit(1)).alias("slots")), moved)
 
 
 @query("changed_future", "WITH " + GRID_SQL + f"""
@@ -66,13 +67,13 @@ def changed_future(spark, sf):
 def shift_check(spark, sf):
     grid = hourly_grid(spark, sf)
     wrong = shifted_mean_gap(rolling_features(grid, (8,), ("mean",)), grid, 8, "roll_8_mean")
-    return grid.agg(F.count(F.lit(1)).alias("slots")).crossJoin(wrong.agg(F.count(F.lit(1)).alias("wrong")))
+    return beside(grid.agg(F.count(F.lit(1)).alias("slots")), wrong.agg(F.count(F.lit(1)).alias("wrong")))
 
 
 @query("target_time_check", "WITH " + tidy_sql(("last_value",)) + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS wrong FROM tidy")
 def target_time_check(spark, sf):
     tidy = backtest(spark, sf, ("last_value",))
-    return tidy.agg(F.count(F.lit(1)).alias("rows")).crossJoin(target_time_errors(tidy).agg(F.count(F.lit(1)).alias("wrong")))
+    return beside(tidy.agg(F.count(F.lit(1)).alias("rows")), target_time_errors(tidy).agg(F.count(F.lit(1)).alias("wrong")))
 
 
 RULES = {"expanding": Rolling(2, 300, 96, 96), "rolling": Rolling(2, 300, 96, 96, "rolling", 200), "recent": Recent(2, 96, 96)}
