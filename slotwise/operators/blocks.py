@@ -62,11 +62,13 @@ def carry_last(
     include_current: bool = True,
     block: int | None = None,
     tie: Sequence[Column] = (),
+    first: str | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row, however far back it lies.
 
     Pass one takes the last value of every block, pass two carries it over the short block
-    table, and the result is joined back: no task ever holds a whole series.
+    table, and the result is joined back: no task ever holds a whole series. ``first`` names a
+    column for the smallest order of the key, which the block table knows as well.
     """
     size = block or DEFAULT_BLOCK
     staged = df.withColumn("_v", value).withColumn("_blk", block_of(order, size))
@@ -76,9 +78,10 @@ def carry_last(
     )
     rank = F.struct(F.col(order), *tie) if tie else F.col(order)
     ends = staged.groupBy(*keys, "_blk").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), rank)).alias("_end"))
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), rank)).alias("_end"), F.min(order).alias("_low"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    lowest = [F.min("_low").over(Window.partitionBy(*keys)).alias(first)] if first else []
+    carried = ends.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(before).alias("_carry"), *lowest)
     return (
         staged.withColumn("_seen", F.last("_v", ignorenulls=True).over(seen))
         .join(carried, [*keys, "_blk"], "left")

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slotwise.operators.blocks import carry_last, with_halo
 
@@ -46,10 +45,8 @@ def missing_and_fill(
     if method not in ("ffill", "none"):
         raise ValueError(f"only causal fills are allowed, not {method!r}")
     seen = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), F.col("pos").alias("p")))
-    carried = carry_last(grid, keys, seen, "_last", block=block)
     # before the first reading the run counts from the first slot of the series
-    starts = grid.groupBy(*keys).agg(F.min("pos").alias("_start"))
-    rows = carried.join(starts, list(keys))
+    rows = carry_last(grid, keys, seen, "_last", block=block, first="_start")
     age = F.col("pos") - F.coalesce(F.col("_last.p"), F.col("_start") - 1)
     near = F.lit(True) if limit is None else age <= limit
     filled = F.col("value") if method == "none" else F.when(near, F.col("_last.v"))
@@ -154,5 +151,3 @@ def constant_runs(grid: DataFrame, tolerance: float, keys: Sequence[str] = KEYS,
         back=1, block=block)
     return running_total(moved, keys, F.col("changed"), "run", block=block)
 
-
-_ = Window

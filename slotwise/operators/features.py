@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.operators.blocks import DEFAULT_BLOCK, block_of, carry_last, with_halo
+from slotwise.operators.blocks import DEFAULT_BLOCK, block_of, carry_last, running_total, with_halo
 
 KEYS = ("series_id", "field")
 STATISTICS = ("mean", "std", "min", "max", "slope", "q10", "q90")
@@ -47,22 +47,29 @@ def rolling(column: str, window: WindowSpec, size: int, statistics: Sequence[str
     return {name: F.when(enough, rules[name]()) for name in statistics}
 
 
+def lag_columns(column: str, window: WindowSpec, lags: Sequence[int], differences: bool = True) -> dict[str, Column]:
+    """lag_<k> and, with ``differences``, current, diff_1, diff_4 and accel."""
+    back = lambda k: F.lag(column, k).over(window)
+    out = {f"lag_{k}": back(k) for k in lags}
+    if differences:
+        now = F.col(column)
+        out |= {"current": now, "diff_1": now - back(1), "diff_4": now - back(4), "accel": now - 2 * back(1) + back(2)}
+    return out
+
+
+def rolling_columns(column: str, window: WindowSpec, windows: Sequence[int], statistics: Sequence[str]) -> dict[str, Column]:
+    """roll_<window>_<statistic> for every window and statistic."""
+    return {
+        f"roll_{size}_{name}": c for size in windows for name, c in rolling(column, window, size, statistics).items()}
+
+
 def lag_features(
     grid: DataFrame, lags: Sequence[int] = (), column: str = "value", keys: Sequence[str] = KEYS,
     differences: bool = True, block: int | None = None,
 ) -> DataFrame:
-    """Adds current_, diff_1, diff_4, accel and lag_<k>."""
-
-    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        back = lambda k: F.lag(column, k).over(w)
-        added = {f"lag_{k}": back(k) for k in lags}
-        if differences:
-            now = F.col(column)
-            added |= {"current": now, "diff_1": now - back(1), "diff_4": now - back(4),
-                      "accel": now - 2 * back(1) + back(2)}
-        return rows.withColumns(added)
-
-    return with_halo(grid, keys, compute, back=max([*lags, 4]), block=block)
+    return with_halo(
+        grid, keys, lambda rows, w: rows.withColumns(lag_columns(column, w, lags, differences)),
+        back=max([*lags, 4]), block=block)
 
 
 def rolling_features(
@@ -74,14 +81,9 @@ def rolling_features(
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
 
-    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        added = {}
-        for size in windows:
-            for name, expression in rolling(column, w, size, statistics).items():
-                added[f"roll_{size}_{name}"] = expression
-        return rows.withColumns(added)
-
-    return with_halo(grid, keys, compute, back=max(windows), block=block)
+    return with_halo(
+        grid, keys, lambda rows, w: rows.withColumns(rolling_columns(column, w, windows, statistics)),
+        back=max(windows), block=block)
 
 
 def ewma_memory(alpha: float) -> int:
@@ -122,17 +124,10 @@ def ewma(
 
     smoothed = narrow.groupBy(*keys, "_blk").applyInPandas(smooth, schema).drop("_blk")
     known = smoothed.where(F.col("_mean").isNotNull())
-    readings = grid.where(F.col(column).isNotNull())
-    starts = readings.groupBy(*keys).agg(F.min("pos").alias("_p1"))
-    second = (
-        readings.join(starts, list(keys)).where(F.col("pos") > F.col("_p1"))
-        .groupBy(*keys).agg(F.min("pos").alias("_p2"))
-    )
     rows = grid.join(known, [*keys, "pos"], "left")
-    carried = carry_last(rows, keys, F.col("_mean"), "_carried", block=size)
-    from_slot = F.col("_p2") if least >= 2 else F.lit(None)
-    return carried.join(second, list(keys), "left").select(
-        *grid.columns, F.when(F.col("pos") >= from_slot if least >= 2 else F.lit(True), F.col("_carried")).alias(out))
+    seen = running_total(rows, keys, F.col(column).isNotNull().cast("int"), "_seen_readings", block=size)
+    carried = carry_last(seen, keys, F.col("_mean"), "_carried", block=size)
+    return carried.select(*grid.columns, F.when(F.col("_seen_readings") >= least, F.col("_carried")).alias(out))
 
 
 def season_deltas(

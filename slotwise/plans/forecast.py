@@ -71,6 +71,9 @@ def _statistics(leaves: Sequence[Model]) -> dict[str, tuple[str, int]]:
 def history_state(grid: DataFrame, leaves: Sequence[Model], keys: Sequence[str] = KEYS, block: int | None = None) -> DataFrame:
     """Adds ``_state`` to every slot: last reading and window statistics of the last w readings."""
     wanted = _statistics(leaves)
+    if not wanted:
+        last = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("last")))
+        return carry_last(grid, keys, last, "_state_now", block=block)
     readings = grid.where(F.col("value").isNotNull())
     numbered = running_total(readings, keys, F.lit(1).cast("bigint"), "_k", block=block)
 

@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from slotwise.functions.clock import calendar
 from slotwise.functions.numbers import finite, mape_weight, safe_ratio
 from slotwise.functions.slots import slot_start
-from slotwise.operators.features import adjacent_pairs, lag_features, rolling_features
-from slotwise.operators.order_stats import exact_quantiles
-from slotwise.operators.states import add_states, mixing_state
+from slotwise.operators.blocks import with_halo
+from slotwise.operators.features import adjacent_pairs, lag_columns, rolling_columns
+from slotwise.operators.order_stats import exact_quantiles, ranked_mass
+from slotwise.operators.states import mixing_state, state_flags
 from slotwise.plans.forecast import _at, with_trajectories
 from slotwise.session import cut_lineage
 
@@ -39,9 +40,13 @@ def feature_frame(
     online_above: float = 1.0, stable_within: float = 2.0, step_seconds: int = 900, block: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Causal features of every slot (keys, pos, value, feat_...) and their names."""
-    rows = lag_features(grid, lags, block=block)
-    rows = rolling_features(rows, windows, statistics, block=block)
-    rows = add_states(rows, online_above=online_above, stable_within=stable_within, step_minutes=max(1, step_seconds // 60), block=block)
+    def compute(rows: DataFrame, w) -> DataFrame:
+        return rows.withColumns(
+            lag_columns("value", w, lags) | rolling_columns("value", w, windows, statistics)
+            | state_flags("value", w, online_above, stable_within, max(1, step_seconds // 60)))
+
+    # one window, one sort and one shuffle for every feature
+    rows = with_halo(grid, KEYS, compute, back=max([*lags, *windows, 4]), block=block)
     raw = ["current", "diff_1", "diff_4", "accel", *[f"lag_{k}" for k in lags],
            *[f"roll_{w}_{s}" for w in windows for s in statistics], "startup", "shutdown", "ramp_up", "ramp_down", "stable"]
     out = rows.select(*grid.columns, "online", *["startup", "shutdown", "ramp_up", "ramp_down", "stable"],
@@ -120,8 +125,6 @@ def mixup(
     # the rank of the k-th smallest draw is an exact quantile of the hash, so no cell is gathered in one task
     sizes = drawn.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_pairs")).join(counts, list(CELL)).withColumn(
         "_take", F.least(wanted, F.col("_pairs")))
-    from slotwise.operators.order_stats import ranked_mass
-
     cut = ranked_mass(drawn, list(CELL), F.col("_draw")).join(sizes, list(CELL)).where(F.col("lo") < F.col("_take")).groupBy(*CELL).agg(
         F.max("value").alias("_last"))
     chosen = drawn.join(cut, list(CELL)).where(F.col("_draw") <= F.col("_last"))
@@ -275,8 +278,6 @@ def search(
 def gas_components(wide: DataFrame, production: Mapping[str, Column], consumption: Mapping[str, Column],
                    holder: Mapping[str, str], minutes: float, part: str, total: str) -> DataFrame:
     """Long intermediate series per gas: production, consumption, holder change per minute; and the loads."""
-    from slotwise.operators.blocks import with_halo
-
     rows = with_halo(wide, ["series_id"], lambda df, w: df.withColumns({
         f"_dh_{g}": F.coalesce((F.col(c) - F.lag(c).over(w)) / minutes, F.lit(0.0)) for g, c in holder.items()}), back=1)
     named: dict[str, Column] = {}
@@ -317,8 +318,6 @@ def fit_load_map(components: DataFrame, gases: Sequence[str], horizons: Sequence
     """
     names = ["component_one", "component_extra"]
     available = components.select("series_id", "pos", *names, *availability(components, gases))
-    from slotwise.operators.blocks import with_halo
-
     later = F.struct("pos", *names, *[f"available__{g}" for g in gases])
     near = with_halo(available, ["series_id"], lambda df, w: df.withColumn(
         "_later", F.collect_list(later).over(w.rowsBetween(1, max(horizons)))), ahead=max(horizons), block=block)

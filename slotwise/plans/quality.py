@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from slotwise.functions.numbers import finite
 from slotwise.operators.blocks import carry_last
 from slotwise.operators.clean import CleanRule, clean
-from slotwise.operators.order_stats import INTERPOLATIONS, exact_quantiles, ranked_mass
+from slotwise.operators.grid import widen
+from slotwise.operators.order_stats import INTERPOLATIONS, exact_quantiles
 from slotwise.session import cut_lineage
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
@@ -79,18 +80,21 @@ def duplicate_columns(matrix: DataFrame, columns: Sequence[str], keys: Sequence[
     marks = {r["column"]: (r["fingerprint"], r["filled"]) for r in signatures(matrix, columns, keys).collect()}
     for c in columns:
         found.setdefault(marks.get(c), []).append(c)
-    pairs = [(group[i], group[j]) for group in found.values() for j in range(1, len(group)) for i in range(j)]
-    if not pairs:
-        return []
-    differ = matrix.agg(*[
-        F.count_if(~finite(F.col(a).cast("double")).eqNullSafe(finite(F.col(b).cast("double")))).alias(f"d{i}")
-        for i, (a, b) in enumerate(pairs)]).first()
-    same = [pair for i, pair in enumerate(pairs) if differ[f"d{i}"] == 0]
-    first: dict[str, str] = {}
-    for original, copy in sorted(same, key=lambda p: (columns.index(p[1]), columns.index(p[0]))):
-        if original not in first:
-            first.setdefault(copy, original)
-    return list(first.items())
+    # within a group of equal fingerprints every column is held against the group's first one; the
+    # few that differ (a hash collision) form a group of their own in the next pass
+    groups, first = [g for g in found.values() if len(g) > 1], {}
+    while groups:
+        pairs = [(g[0], other) for g in groups for other in g[1:]]
+        same = lambda a, b: finite(F.col(a).cast("double")).eqNullSafe(finite(F.col(b).cast("double")))
+        differ = matrix.agg(*[F.count_if(~same(a, b)).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+        rest: dict[str, list[str]] = {}
+        for i, (original, copy) in enumerate(pairs):
+            if differ[f"d{i}"]:
+                rest.setdefault(original, []).append(copy)
+            else:
+                first[copy] = original
+        groups = [g for g in rest.values() if len(g) > 1]
+    return [(c, first[c]) for c in columns if c in first]
 
 
 def quality_report(matrix: DataFrame, columns: Sequence[str], multiplier: float = 1.5, zscore: float | None = 3.0,
@@ -130,13 +134,11 @@ def prune_features(training: DataFrame, columns: Sequence[str], keys: Sequence[s
 
 def fill_from_training(scoring: DataFrame, training: DataFrame, columns: Sequence[str], key: str = "series_id") -> DataFrame:
     """Last finite scoring value of the series, else the training median of the column."""
-    medians = exact_quantiles(cells(training, columns, [key, "pos"]), ["column"], F.col("value"), {"median": 0.5})
-    fallback = {r["column"]: r["median"] for r in medians.collect()}
-    packed = F.struct(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    rows = scoring.withColumn("_all", packed)
-    for c in columns:
-        rows = carry_last(rows, [key], F.col("_all")[c], f"_f_{c}")
-    return rows.select(key, "pos", *[F.coalesce(f"_f_{c}", F.lit(fallback.get(c))).alias(c) for c in columns])
+    keys = [key, "pos"]
+    medians = exact_quantiles(cells(training, columns, keys), ["column"], F.col("value"), {"_median": 0.5}).drop("n")
+    carried = carry_last(cells(scoring, columns, keys), [key, "column"], F.col("value"), "_last")
+    filled = carried.join(medians, "column", "left").withColumn("value", F.coalesce("_last", "_median"))
+    return widen(filled, columns, keys, "column")
 
 
 def repair_scoring(
@@ -250,5 +252,3 @@ def assemble_input(raw: DataFrame, features: DataFrame, keys: Sequence[str] = ("
         raise ValueError(f"derived names must start with {prefix} and be new: {wrong or sorted(clash)}")
     return raw.join(features, list(keys))
 
-
-_ = ranked_mass

@@ -13,6 +13,7 @@ from slotwise.plans.metrics import (
     summarize, tail_errors,
 )
 from slotwise.plans.splits import MonthStart, Recent, Rolling, add_folds, fold_table, split_integrity
+from slotwise.session import cut_lineage
 from slotwise.queries.base import BY_FIELD, DAY, FIELDS, GRID_SQL, HOUR, hourly_grid, query, sig, sig_sql, sigs, table
 
 HORIZONS = tuple(range(1, 9))
@@ -296,7 +297,7 @@ r AS (SELECT *, {FLOORED} AS ape FROM long), t AS (SELECT field, horizon, quanti
 SELECT series_id, field, fold, pos, horizon, {sig_sql("ape")} AS ape FROM r JOIN t USING (field, horizon) WHERE ape >= threshold
 """)
 def tail_errors_query(spark, sf):
-    tidy = backtest(spark, sf, ("mean_8",)).withColumnRenamed("mean_8", "y_pred")
+    tidy = cut_lineage(backtest(spark, sf, ("mean_8",)).withColumnRenamed("mean_8", "y_pred"))
     return tail_errors(tidy).select("series_id", "field", "fold", "pos", "horizon", sig("ape"))
 
 
@@ -323,7 +324,7 @@ def conditioned(spark, sf, name="mean_8"):
     states = add_states(hourly_grid(spark, sf), online_above=20.0, stable_within=10.0, step_minutes=60).withColumn(
         "missing", F.col("value").isNull().cast("int")).drop("value")
     tidy = backtest(spark, sf, (name,)).withColumnRenamed(name, "y_pred")
-    joined = tidy.join(states, ["series_id", "field", "pos"]).withColumns({
+    joined = cut_lineage(tidy.join(states, ["series_id", "field", "pos"])).withColumns({
         "origin": slot_start("pos", HOUR), "target_ts": slot_start("target_pos", HOUR)})
     return joined.withColumns({
         "month_change": (F.month("origin") != F.month("target_ts")).cast("int"),

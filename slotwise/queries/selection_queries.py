@@ -15,6 +15,7 @@ from slotwise.plans.selection import (
     combine_windows, compare_challenger, diverse_shortlist, fold_coverage, join_candidates, method_scores,
     order_candidates, search_objective, trial_table,
 )
+from slotwise.session import cut_lineage
 from slotwise.queries.base import BY_FIELD, HOUR, hourly_grid, query, sig, sig_sql, sigs
 from slotwise.queries.forecast_queries import FLOORED, OK, backtest, tidy_sql
 
@@ -25,8 +26,9 @@ FOLD_NAME = "CASE WHEN fold < 2 THEN 'cross_month_' || CAST(fold AS VARCHAR) ELS
 def named(spark, sf, models=NAMES):
     """Back-test with fold names: the first two folds play cross-month, the others recent."""
     kind = F.when(F.col("fold") < 2, "cross_month").otherwise("recent")
-    return backtest(spark, sf, models).withColumns({
-        "validation_type": kind, "fold": F.concat(kind, F.lit("_"), F.col("fold").cast("string"))})
+    # the tidy table is the fact table of selection: stored once, read by every aggregate
+    return cut_lineage(backtest(spark, sf, models).withColumns({
+        "validation_type": kind, "fold": F.concat(kind, F.lit("_"), F.col("fold").cast("string"))}))
 
 
 def named_sql(models=NAMES) -> str:
