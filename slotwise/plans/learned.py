@@ -84,7 +84,8 @@ def training_set(
     inside = F.col("pos") + F.col("horizon") <= F.col("_end")
     if window is not None:
         inside = inside & (F.col("pos") >= F.col("_end") - window)
-    rows = rows.where(inside & F.col("response").isNotNull())
+    # floors, means and the set itself read these rows: stored once
+    rows = cut_lineage(rows.where(inside & F.col("response").isNotNull()))
     size = F.abs("actual")
     floors = exact_quantiles(rows, list(CELL), F.when(size > 0, size), {"_floor": floor_quantile}).drop("n")
     rows = rows.join(floors, list(CELL), "left")

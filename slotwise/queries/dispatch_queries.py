@@ -371,7 +371,25 @@ def filled(spark, sf):
     return widen(long.drop("value").withColumnRenamed("filled", "value"), ("click", "view"))
 
 
-@query("analog_forecast")
+@query("analog_forecast", "WITH " + WIDE_SQL + f""",
+v AS (SELECT series_id, pos, last_value(click IGNORE NULLS) OVER ({BY_SITE}) AS a, last_value(view IGNORE NULLS) OVER ({BY_SITE}) AS b FROM wide),
+w AS (SELECT *, list(a) OVER c AS la, list(b) OVER c AS lb, count(a) OVER c AS na, count(b) OVER c AS nb FROM v
+  WINDOW c AS ({BY_SITE} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)),
+d AS (SELECT series_id, pos, a, b, [la[i + 1] - la[i] FOR i IN range(1, 16)] AS da, [lb[i + 1] - lb[i] FOR i IN range(1, 16)] AS db FROM w WHERE na = 16 AND nb = 16),
+s AS (SELECT *, greatest(1.4826 * list_median([abs(x - list_median(da)) FOR x IN da]), 0.5) AS sa, greatest(1.4826 * list_median([abs(x - list_median(db)) FOR x IN db]), 0.5) AS sb FROM d),
+p AS (SELECT series_id, pos, a, b, sa, sb, [x / sa FOR x IN da] || [x / sb FOR x IN db] || [a / 120, b / 150, list_sum(da[12:15]) / 4 / sa, list_sum(db[12:15]) / 4 / sb] AS pat FROM s),
+fo AS (SELECT series_id, f AS fold, lo + 360 + 48 * f AS vs, lo + 360 + 48 * f + 47 AS ve, hi FROM span, unnest(generate_series(0, 3)) AS x(f)),
+q AS (SELECT p.*, fold, vs FROM p JOIN fo USING (series_id) WHERE pos BETWEEN vs AND ve),
+n AS (SELECT q.series_id, q.fold, q.pos, c.pos AS np, list_distance(q.pat, c.pat) AS dist, q.a AS qa, q.b AS qb, c.a AS ca, c.b AS cb,
+  least(greatest(q.sa / greatest(c.sa, 1e-6), 0.5), 2) AS ra, least(greatest(q.sb / greatest(c.sb, 1e-6), 0.5), 2) AS rb
+  FROM q JOIN p c ON c.series_id = q.series_id AND c.pos + 8 <= q.vs - 1),
+k AS (SELECT *, exp(-dist / greatest(median(dist) OVER (PARTITION BY series_id, fold, pos), 1e-6)) AS wt FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id, fold, pos ORDER BY dist, np) AS rk FROM n) WHERE rk <= 32),
+r AS (SELECT k.series_id, CAST(k.fold AS INTEGER) AS fold, k.pos, x.h AS horizon, sum((v.a - ca) * ra * wt) / greatest(sum(wt), 1e-12) + any_value(qa) AS ya,
+  sum((v.b - cb) * rb * wt) / greatest(sum(wt), 1e-12) + any_value(qb) AS yb
+  FROM k, unnest([1, 2, 4, 8]) AS x(h) JOIN v ON v.series_id = k.series_id AND v.pos = k.np + x.h GROUP BY 1, 2, 3, 4)
+SELECT series_id, fold, pos, horizon, 'click' AS field, round(ya, 6) AS analog FROM r UNION ALL SELECT series_id, fold, pos, horizon, 'view', round(yb, 6) FROM r
+""")
 def analog_forecast_query(spark, sf):
     from slotwise.plans.splits import add_folds, fold_table
 
@@ -379,7 +397,7 @@ def analog_forecast_query(spark, sf):
     folds = fold_table(wide, EXPANDING, 8)
     origins = add_folds(wide.select("series_id", "pos"), EXPANDING, folds).select("series_id", "pos", "fold")
     patterns = trajectory_patterns(wide, ("click", "view"), (120.0, 150.0), 16, 8)
-    return analog_forecast(patterns, origins, ("click", "view"), (1, 2, 4, 8), 32)
+    return analog_forecast(patterns, origins, ("click", "view"), (1, 2, 4, 8), 32).withColumn("analog", F.round("analog", 6))
 
 
 _ = (BY_FIELD, FLOORED, Model, summarize, tidy_sql)

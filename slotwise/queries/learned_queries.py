@@ -84,11 +84,22 @@ def mixing_pairs_query(spark, sf):
     return mixing_pairs(rows, []).groupBy("field", "horizon", F.col("_state").alias("state")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("mixup_rows")
+def _pairs_sql(source: str) -> str:
+    return f""",
+sm AS (SELECT t.series_id, t.field, t.horizon, t.pos, CASE WHEN startup = 1 THEN 'startup' WHEN shutdown = 1 THEN 'shutdown' WHEN online = 1 AND ramp_up = 1 THEN 'ramp_up'
+  WHEN online = 1 AND ramp_down = 1 THEN 'ramp_down' WHEN online = 1 THEN 'online' ELSE 'offline' END AS state FROM {source} t JOIN states USING (series_id, field, pos)),
+pr AS (SELECT *, lag(pos) OVER w AS pp, lag(state) OVER w AS ps FROM sm WINDOW w AS (PARTITION BY series_id, field, horizon ORDER BY pos)),
+np AS (SELECT field, horizon, count(*) FILTER (pos - pp = 1 AND state = ps) AS pairs, count(*) AS n FROM pr GROUP BY 1, 2)
+"""
+
+
+@query("mixup_rows", "WITH " + TRAIN_SQL + _pairs_sql("tr") + """
+SELECT field, CAST(horizon AS INTEGER) AS horizon, n AS rows, CAST(least(round_even(n * 0.25, 0), pairs) AS BIGINT) AS added, 1.0::DOUBLE AS mean_weight FROM np
+""")
 def mixup_rows(spark, sf):
-    rows, names = _training(spark, sf, "delta", window=400)
-    return mixup(rows, names, 0.25).groupBy("field", "horizon", "augmented").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("weight"), 6).alias("mean_weight"))
+    rows, names = _training(spark, sf, "delta", window=400, half_life=200.0)
+    return mixup(rows, names, 0.25).groupBy("field", "horizon").agg(
+        F.count_if(~F.col("augmented")).alias("rows"), F.count_if("augmented").alias("added"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 
 def _learned(spark, sf, learner, response, scaled=False):
@@ -124,7 +135,10 @@ def fc_forest(spark, sf):
     return _learned(spark, sf, lambda: forest(trees=8, depth=4), "absolute")
 
 
-@query("final_fit")
+@query("final_fit", "WITH " + TRAIN_SQL.replace(" AND g.value IS NOT NULL AND g.pos >= te - 400", "") + """
+SELECT count(*) AS training_rows, min(pos) AS first_slot, max(pos + horizon) AS last_label_slot, count(DISTINCT field) AS targets, count(DISTINCT horizon) AS horizons,
+  'training' AS data_source, 'absolute' AS response, 15 AS features, 5 AS models, 0 AS constants FROM tr0
+""")
 def final_fit(spark, sf):
     rows, names = _training(spark, sf, "absolute")
     return metadata(rows, fit(rows, names, lambda: ridge(1.0), "absolute"))
