@@ -52,8 +52,13 @@ def lag_moments(
         keep("r").alias("correlation"), keep("slope").alias("coefficient"), keep("intercept").alias("intercept"))
 
 
+# fixed values: risk classes of a correlation with a target value ahead, now and behind
+SHIFT_RISKS = ("red_future_diagnostic_only", "amber_current", "green_historical")
+
+
 def shift_risk(offset: Column) -> Column:
-    return F.when(offset > 0, "red_future_diagnostic_only").when(offset == 0, "amber_current").otherwise("green_historical")
+    ahead, now, behind = SHIFT_RISKS
+    return F.when(offset > 0, ahead).when(offset == 0, now).otherwise(behind)
 
 
 def least_squares(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], target: str) -> DataFrame:

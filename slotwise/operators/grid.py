@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slotwise.functions.slots import VARIANTS, slot_of
 from slotwise.operators.blocks import DEFAULT_BLOCK, block_of
@@ -81,10 +82,11 @@ def slot_skeleton(bounds: DataFrame, lo: str = "lo", hi: str = "hi", block: int
 
 def densify(binned: DataFrame, series: str = "series_id", field: str = "field", value: str = "value") -> DataFrame:
     """Every field of a series on every slot between the series' first and last bin."""
-    span = binned.groupBy(series).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    fields = binned.select(series, field).distinct()
-    skeleton = slot_skeleton(fields.join(span, series))
-    return skeleton.join(binned.select(series, field, "pos", value), [series, field, "pos"], "left")
+    # one light pass over keys and slots; the span of the series comes from the short result
+    per_field = binned.groupBy(series, field).agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    whole = Window.partitionBy(series)
+    bounds = per_field.select(series, field, F.min("_lo").over(whole).alias("lo"), F.max("_hi").over(whole).alias("hi"))
+    return slot_skeleton(bounds).join(binned.select(series, field, "pos", value), [series, field, "pos"], "left")
 
 
 def align(tables: Mapping[str, DataFrame], sum_fields: Sequence[str] = ()) -> DataFrame:
@@ -99,15 +101,16 @@ def align(tables: Mapping[str, DataFrame], sum_fields: Sequence[str] = ()) -> Da
         stacked = part if stacked is None else stacked.unionByName(part)
     per_table = stacked.groupBy("series_id", "table").agg(
         F.min("pos").alias("t_lo"), F.max("pos").alias("t_hi"), F.collect_set("field").alias("fields"))
-    whole = per_table.groupBy("series_id").agg(
-        F.min("t_lo").alias("lo"), F.max("t_hi").alias("hi"),
-        F.collect_list(F.struct("t_lo", "t_hi")).alias("ranges"))
-    owners = per_table.select("series_id", "table", "t_lo", "t_hi", F.explode("fields").alias("field"))
-    clash = owners.groupBy("series_id", "field").agg(
-        F.min("t_lo").alias("t_lo"), F.max("t_hi").alias("t_hi"), F.count(F.lit(1)).alias("owners"))
+    # everything else is window arithmetic on that short table
+    plant = Window.partitionBy("series_id")
+    ranges = F.collect_list(F.struct("t_lo", "t_hi")).over(plant)
+    owners = per_table.select(
+        "series_id", "t_lo", "t_hi", F.min("t_lo").over(plant).alias("lo"), F.max("t_hi").over(plant).alias("hi"),
+        ranges.alias("ranges"), F.explode("fields").alias("field"))
+    counted = owners.withColumn("_owners", F.count(F.lit(1)).over(Window.partitionBy("series_id", "field")))
     refuse = F.raise_error(F.concat(F.lit("field comes from several tables: "), F.col("field"))).cast("boolean")
-    checked = clash.where(F.when(F.col("owners") > 1, refuse).otherwise(F.lit(True)))
-    slots = slot_skeleton(checked.drop("owners").join(whole, "series_id"))
+    checked = counted.where(F.when(F.col("_owners") > 1, refuse).otherwise(F.lit(True))).drop("_owners")
+    slots = slot_skeleton(checked)
     joined = slots.join(stacked.drop("table"), ["series_id", "field", "pos"], "left")
     in_own = F.col("pos").between(F.col("t_lo"), F.col("t_hi"))
     zero_bin = in_own & F.col("field").isin(list(sum_fields)) if sum_fields else F.lit(False)

@@ -16,6 +16,9 @@ from slotwise.operators.correlate import complete_row, lag_moments, least_square
 from slotwise.operators.order_stats import exact_quantiles
 
 SITE = ("series_id",)
+# fixed values: kinds of findings
+COPY_KIND = "affine_or_shifted_copy"
+AHEAD_KIND = "future_target_high_correlation"
 
 
 def lag_table(moments: DataFrame, step_minutes: int = 15) -> DataFrame:
@@ -39,7 +42,7 @@ def copies(moments: DataFrame, targets: Sequence[str], correlation: float = 0.99
     left = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("correlation") * F.col("correlation")))
     found = _best(near, [*keys, "field", "target"]).withColumn("residual_ratio", left)
     return found.where(F.col("residual_ratio") <= residual).withColumns({
-        "kind": F.lit("affine_or_shifted_copy"), "risk": F.when(F.col("offset") > 0, "red").otherwise("amber")})
+        "kind": F.lit(COPY_KIND), "risk": F.when(F.col("offset") > 0, "red").otherwise("amber")})
 
 
 def future_correlations(moments: DataFrame, targets: Sequence[str], correlation: float = 0.995,
@@ -48,7 +51,7 @@ def future_correlations(moments: DataFrame, targets: Sequence[str], correlation:
     ahead = moments.where(
         (F.col("offset") > 0) & (F.abs("correlation") >= correlation) & ~F.col("field").isin(list(targets)))
     return _best(ahead, [*keys, "field", "target"]).withColumns({
-        "kind": F.lit("future_target_high_correlation"), "risk": F.lit("red")})
+        "kind": F.lit(AHEAD_KIND), "risk": F.lit("red")})
 
 
 def multivariate_fit(wide: DataFrame, fields: Sequence[str], target: str, train_share: float = 0.7,

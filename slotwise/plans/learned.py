@@ -158,7 +158,7 @@ def forest(seed: int = 42, trees: int = 20, depth: int = 5):
                                  weightCol="weight", predictionCol="_predicted")
 
 
-def pipeline(names: Sequence[str], learner, scaled: bool = False) -> Pipeline:
+def ml_stages(names: Sequence[str], learner, scaled: bool = False) -> Pipeline:
     """Median imputation, optional scaling, learner."""
     filled = [f"_{n}" for n in names]
     stages = [Imputer(inputCols=list(names), outputCols=filled, strategy="median")]
@@ -230,7 +230,7 @@ def fit(
         mine = training.where(F.col("field") == key[0])
         if direct:
             mine = mine.where(F.col("horizon") == key[1])
-        out.models[key] = pipeline(names, learner(), scaled).fit(mine)
+        out.models[key] = ml_stages(names, learner(), scaled).fit(mine)
     return out
 
 

@@ -12,7 +12,9 @@ from slotwise.functions.numbers import ape_floor, ape_official, finite
 from slotwise.operators.blocks import beside
 from slotwise.operators.order_stats import exact_quantiles
 
+# fixed values: the name of all targets, and the risk classes of labels ahead, behind and in place
 ALL = "__all__"
+ALIGNMENT_RISKS = ("red_future_diagnostic_only", "amber_wrong_alignment", "official_alignment")
 BUNDLE = ("sample_count", "mape", "score_1_mape", "near_zero_count", "zero_count", "mae", "rmse", "bias")
 
 
@@ -175,8 +177,8 @@ def alignment(wide: DataFrame, labels: DataFrame, prediction: str = "last_value"
         *keys, "offset", (F.col("pos") - F.col("offset")).alias("target_pos"), F.col("label").alias("_y"))
     pairs = wide.where(finite(prediction).isNotNull()).join(moved, [*keys, "target_pos"])
     out = pairs.groupBy("offset").agg(*bundle("_y", prediction))
-    risk = F.when(F.col("offset") > 0, "red_future_diagnostic_only").when(
-        F.col("offset") < 0, "amber_wrong_alignment").otherwise("official_alignment")
+    ahead, behind, right = ALIGNMENT_RISKS
+    risk = F.when(F.col("offset") > 0, ahead).when(F.col("offset") < 0, behind).otherwise(right)
     return out.select(
         F.col("offset").alias("label_offset_steps"), (F.col("offset") * step_minutes).alias("label_offset_minutes"),
         "sample_count", "mape", "score_1_mape", (F.col("score_1_mape") * 100).alias("score_percent"),

@@ -79,14 +79,14 @@ def route_by_error(
 
     The error is learnt as log(1 + 50 e), as in a robust regression of a heavy-tailed loss.
     """
-    from slotwise.plans.learned import pipeline
+    from slotwise.plans.learned import ml_stages
 
     train = cut_lineage(train.withColumn("weight", F.lit(1.0)))
     priors = train.agg(*[F.avg(ape_floor("y_true", m)).alias(m) for m in models]).first()
     scored, expected = held, []
     for m in models:
         mine = train.withColumn("response", F.log1p(50 * ape_floor("y_true", m)))
-        fitted = pipeline(names, learner()).fit(mine)
+        fitted = ml_stages(names, learner()).fit(mine)
         scored = fitted.transform(scored).withColumn(f"_e_{m}", F.expm1("_predicted") / 50).select(*scored.columns, f"_e_{m}")
         expected.append(model_share * F.greatest(F.col(f"_e_{m}"), F.lit(0.0)) + (1 - model_share) * F.lit(float(priors[m])))
     rows = scored.withColumn("_expected", F.array(*expected))
@@ -103,7 +103,7 @@ def route_by_winner(
     from pyspark.ml.functions import vector_to_array
 
     from slotwise.operators.order_stats import exact_quantiles
-    from slotwise.plans.learned import pipeline
+    from slotwise.plans.learned import ml_stages
 
     errors = candidate_errors(train, models)
     ordered = F.array_sort(errors)
@@ -115,7 +115,7 @@ def route_by_winner(
     rows = rows.withColumn("weight", F.least(F.greatest(F.col("_margin") / middle, F.lit(0.25)), F.lit(8.0)))
     learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", labelCol="response",
                                      weightCol="weight", predictionCol="_predicted", probabilityCol="_probability")
-    scored = pipeline(names, learner).fit(rows).transform(held).withColumn("_share", vector_to_array("_probability"))
+    scored = ml_stages(names, learner).fit(rows).transform(held).withColumn("_share", vector_to_array("_probability"))
     values = F.array(*[F.col(m) for m in models])
     if soft:
         terms = F.zip_with(values, F.col("_share"), lambda v, p: v * F.coalesce(p, F.lit(0.0)))
@@ -134,14 +134,14 @@ def stack_ratio(
     With ``clip`` and ``share`` the learnt ratio is limited and only that share of its distance to 1
     is applied (a residual around an incumbent); without them it is a plain stack.
     """
-    from slotwise.plans.learned import pipeline
+    from slotwise.plans.learned import ml_stages
 
     size = F.greatest(F.abs(F.col(anchor)), F.lit(1.0))
     rows = train.where(F.col("y_true").isNotNull()).withColumns({
         "response": F.col("y_true") / size, "_w": size / F.greatest(F.abs("y_true"), F.lit(1.0))})
     rows = cut_lineage(rows)
     mean = rows.agg(F.avg("_w")).first()[0]
-    fitted = pipeline(names, learner(), scaled).fit(rows.withColumn("weight", F.col("_w") / mean))
+    fitted = ml_stages(names, learner(), scaled).fit(rows.withColumn("weight", F.col("_w") / mean))
     scored = fitted.transform(held)
     ratio = F.col("_predicted")
     if clip:

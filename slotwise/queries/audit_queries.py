@@ -12,7 +12,10 @@ from slotwise.plans.audit import (
     linear_relation, multivariate_fit, plan_fields, segment_statistics, setpoints, strongest, suspicious_names, with_change,
 )
 from slotwise.plans.contracts import duplicates
-from slotwise.queries.base import BY_FIELD, BY_SITE, FIELDS, GRID_SQL, HOUR, TARGETS, WIDE_SQL, hourly_grid, hourly_wide, query, readings, sig, sig_sql, sigs
+from slotwise.queries.base import (
+    BY_FIELD, BY_SITE, FIELDS, GRID_SQL, HOUR, TARGETS, WIDE_SQL, hourly_grid, hourly_wide, query, readings, sig,
+    sig_sql,
+)
 from slotwise.queries.state_queries import RULES
 
 # planted columns: two leaks of the future and one delayed copy of a target
@@ -263,5 +266,3 @@ FROM events WHERE event_type = 'purchase'
 def plan_fields_query(spark, sf):
     return plan_fields(readings(spark, sf).select("field").distinct(), registry_table(spark, RULES))
 
-
-_ = sigs

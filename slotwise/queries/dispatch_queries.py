@@ -13,12 +13,15 @@ from slotwise.plans.compensation import compensate, recipe, setting_grid
 from slotwise.plans.dispatch import (
     Unit, audit_plan, dispatch_input, group_totals, input_rules, largest_violation, plan_figures, resource_forecast, shortage_verdict,
 )
-from slotwise.plans.forecast import Model, forecast
-from slotwise.plans.metrics import summarize
+from slotwise.plans.forecast import forecast
 from slotwise.plans.postprocess import adjustment_counts, apply_limits, before_after, first_fold_limits
 from slotwise.plans.splits import Rolling
-from slotwise.queries.base import BY_FIELD, BY_SITE, GRID_SQL, HOUR, WIDE_SQL, hourly_grid, hourly_wide, query, sig, sig_sql, sigs, table
-from slotwise.queries.forecast_queries import DAILY, EXPANDING, FLOORED, LAST, STATE_SQL, TREND, _sig_metrics, backtest, gs_sql, long_sql, tidy_sql
+from slotwise.queries.base import (
+    BY_SITE, GRID_SQL, HOUR, WIDE_SQL, hourly_grid, hourly_wide, query, sig, sig_sql, sigs, table,
+)
+from slotwise.queries.forecast_queries import (
+    DAILY, EXPANDING, LAST, STATE_SQL, TREND, _sig_metrics, backtest, gs_sql, long_sql,
+)
 from slotwise.queries.selection_queries import named, named_sql
 
 # ---- limits ------------------------------------------------------------------------------
@@ -399,5 +402,3 @@ def analog_forecast_query(spark, sf):
     patterns = trajectory_patterns(wide, ("click", "view"), (120.0, 150.0), 16, 8)
     return analog_forecast(patterns, origins, ("click", "view"), (1, 2, 4, 8), 32).withColumn("analog", F.round("analog", 6))
 
-
-_ = (BY_FIELD, FLOORED, Model, summarize, tidy_sql)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotwise.functions.numbers import ape_official
 from slotwise.functions.slots import slot_start
-from slotwise.operators.grid import densify, resample
+from slotwise.operators.grid import resample
 from slotwise.plans.forecast import Model, forecast, melt, model, pivot_forecast, unpivot_forecast, weighted_blend
 from slotwise.plans.metrics import (
     alignment, best_by, coverage, error_groups, floored_means, fold_statistics, horizon_gain, largest_errors, score,
@@ -431,5 +430,3 @@ def affine_blend(spark, sf):
     keys = ["series_id", "field", "fold", "pos", "horizon"]
     return weighted_blend(long, weights, keys, ["field"], signed=True).select(*keys, sig("y_pred"))
 
-
-_ = (ape_official, densify)

@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotwise.functions.slots import slot_start
-from slotwise.operators.grid import (
-    align, collapse, densify, lengthen, outer_align, resample, resample_variants,
-)
+from slotwise.operators.grid import align, collapse, lengthen, outer_align, resample, resample_variants
 from slotwise.plans.contracts import validate_targets
-from slotwise.queries.base import (
-    DAY, GRID_SQL, HOUR, TARGETS, hourly_bins, hourly_grid, query, readings, rounded, table,
-)
-from slotwise.sources.tables import (
-    FieldSpec, TableSpec, bind_fields, bin_table, forecast_origins, load_aligned, table_quality,
-)
+from slotwise.queries.base import DAY, GRID_SQL, HOUR, TARGETS, hourly_grid, query, readings, rounded, table
+from slotwise.sources.tables import FieldSpec, TableSpec, bind_fields, forecast_origins, load_aligned, table_quality
 
 
 @query("resample_right", """
@@ -225,5 +219,3 @@ def numeric_text(spark, sf):
     return rows.select("event_id", to_number("text").alias("number"), to_number("event_type").alias("unreadable"),
                        parse_time(rows, "stamp").alias("moment"))
 
-
-_ = (bin_table, densify, hourly_bins)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.numbers import row_sum
 from slotwise.functions.slots import slot_start
-from slotwise.plans.forecast import Model, forecast
+from slotwise.plans.forecast import forecast
 from slotwise.plans.learned import (
     boosted, component_forecast, feature_frame, fit, fit_load_map, forest, gas_components, metadata, mixing_pairs, mixup,
     predict_loads, ridge, search, training_set, with_target_clock,
@@ -248,5 +248,3 @@ def router_residual(spark, sf):
     return _report(cross_fit(rows, lambda train, held: stack_ratio(
         train, held, names, lambda: boosted(trees=3), "mean_8", clip=(0.7, 1.3), share=0.5)))
 
-
-_ = Model

@@ -13,7 +13,9 @@ from slotwise.plans.quality import (
     assemble_input, fill_from_training, outlier_counts, profile, prune_features, quality_report, repair_scoring, signatures,
     winsorise, with_history,
 )
-from slotwise.queries.base import BY_FIELD, BY_SITE, FIELDS, GRID_SQL, HOUR, WIDE_SQL, hourly_grid, hourly_wide, query, sig, sig_sql, table
+from slotwise.queries.base import (
+    BY_FIELD, BY_SITE, GRID_SQL, HOUR, WIDE_SQL, hourly_grid, hourly_wide, query, sig, sig_sql, table,
+)
 from slotwise.queries.forecast_queries import MEAN
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -293,5 +295,3 @@ def model_input(spark, sf):
     out = assemble_input(wide.select("series_id", "pos", "click", "view"), features.select("series_id", "pos", "feat_lag_click"))
     return out.select("series_id", "pos", *[sig(c) for c in ("click", "view", "feat_lag_click")])
 
-
-_ = FIELDS

@@ -16,7 +16,7 @@ from slotwise.plans.selection import (
     order_candidates, search_objective, trial_table,
 )
 from slotwise.session import cut_lineage
-from slotwise.queries.base import BY_FIELD, HOUR, hourly_grid, query, sig, sig_sql, sigs
+from slotwise.queries.base import HOUR, hourly_grid, query, sig, sig_sql, sigs
 from slotwise.queries.forecast_queries import FLOORED, OK, backtest, tidy_sql
 
 NAMES = ("last_value", "mean_8", "trend_8", "daily")
@@ -390,5 +390,3 @@ def share_blends(spark, sf):
 
     return out.where("y_true IS NOT NULL").groupBy("share").agg(sig(F.avg(ape_floor("y_true", "y_pred")), "mape"))
 
-
-_ = BY_FIELD

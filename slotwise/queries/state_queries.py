@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotwise.operators.availability import (
-    FieldRule, FieldUse, inventory, judge, registry_table, select_allowed, usage_table,
-)
+from slotwise.operators.availability import FieldRule, FieldUse, inventory, judge, registry_table, select_allowed
 from slotwise.operators.balance import Roles, gas_features, role_sums, role_table, use_per_load
-from slotwise.operators.grid import lengthen
 from slotwise.operators.states import FLAGS, add_regime, add_states, component_split, load_history
 from slotwise.queries.base import (
-    BY_FIELD, BY_SITE, FIELDS, GRID_SQL, WIDE_SQL, hourly_grid, hourly_wide, query, readings, sig, sig_sql, sigs, table,
+    BY_FIELD, BY_SITE, FIELDS, GRID_SQL, WIDE_SQL, hourly_grid, hourly_wide, query, readings, sig, sig_sql, sigs,
 )
 
 ROLES = Roles(
@@ -242,5 +239,3 @@ def gated_features(spark, sf):
     out = select_allowed(frame.drop(*FIELDS), uses, RULES)
     return out.select("series_id", "pos", *sigs([c for c in out.columns if c not in ("series_id", "pos")]))
 
-
-_ = (lengthen, table, usage_table)

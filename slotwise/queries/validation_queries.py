@@ -13,14 +13,15 @@ from slotwise.plans.causality import change_future, moved_rows, shifted_mean_gap
 from slotwise.plans.contracts import aligned_sources, target_time_errors
 from slotwise.plans.forecast import forecast, pivot_forecast
 from slotwise.plans.metrics import summarize
-from slotwise.plans.selection import combine_windows, fold_coverage, join_candidates, method_scores
+from slotwise.plans.selection import combine_windows, join_candidates, method_scores
 from slotwise.plans.splits import MonthStart, Recent, Rolling
 from slotwise.plans.validate import local_scores, predict_tables, reachability, rolling_validation, scheme_gains, schemes
 from slotwise.queries.audit_queries import PLANTED_SQL, REL, _relation, moments_sql, planted
-from slotwise.queries.base import BY_FIELD, DAY, FIELDS, GRID_SQL, WIDE_SQL, hourly_grid, query, sig, sig_sql, sigs, table
+from slotwise.queries.base import DAY, FIELDS, GRID_SQL, hourly_grid, query, sig, sig_sql, sigs, table
 from slotwise.queries.clean_queries import CLEAN, CLEAN_SQL
 from slotwise.queries.forecast_queries import (
-    APE, FLOORED, HORIZONS, LAST, MEAN, MODELS, MODEL_SQL, MONTHS, OK, STATE_SQL, TIDY_MODELS, TREND, alignment, backtest, gs_sql, long_sql, tidy_sql,
+    APE, HORIZONS, LAST, MEAN, MODELS, MONTHS, OK, STATE_SQL, TIDY_MODELS, TREND, alignment, backtest, long_sql,
+    tidy_sql,
 )
 from slotwise.plans.forecast import melt
 
@@ -208,5 +209,3 @@ def relation_summary_query(spark, sf):
     sources = {"view": "load", "leak_1": "scenario", "leak_2": "scenario", "delayed": "other"}
     return relation_summary(summary, delay_pairs(wide, sources, 4))
 
-
-_ = (BY_FIELD, FLOORED, MODEL_SQL, WIDE_SQL, fold_coverage, gs_sql)
