@@ -121,5 +121,6 @@ def recipe(compensated: DataFrame, by: Sequence[str] = (), prefix: str = "cross_
     training = beside(sums, names).withColumn("held", F.explode(others)).drop("_names")
     cells = training.groupBy(*cell, "held", "setting").agg((F.sum("e") / F.sum("n")).alias("m"))
     scores = cells.groupBy(*by, "held", "setting").agg((100 * (1 - F.avg("m"))).alias("score"))
-    order = Window.partitionBy(*by, "held").orderBy(F.desc("score"), "setting")
+    # settings that agree to ten digits are tied: the name decides, not the order of summation
+    order = Window.partitionBy(*by, "held").orderBy(F.round("score", 10).desc(), "setting")
     return scores.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -322,7 +322,7 @@ su AS (SELECT field, horizon, fold, x.s AS setting, sum(abs(x.y - y_true) / grea
 hd AS (SELECT DISTINCT fold AS held FROM su UNION ALL SELECT NULL),
 ce AS (SELECT field, horizon, held, setting, sum(e) / sum(n) AS m FROM su JOIN hd ON held IS NULL OR held <> fold GROUP BY 1, 2, 3, 4),
 sc AS (SELECT {lead}held, setting, 100 * (1 - avg(m)) AS score FROM ce GROUP BY {lead}held, setting)
-SELECT {lead}held, setting, {sig_sql("score")} AS score FROM (SELECT *, row_number() OVER (PARTITION BY {lead}held ORDER BY score DESC, setting) AS rk FROM sc) WHERE rk = 1
+SELECT {lead}held, setting, {sig_sql("score")} AS score FROM (SELECT *, row_number() OVER (PARTITION BY {lead}held ORDER BY round(score, 10) DESC, setting) AS rk FROM sc) WHERE rk = 1
 """
 
 

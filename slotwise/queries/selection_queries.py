@@ -185,7 +185,7 @@ per AS (SELECT field, horizon, model, fold, sum({WEIGHT} * {FLOORED}) AS loss, s
 h AS (SELECT DISTINCT fold AS held FROM per UNION ALL SELECT NULL),
 tot AS (SELECT field, horizon, model, held, sum(loss) / sum(w) AS loss, CAST(sum(n) AS BIGINT) AS n FROM per JOIN h ON held IS NULL OR fold <> held GROUP BY 1, 2, 3, 4),
 pick AS (SELECT field, horizon, held, n, model AS winner, loss FROM (
-  SELECT *, row_number() OVER (PARTITION BY field, horizon, held ORDER BY loss, list_position(['last_value', 'mean_8', 'trend_8', 'daily'], model)) AS rk FROM tot) WHERE rk = 1)
+  SELECT *, row_number() OVER (PARTITION BY field, horizon, held ORDER BY round(loss, 12), list_position(['last_value', 'mean_8', 'trend_8', 'daily'], model)) AS rk FROM tot) WHERE rk = 1)
 """
 
 
