@@ -34,10 +34,10 @@ def lag_moments(
     sides = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_t.{t}").alias("y")) for t in targets])
     long = long.withColumn("_y", F.explode(sides)).select(
         *keys, "offset", F.col("_y.target").alias("target"), F.col("_y.y").alias("_yv"), *[F.col(f).alias(f"_x_{f}") for f in fields])
-    long = long.where(F.col("_yv").isNotNull())
+    # offsets without a single pair stay in the table with a count of zero
     y, aggregates = F.col("_yv"), []
     for f in fields:
-        x = F.col(f"_x_{f}")
+        x = F.when(y.isNotNull(), F.col(f"_x_{f}"))
         paired = F.when(x.isNotNull(), y)
         aggregates.append(F.struct(
             F.lit(f).alias("field"), F.count(x).alias("pairs"), F.corr(x, y).alias("r"),

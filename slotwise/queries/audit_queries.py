@@ -39,12 +39,13 @@ def moments_sql(source: str, fields, targets, low: int, high: int) -> str:
     right = " UNION ALL ".join(f"SELECT series_id, pos, '{t}' AS target, {t} AS y FROM {source}" for t in targets)
     return f""",
 lx AS ({left}), ry AS ({right}),
-pairs AS (SELECT l.series_id, l.field, r.target, CAST(o AS INTEGER) AS "offset", l.x, r.y
+pairs AS (SELECT l.series_id, l.field, r.target, CAST(o AS INTEGER) AS "offset", l.x, r.y, l.x IS NOT NULL AND r.y IS NOT NULL AS both_
   FROM lx l, unnest(generate_series({low}, {high})) AS u(o) JOIN ry r ON r.series_id = l.series_id AND r.pos = l.pos + o
-  WHERE l.x IS NOT NULL AND r.y IS NOT NULL),
-mo AS (SELECT series_id, field, target, "offset", count(*) AS pairs,
-  CASE WHEN count(*) >= 10 AND min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS correlation,
-  regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept
+),
+mo AS (SELECT series_id, field, target, "offset", count(*) FILTER (both_) AS pairs,
+  CASE WHEN count(*) FILTER (both_) >= 10 AND min(x) FILTER (both_) < max(x) FILTER (both_) AND min(y) FILTER (both_) < max(y) FILTER (both_)
+    THEN corr(x, y) FILTER (both_) END AS correlation,
+  regr_slope(y, x) FILTER (both_) AS slope, regr_intercept(y, x) FILTER (both_) AS icept
   FROM pairs GROUP BY 1, 2, 3, 4)
 """
 

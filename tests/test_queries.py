@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 SAMPLE = ("resample_right", "align_tables", "clean_causal", "rolling_stats", "gas_balance", "regime", "availability", "fc_seasonal", "metrics_gs",
-          "column_gate", "hard_winner", "profile", "lag_corr", "setpoints", "plan_audit", "knn_patterns", "training_set")
+          "column_gate", "hard_winner", "profile", "lag_corr", "setpoints", "plan_audit", "knn_patterns", "router_features")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
