@@ -12,7 +12,7 @@ from slotwise.sources.tables import FieldSpec, TableSpec, bind_fields, forecast_
 
 
 @query("resample_right", """
-SELECT event_type AS field, to_timestamp(k * 3600)::TIMESTAMP AS ts, avg_v AS mean_value, sum_v AS sum_value,
+SELECT event_type AS field, make_timestamp(k * 3600000000) AS ts, avg_v AS mean_value, sum_v AS sum_value,
        min_v AS min_value, max_v AS max_value, first_v AS first_value, last_v AS last_value
 FROM (SELECT event_type, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS k,
              round(avg(value), 6) AS avg_v, round(sum(value), 6) AS sum_v, min(value) AS min_v, max(value) AS max_v,
