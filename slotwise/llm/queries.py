@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slotwise.llm.decontaminate import contaminated, contamination, items_digest
 from slotwise.llm.near_copies import near_copies
 from slotwise.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"),
+        contaminated().alias("contaminated"), "hits")
+
+
 def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(read(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontaminate": op3_decontaminate,
     "op10_near_copies": op10_near_copies,
 }
 
