@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
+from slotwise.llm.language import predict_documents
 from slotwise.llm.near_copies import near_copies
+from slotwise.llm.secret_scan import BASE, secrets
 from slotwise.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +23,28 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         contaminated().alias("contaminated"), "hits")
 
 
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets(read(spark, sf, "documents").select("doc_id", "text"))
+    base = F.expr(f"filter(secrets, s -> s.kind in ({', '.join(repr(r.kind) for r in BASE)}))")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",")
+    count = lambda kind: F.size(F.expr(f"filter(secrets, s -> s.kind = '{kind}')")).cast("long")
+    return found.select(
+        "doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE], F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("secrets")).alias("spans"))
+
+
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    return predict_documents(read(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
 def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(read(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_secrets": op5_secrets,
+    "op8_language": op8_language,
     "op10_near_copies": op10_near_copies,
 }
 
