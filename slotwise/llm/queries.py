@@ -12,6 +12,10 @@ from slotwise.llm.language import predict_documents
 from slotwise.llm.near_copies import near_copies
 from slotwise.llm.secret_scan import BASE, secrets
 from slotwise.llm.texts import read
+from slotwise.llm.unigram import encode
+
+#: Public piece vocabulary with byte fallback; any SentencePiece model file will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +37,10 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
         text(F.col("secrets")).alias("spans"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf: str, path: str = PIECES) -> DataFrame:
+    return encode(read(spark, sf, "documents").select("doc_id", "text"), path).drop("text")
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return predict_documents(read(spark, sf, "documents").select("doc_id", "text", "lang"))
 
@@ -44,6 +52,7 @@ def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_secrets": op5_secrets,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_language": op8_language,
     "op10_near_copies": op10_near_copies,
 }

@@ -141,6 +141,22 @@ def _words_of_piece(data, edge, table, lower, base):
     return mix(h), begin + base, stop + base
 
 
+def segment_hash(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of adjoining segments (``stop[i] == begin[i + 1]``); long input is hashed in pieces of whole segments."""
+    out, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):
+        base = int(begin[i])
+        j = max(i + 1, int(np.searchsorted(stop, base + SLICE_BYTES, "right")))
+        part = data[base : int(stop[j - 1])]
+        up, down = _power_table(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+        b, e = begin[i:j] - base, stop[i:j] - base
+        out[i:j] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+        i = j
+    return out
+
+
 def shingles(h: np.ndarray, word_offsets: np.ndarray, size: int):
     """Hash of every run of ``size`` words inside a row; a row of fewer words, but not none, is one shingle.
 
