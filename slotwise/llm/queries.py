@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
 from slotwise.llm.language import predict_documents
 from slotwise.llm.near_copies import near_copies
+from slotwise.llm.pseudonyms import pseudonymise
 from slotwise.llm.secret_scan import BASE, secrets
 from slotwise.llm.texts import read
 from slotwise.llm.unigram import encode
@@ -17,6 +18,9 @@ from slotwise.llm.unigram import encode
 #: Public piece vocabulary with byte fallback; any SentencePiece model file will do.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Key of the pseudonyms in the registered query; a user gives a secret one.
+PSEUDONYM_KEY = b"slotwise-public-demonstration-key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -41,6 +45,14 @@ def op6_sentencepiece(spark: SparkSession, sf: str, path: str = PIECES) -> DataF
     return encode(read(spark, sf, "documents").select("doc_id", "text"), path).drop("text")
 
 
+def op7_pseudonyms(spark: SparkSession, sf: str, key: bytes = PSEUDONYM_KEY) -> DataFrame:
+    found = pseudonymise(read(spark, sf, "documents").select("doc_id", "text"), key)
+    numbers = F.size(F.expr("filter(pii, s -> not startswith(s.kind, 'date'))")).cast("long")
+    return found.select(
+        "doc_id", "text", numbers.alias("n_numbers"), (F.size("pii") - numbers).alias("n_dates"),
+        F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",").alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return predict_documents(read(spark, sf, "documents").select("doc_id", "text", "lang"))
 
@@ -53,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_language": op8_language,
     "op10_near_copies": op10_near_copies,
 }
