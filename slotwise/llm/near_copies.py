@@ -134,53 +134,76 @@ def verified_links(classes: DataFrame, docs: DataFrame, p: MinHash, shelf: Shelf
     """Edges (a, b) between classes (id, n, bands) that share a band and whose full sets pass the threshold.
 
     A bucket of up to SMALL_BUCKET classes compares all its pairs. In a larger one every member meets the pivot (the
-    smallest id). Members that so far are in another component than the pivot are then compared with all members of
-    other components to which their distances from the pivot allow a link (Jaccard distance is a metric). So no
-    link between candidates is lost, and near copies of one text never meet pairwise.
+    smallest id). What a pivot may have missed is found by ``beside_pivot``, so no link between candidates is
+    lost, and near copies of one text never meet pairwise. Joins with texts or sets are sort-merge joins at every size.
     """
     bands = classes.select("id", "n", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    found = shelf.put(bands.join(sizes, "band"))
-    ratio = F.expr(f"{PART} * least(na, nb) >= {LEAST} * greatest(na, nb)")
+    found = shelf.put(bands.join(sizes.hint("merge"), "band"))
     small = found.where(F.col("size") <= SMALL_BUCKET).groupBy("band").agg(
         F.sort_array(F.collect_set(F.struct("id", "n"))).alias("m"))
     pairs = small.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, y.id as b, x.n as na, y.n as nb))))"
-    )).alias("q")).select("q.*").where("a < b").where(ratio).select("a", "b").distinct()
-    star = found.where(F.col("size") > SMALL_BUCKET).select(F.col("pivot").alias("a"), F.col("id").alias("b")).where(
-        "a <> b").distinct()
-    pairs = shelf.put(pairs.unionByName(star).distinct())
+    )).alias("q")).select("q.*").where(F.expr(f"a < b and {ratio('na', 'nb')}")).select("a", "b", F.lit(0).alias("star"))
+    star = found.where((F.col("size") > SMALL_BUCKET) & (F.col("id") != F.col("pivot"))).select(
+        F.col("pivot").alias("a"), F.col("id").alias("b"), F.lit(1).alias("star"))
+    pairs = shelf.put(pairs.unionByName(star).groupBy("a", "b").agg(F.max("star").alias("star")))
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shelf.put(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), p, spaced))
-    first = shelf.put(overlaps(pairs, sets))
+    sets = shelf.put(shingle_sets(docs.select("doc_id", "text").join(nodes.hint("merge"), "doc_id", "left_semi"), p, spaced))
+    first = shelf.put(overlaps(pairs, sets, F.when(F.col("star") == 1, F.sort_array(F.array_except("sb", "sa"))).alias("other")))
     links = first.where(linked()).select("a", "b")
-    large = found.where(F.col("size") > SMALL_BUCKET)
-    if large.isEmpty():
+    members = first.where("star = 1")
+    if members.isEmpty():
         return links
-    roots = components(links, shelf).withColumnRenamed("node", "id")
-    distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.expr("1 - inter / (na + nb - inter)").alias("d"))
-    pivots = large.select("pivot").distinct().join(roots.withColumnsRenamed({"id": "pivot", "root": "pivot_root"}), "pivot", "left")
-    marked = shelf.put(
-        large.join(roots, "id", "left").join(pivots, "pivot")
-        .join(distance.groupBy("pivot", "id").agg(F.min("d").alias("d")), ["pivot", "id"], "left")
-        .select("band", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"),
-                F.coalesce("d", F.lit(0.0)).alias("d")))
-    stray = marked.where("root <> pivot_root").select("band", *[F.col(c).alias(c + "_s") for c in ("id", "n", "root", "d")])
-    slack = 1 - LEAST / PART + 1e-9
-    rest = stray.join(marked, "band").where(
-        (F.col("root_s") != F.col("root")) & (F.abs(F.col("d_s") - F.col("d")) <= slack)
-        & F.expr(f"{PART} * least(n, n_s) >= {LEAST} * greatest(n, n_s)"))
-    rest = rest.select(F.least("id", "id_s").alias("a"), F.greatest("id", "id_s").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = beside_pivot(members, components(links, shelf))
+    rest = shelf.put(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     return links.unionByName(overlaps(rest, sets).where(linked()).select("a", "b"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, inter) on full sets."""
+def beside_pivot(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that met the same pivot, that its links leave in two components, and that can still be linked.
+
+    ``members`` has a (pivot), b, na, nb, inter and ``other``: the shingles of b that the pivot lacks, sorted. With t the
+    intersection that a link of s and m needs, at most min(inter_s, inter_m) of it lies in the pivot; so either that
+    alone reaches t, or s and m share at least t - min(inter_s, inter_m) other shingles. In the second case prefixes of the
+    sorted other shingles, shorter by what must be shared, have one in common, and meet by a join on (pivot, shingle).
+    Edits differ from copy to copy, so such meetings are few however many copies a pivot has.
+    """
+    label = roots.withColumnsRenamed({"node": "b", "root": "root"})
+    own = roots.withColumnsRenamed({"node": "a", "root": "pivot_root"})
+    m = members.join(label, "b", "left").join(own, "a", "left").select(
+        F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("na").alias("pivot_n"), "inter", "other",
+        F.coalesce("root", "b").alias("root"), F.coalesce("pivot_root", "a").alias("pivot_root"))
+    m = m.withColumn("stray", F.col("root") != F.col("pivot_root"))
+    # both parts of the pivot suffice: needs inter >= LEAST / PART of the own size, and one side smaller than the pivot
+    near = m.where(f"{PART} * inter >= {LEAST} * n").drop("other")
+    by_pivot = _met(near, ["pivot"], f"{PART + LEAST} * least(s_inter, m_inter) >= {LEAST} * (s_n + m_n)")
+    shared = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(LEAST) / F.lit(PART)) - F.col("inter")).cast("int")
+    keys = m.withColumn("keep", F.size("other") - shared + 1).where("keep > 0").select(
+        "pivot", "id", "n", "inter", "root", "stray", F.explode(F.slice("other", 1, F.col("keep"))).alias("shingle"))
+    return by_pivot.unionByName(_met(keys, ["pivot", "shingle"], "true")).distinct()
+
+
+def _met(m: DataFrame, keys: list[str], also: str) -> DataFrame:
+    columns = ["id", "n", "inter", "root", "stray"]
+    s = m.where("stray").select(*keys, *[F.col(c).alias(f"s_{c}") for c in columns])
+    other = m.select(*keys, *[F.col(c).alias(f"m_{c}") for c in columns])
+    met = s.join(other, keys).where(F.expr(f"s_root <> m_root and ({also}) and {ratio('s_n', 'm_n')}"))
+    return met.select(F.least("s_id", "m_id").alias("a"), F.greatest("s_id", "m_id").alias("b"))
+
+
+def ratio(a: str, b: str) -> str:
+    """Sizes that allow a link."""
+    return f"{PART} * least({a}, {b}) >= {LEAST} * greatest({a}, {b})"
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, *more) -> DataFrame:
+    """``pairs`` with na, nb and inter on full sets; ``more`` may use the sets sa and sb."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select(
-        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(
+        *[c for c in pairs.columns], F.size("sa").alias("na"), F.size("sb").alias("nb"),
+        F.size(F.array_intersect("sa", "sb")).alias("inter"), *more)
 
 
 def linked():

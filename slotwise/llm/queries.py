@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
+from slotwise.llm.fingerprints import distinct_count, printed, resemblance, with_edited
 from slotwise.llm.language import predict_documents
 from slotwise.llm.near_copies import near_copies
 from slotwise.llm.pseudonyms import pseudonymise
@@ -24,6 +25,15 @@ PSEUDONYM_KEY = b"slotwise-public-demonstration-key"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = with_edited(read(spark, sf, "documents").select("doc_id", "text"))
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(own).alias("fingerprint"),
+        printed(edited).alias("edited_fingerprint"), resemblance(own, edited).alias("near_edited"),
+        resemblance(own, F.col("next_sketch")).alias("near_next"), distinct_count(own).alias("n_distinct"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"))
     return found.select(
@@ -62,6 +72,7 @@ def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_decontaminate": op3_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_sentencepiece": op6_sentencepiece,
