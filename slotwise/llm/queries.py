@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
 from slotwise.llm.fingerprints import distinct_count, printed, resemblance, with_edited
+from slotwise.llm.kd_shards import sharded
 from slotwise.llm.language import predict_documents
 from slotwise.llm.near_copies import near_copies
 from slotwise.llm.pseudonyms import pseudonymise
@@ -34,6 +35,11 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         resemblance(own, F.col("next_sketch")).alias("near_next"), distinct_count(own).alias("n_distinct"))
 
 
+def op2_kd_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharded(read(spark, sf, "documents"), 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"))
     return found.select(
@@ -73,6 +79,7 @@ def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_kd_shards": op2_kd_shards,
     "op3_decontaminate": op3_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_sentencepiece": op6_sentencepiece,
