@@ -11,6 +11,7 @@ from slotwise.llm.decontaminate import contaminated, contamination, items_digest
 from slotwise.llm.fingerprints import distinct_count, printed, resemblance, with_edited
 from slotwise.llm.kd_shards import sharded
 from slotwise.llm.language import predict_documents
+from slotwise.llm.line_runs import without_repeats
 from slotwise.llm.near_copies import near_copies
 from slotwise.llm.pseudonyms import pseudonymise
 from slotwise.llm.secret_scan import BASE, secrets
@@ -47,6 +48,11 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         contaminated().alias("contaminated"), "hits")
 
 
+def op4_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = without_repeats(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "deleted")
+
+
 def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets(read(spark, sf, "documents").select("doc_id", "text"))
     base = F.expr(f"filter(secrets, s -> s.kind in ({', '.join(repr(r.kind) for r in BASE)}))")
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kd_shards": op2_kd_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op4_line_runs": op4_line_runs,
     "op5_secrets": op5_secrets,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pseudonyms": op7_pseudonyms,
