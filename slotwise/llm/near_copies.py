@@ -213,4 +213,4 @@ def linked():
 def one_of_each(docs: DataFrame, p: MinHash = MinHash(shingle=5), shelf: Shelf | None = None) -> DataFrame:
     """``docs`` without the near copies: the row whose doc_id names the component stays; rows without a doc_id stay."""
     found = near_copies(docs, p, shelf).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -13,6 +13,7 @@ from slotwise.llm.kd_shards import sharded
 from slotwise.llm.language import predict_documents
 from slotwise.llm.line_runs import without_repeats
 from slotwise.llm.near_copies import near_copies
+from slotwise.llm.passages import repeats
 from slotwise.llm.pseudonyms import pseudonymise
 from slotwise.llm.secret_scan import BASE, secrets
 from slotwise.llm.texts import read
@@ -79,6 +80,10 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return predict_documents(read(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
+def op9_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats(read(spark, sf, "documents"))
+
+
 def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(read(spark, sf, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_language": op8_language,
+    "op9_passages": op9_passages,
     "op10_near_copies": op10_near_copies,
 }
 
