@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotwise.llm.decontaminate import drop_contaminated
 from slotwise.llm.language import keep_recognised
@@ -20,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are cut out of the texts; documents left without a word go."""
-    return drop_repeats(docs)
+    """Later copies of line runs are cut out of the texts, and n_chars follows; documents left without a word go."""
+    return drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

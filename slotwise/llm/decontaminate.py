@@ -201,8 +201,8 @@ def without_spans(docs: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """``docs`` without the contaminated rows; the others are unchanged."""
-    found = contamination(docs, benchmark, shelf=shelf)
-    return found.where(~contaminated()).select(*docs.columns)
+    rows, back = texts.aside(docs)
+    return contamination(rows, benchmark, shelf=shelf).where(~contaminated()).select(*back)
 
 
 def items_digest():

@@ -73,12 +73,15 @@ def printed(a: Column) -> Column:
 
 #: Most ranges of doc_id; the two-step search below keeps the plan's literals and each row's work small.
 MAX_RANGES = 32768
-#: Order inside a range: descending doc_id, then the rows that come from the neighbour range.
-ORDER = Window.partitionBy("range").orderBy("halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+
+
+def order():
+    """Order inside a range: descending doc_id, then the rows that come from the neighbour range."""
+    return Window.partitionBy("range").orderBy("halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
 
 
 def ranged(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, text, range, halo) such that within a range, by ORDER, each row with halo 0 precedes its next document.
+    """(doc_id, text, range, halo) such that within a range, by ``order``, each row with halo 0 precedes its next document.
 
     The next document is the next one by descending doc_id, and the first one after the last. Cut points are doc_ids of
     the table (approximate quantiles), so rows at a cut are known where they are read and also go to the range
@@ -128,10 +131,10 @@ def with_edited(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     text, following = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = ranged(docs, range_bytes)
-    rows = rows.select("*", F.char_length(text).alias("n_chars"), F.lead("text").over(ORDER).alias("next_text"))
+    rows = rows.select("*", F.char_length(text).alias("n_chars"), F.lead("text").over(order()).alias("next_text"))
     rows = rows.select(
         "range", "halo", "doc_id", "text", "n_chars", sketch(F.col("text")).alias("sketch"),
         F.concat(F.substring(text, F.lit(1), F.col("n_chars") - half), F.substring(following, F.lit(1), half)).alias("edited"))
-    rows = rows.select("*", F.lead("sketch").over(ORDER).alias("next_sketch")).where("halo = 0")
+    rows = rows.select("*", F.lead("sketch").over(order()).alias("next_sketch")).where("halo = 0")
     return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited", "sketch",
                        sketch(F.col("edited")).alias("edited_sketch"), "next_sketch")

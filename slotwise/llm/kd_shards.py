@@ -50,7 +50,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     scaled = (F.col("doc_id").cast("double") - low) / max(1.0, float(high) - float(low)) * ((1 << VALUE) - 1)
     values = [F.log2(F.col("size").cast("double")) * ((1 << VALUE) / 64), hashed("lang"), hashed("source"), scaled]
     rows = docs.select(
-        "*", size_of().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+        "doc_id", *[c for c in ("lang", "source") if c in docs.columns], size_of().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     tie = F.xxhash64("doc_id", "text_crc32", "size")
     again = F.monotonically_increasing_id().bitwiseAND((1 << 12) - 1)
     tie = F.shiftrightunsigned(tie, 64 - TIE).bitwiseXOR(again)

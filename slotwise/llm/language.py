@@ -210,5 +210,5 @@ def predict_documents(docs: DataFrame, grams: Grams = Grams()) -> DataFrame:
 def keep_recognised(docs: DataFrame, least: float = 0.5, grams: Grams = Grams()) -> DataFrame:
     """``docs`` whose language is recognised with a posterior of at least ``least``; columns are unchanged."""
     model = fit(docs.where(~held_out()).select("text", "lang"), grams)
-    found = predict(docs, model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    rows, back = texts.aside(docs)
+    return predict(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*back)

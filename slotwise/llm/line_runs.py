@@ -123,10 +123,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | No
     document and lose the same lines. Null doc_ids come before all others. Columns of ``docs`` with the
     result's names are replaced.
     """
-    base = texts.no_clash(docs, "n_lines", "deleted", "doc", "copy")
-    found = later_copies(docs.select("doc_id", "text"), least, shelf)
+    base = texts.no_clash(docs, "n_lines", "deleted")
+    found = later_copies(docs.select("doc_id", "text"), least, shelf).withColumnsRenamed({"doc": "_doc", "copy": "_copy"})
     doc, copy = _document()
-    rows = base.withColumns({"doc": doc, "copy": copy}).join(found.hint("merge"), ["doc", "copy"], "left").drop("doc", "copy")
+    rows = base.withColumns({"_doc": doc, "_copy": copy}).join(found.hint("merge"), ["_doc", "_copy"], "left").drop("_doc", "_copy")
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
     kept = bound(F.split("text", "\n", -1), lambda lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted")), lambda i: F.get(lines, i)), "\n"))
@@ -137,5 +137,6 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | No
 
 def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | None = None) -> DataFrame:
     """``docs`` without the lines of later copies, and without the rows of which the deletion leaves no word."""
-    rows = without_repeats(docs, least, shelf)
-    return rows.where((F.size("deleted") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*docs.columns)
+    rows, back = texts.aside(docs)
+    rows = without_repeats(rows, least, shelf)
+    return rows.where((F.size("deleted") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*back)

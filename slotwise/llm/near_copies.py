@@ -33,7 +33,7 @@ class MinHash:
 #: Link when PART * intersection >= LEAST * union.
 PART, LEAST = 100, 80
 #: Buckets up to this size compare all their members; larger ones go through pivots and then the exact rest.
-SMALL_BUCKET = 12
+SMALL_BUCKET = 3
 
 
 def circulant_signatures(values: np.ndarray, at: np.ndarray, p: MinHash) -> np.ndarray:
@@ -134,12 +134,17 @@ def verified_links(classes: DataFrame, docs: DataFrame, p: MinHash, shelf: Shelf
     """Edges (a, b) between classes (id, n, bands) that share a band and whose full sets pass the threshold.
 
     A bucket of up to SMALL_BUCKET classes compares all its pairs. In a larger one every member meets the pivot (the
-    smallest id). What a pivot may have missed is found by ``beside_pivot``, so no link between candidates is
+    one whose buckets are the largest in sum, then the smallest id, so copies of one text meet the same pivot in all bands, mostly
+    that text itself). What a pivot may have missed is found by ``beside_pivot``, so no link between candidates is
     lost, and near copies of one text never meet pairwise. Joins with texts or sets are sort-merge joins at every size.
     """
     bands = classes.select("id", "n", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     found = shelf.put(bands.join(sizes.hint("merge"), "band"))
+    weights = found.groupBy("id").agg(F.sum("size").alias("weight"))
+    central = found.where(F.col("size") > SMALL_BUCKET).join(weights, "id").groupBy("band").agg(
+        F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("pivot"))
+    found = shelf.put(found.join(central, "band", "left"))
     small = found.where(F.col("size") <= SMALL_BUCKET).groupBy("band").agg(
         F.sort_array(F.collect_set(F.struct("id", "n"))).alias("m"))
     pairs = small.select(F.explode(F.expr(

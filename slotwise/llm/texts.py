@@ -199,5 +199,7 @@ def no_clash(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in lowered])
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """``docs`` with every column that the operator doesn't use renamed out of the way, and columns that undo it."""
+    names = {c: c if c in ("doc_id", "text", *used) else f"_own_{c}" for c in docs.columns}
+    return docs.withColumnsRenamed({a: b for a, b in names.items() if a != b}), [F.col(b).alias(a) for a, b in names.items()]
