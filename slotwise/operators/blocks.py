@@ -53,6 +53,21 @@ def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.withColumn("_one", packed).select(*rows.columns, "_one.*")
 
 
+#: Rows that a table joined by ``join_small`` may have.
+SMALL_ROWS = 100_000
+
+
+def join_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
+    """Join with a table that is small by construction (columns, cells, folds), without moving ``rows``.
+
+    A key with a few values would send all rows to as many tasks. The table is broadcast, and its number of rows is
+    checked where it is built: beyond ``limit`` the job fails.
+    """
+    counted = table.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    checked = counted.where(F.assert_true(F.col("_rows") <= limit, F.lit("join_small: table too large")).isNull()).drop("_rows")
+    return rows.join(F.broadcast(checked), list(keys), how)
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str],

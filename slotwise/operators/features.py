@@ -5,9 +5,9 @@ A rolling frame always ends at the previous slot, so the current value is never
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -86,44 +86,58 @@ def rolling_features(
         back=max(windows), block=block)
 
 
-def ewma_memory(alpha: float) -> int:
-    """Slots after which an older reading weighs less than one part in 1e18 of a mean.
-
-    With a reading after ``g`` slots the old mean keeps the share ow/(ow+alpha), ow=(1-alpha)^g.
-    The slowest forgetting per slot over all gaps bounds the memory.
-    """
-    rate = max(
-        ((1 - alpha) ** g / ((1 - alpha) ** g + alpha)) ** (1 / g) for g in range(1, 400))
-    return math.ceil(math.log(1e-18) / math.log(rate))
-
-
 def ewma(
     grid: DataFrame, span: int = 8, column: str = "value", out: str = "ewma", least: int = 2,
     keys: Sequence[str] = KEYS, block: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted mean without adjustment; empty slots age the weight and repeat the mean.
 
-    The recurrence has no frame form, so pandas runs it over one block plus the slots the mean can
-    still remember. Blocks hold a bounded number of rows; longer gaps are bridged by ``carry_last``.
+    A reading after g slots maps the mean m to a m + c with a = o / (o + alpha), o = (1 - alpha) ** g. Such maps compose, so
+    each block of slots gives the map from its first reading to every later one, the short block table (one row per
+    block and series) is run through in order, and every row applies its map to the mean its block starts with. Exact for
+    every span and gap; a block never looks back.
     """
     alpha = 2.0 / (span + 1.0)
-    memory = ewma_memory(alpha)
-    size = max(block or DEFAULT_BLOCK, memory)
-    here = block_of("pos", size)
-    spread = grid.withColumn(
-        "_blk", F.explode(F.array_distinct(F.array(here, block_of(F.col("pos") + memory, size)))))
-    narrow = spread.select(*keys, "_blk", "pos", F.col(column).alias("_x"))
-    schema = T.StructType([
-        *[narrow.schema[k] for k in (*keys, "_blk", "pos")], T.StructField("_mean", T.DoubleType())])
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pdf["_mean"] = pdf["_x"].astype(float).ewm(span=span, adjust=False, min_periods=1).mean()
-        mine = pdf["pos"] // size == pdf["_blk"]
-        return pdf.loc[mine, [*keys, "_blk", "pos", "_mean"]]
+    size = block or DEFAULT_BLOCK
+    narrow = grid.where(F.col(column).isNotNull()).select(
+        *keys, block_of("pos", size).alias("_blk"), "pos", F.col(column).cast("double").alias("_x"))
+    real = T.DoubleType()
+    schema = T.StructType([*narrow.schema.fields, T.StructField("_a", real), T.StructField("_c", real)])
 
-    smoothed = narrow.groupBy(*keys, "_blk").applyInPandas(smooth, schema).drop("_blk")
-    known = smoothed.where(F.col("_mean").isNotNull())
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        old = (1.0 - alpha) ** pdf["pos"].diff().to_numpy(dtype=float, na_value=np.nan)
+        slopes, a, c = (old / (old + alpha)).tolist(), 1.0, 0.0
+        rows = []
+        for slope, x in zip(slopes, pdf["_x"].tolist()):
+            if rows:
+                a, c = slope * a, slope * c + (1.0 - slope) * x
+            rows.append((a, c))
+        pdf["_a"], pdf["_c"] = [r[0] for r in rows], [r[1] for r in rows]
+        return pdf
+
+    mapped = narrow.groupBy(*keys, "_blk").applyInPandas(maps, schema)
+    ends = mapped.groupBy(*keys, "_blk").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("_x", "pos").alias("x"),
+        F.max_by("_a", "pos").alias("a"), F.max_by("_c", "pos").alias("c"))
+    start = T.StructType([*[mapped.schema[k] for k in (*keys, "_blk")], T.StructField("_m", real)])
+
+    def through(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        means, mean, before = [], None, 0
+        for first, last, x, a, c in zip(*[pdf[n].tolist() for n in ("first", "last", "x", "a", "c")]):
+            if mean is None:
+                mean = x
+            else:
+                old = (1.0 - alpha) ** (first - before)
+                mean = (old * mean + alpha * x) / (old + alpha)
+            means.append(mean)
+            mean, before = a * mean + c, last
+        pdf["_m"] = means
+        return pdf[[*keys, "_blk", "_m"]]
+
+    opening = ends.groupBy(*keys).applyInPandas(through, start)
+    known = mapped.join(opening, [*keys, "_blk"]).select(*keys, "pos", (F.col("_a") * F.col("_m") + F.col("_c")).alias("_mean"))
     rows = grid.join(known, [*keys, "pos"], "left")
     seen = running_total(rows, keys, F.col(column).isNotNull().cast("int"), "_seen_readings", block=size)
     carried = carry_last(seen, keys, F.col("_mean"), "_carried", block=size)

@@ -65,8 +65,15 @@ def check_request(grid: DataFrame, origins: DataFrame, targets: Sequence[str], h
     require_zero(missing_origins(origins, grid), "origin outside the grid")
 
 
-def input_frame_rules(frame: DataFrame, columns: Sequence[str], key: str = "series_id") -> DataFrame:
-    """Contract of a model-input frame: one row per slot, no hole, every cell finite."""
+def input_frame_rules(
+    frame: DataFrame, columns: Sequence[str], key: str = "series_id", origins: DataFrame | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """Contract of a model-input frame: one row per slot, no hole, every cell finite.
+
+    With ``origins`` (key, pos) every expected series has a row here, also if the frame lacks it, and ``missing`` and
+    ``unexpected`` count the differing slots; ``rows`` is the expected number per series. An empty frame gives one failed row.
+    """
     stepped = with_halo(
         frame, [key], lambda rows, w: rows.withColumn("_prev", F.lag("pos").over(w)), back=1)
     cells = [F.col(c) for c in columns]
@@ -76,8 +83,20 @@ def input_frame_rules(frame: DataFrame, columns: Sequence[str], key: str = "seri
         F.count_if(F.col("_prev") == F.col("pos")).alias("repeated"),
         F.count_if(F.col("pos") - F.col("_prev") > 1).alias("holes"),
         F.sum("_bad").alias("non_finite"))
-    return spans.join(scanned, key).withColumn(
-        "status", F.when(F.expr("repeated = 0 AND holes = 0 AND non_finite = 0"), "passed").otherwise("failed"))
+    out = spans.join(scanned, key)
+    broken = F.expr("repeated > 0 OR holes > 0 OR non_finite > 0")
+    if origins is not None:
+        apart = origin_difference(frame, origins, (key, "pos")).groupBy(key).agg(
+            F.count_if(F.col("problem") == "missing").alias("missing"), F.count_if(F.col("problem") == "unexpected").alias("unexpected"))
+        out = out.join(apart, key, "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("missing", "unexpected", "rows")})
+        broken = broken | F.expr("missing > 0 OR unexpected > 0")
+    if rows is not None:
+        broken = broken | (F.col("rows") != rows)
+    out = out.withColumn("status", F.when(F.coalesce(broken, F.lit(True)), "failed").otherwise("passed"))
+    nothing = frame.sparkSession.range(1).select(*[
+        F.lit("failed" if f.name == "status" else 0 if f.name == "rows" else None).cast(f.dataType).alias(f.name) for f in out.schema.fields])
+    empty = out.agg(F.count(F.lit(1)).alias("n")).select("n")
+    return out.unionByName(beside(nothing, empty).where("n = 0").drop("n"))
 
 
 def origin_difference(frame: DataFrame, origins: DataFrame, keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
@@ -90,9 +109,13 @@ def origin_difference(frame: DataFrame, origins: DataFrame, keys: Sequence[str]
 def forecast_frame_rules(
     wide: DataFrame, targets: Sequence[str], horizons: Sequence[int], step_minutes: int = 15,
     capacities: Mapping[str, float] | None = None, part: str | None = None, total: str | None = None,
-    time_column: str = "datetime",
+    time_column: str = "datetime", origins: DataFrame | None = None, tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Rules of a wide forecast table (``datetime`` text plus one column per target and horizon)."""
+    """Rules of a wide forecast table (``datetime`` text plus one column per target and horizon).
+
+    Limits hold up to ``tolerance``. An empty table breaks ``empty``. With ``origins`` (the key columns), ``origins`` counts
+    the keys found on one side only.
+    """
     expected = forecast_columns(targets, horizons, step_minutes)
     found = [c for c in wide.columns if c not in (time_column, "series_id")]
     if found != expected:
@@ -103,30 +126,52 @@ def forecast_frame_rules(
     rules = {
         "time_format": ~F.col(time_column).rlike(pattern),
         "non_finite": sum((finite(F.col(f"`{c}`")).isNull().cast("int") for c in expected), F.lit(0)) > 0,
-        "negative": F.least(*[F.col(f"`{c}`") for c in expected], F.lit(0.0)) < 0,
+        "negative": F.least(*[F.col(f"`{c}`") for c in expected], F.lit(0.0)) < -tolerance,
     }
     for target, capacity in (capacities or {}).items():
-        rules[f"capacity_{target}"] = F.greatest(*[cell(target, h) for h in horizons], F.lit(0.0)) > capacity
+        rules[f"capacity_{target}"] = F.greatest(*[cell(target, h) for h in horizons], F.lit(0.0)) > capacity + tolerance
     if part and total:
-        over = [(cell(part, h) > cell(total, h) + 1e-6).cast("int") for h in horizons]
+        over = [(cell(part, h) > cell(total, h) + tolerance).cast("int") for h in horizons]
         rules["part_over_total"] = sum(over, F.lit(0)) > 0
     counted = count_rules(wide, rules)
     keys = [c for c in ("series_id", time_column) if c in wide.columns]
     copies = duplicates(wide, keys).agg(F.lit("unique_origin").alias("check"), F.count(F.lit(1)).alias("broken"))
-    return counted.unionByName(copies.withColumn(
-        "status", F.when(F.col("broken") == 0, "passed").otherwise("failed")))
+    checks = [copies, empty_table(wide)]
+    if origins is not None:
+        apart = origin_difference(wide, origins, keys)
+        checks.append(apart.agg(F.lit("origins").alias("check"), F.count(F.lit(1)).alias("broken")))
+    for check in checks:
+        counted = counted.unionByName(check.withColumn("status", F.when(F.col("broken") == 0, "passed").otherwise("failed")))
+    return counted
 
 
-def plan_frame_rules(plan: DataFrame, time_column: str = "datetime", prefix: str = "opt_") -> DataFrame:
-    """A dispatch plan table: prefixed columns, finite and not negative."""
+def empty_table(df: DataFrame) -> DataFrame:
+    """(check, broken): one breach if there is no row."""
+    return df.agg(F.lit("empty").alias("check"), (F.count(F.lit(1)) == 0).cast("bigint").alias("broken"))
+
+
+def plan_frame_rules(
+    plan: DataFrame, time_column: str = "datetime", prefix: str = "opt_", columns: Sequence[str] | None = None,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """A dispatch plan table: prefixed columns (``columns``: exactly these, in order), a time in every row, once per plan,
+    cells finite and not below -``tolerance``, and not empty."""
     cells = [c for c in plan.columns if c not in (time_column, "series_id", "plan_id")]
     wrong = [c for c in cells if not c.startswith(prefix)]
+    if columns is not None and cells != list(columns):
+        raise ContractError(f"plan columns differ: expected {list(columns)}, found {cells}")
     if wrong or not cells:
         raise ContractError(f"plan columns must start with {prefix}: {wrong}")
-    return count_rules(plan, {
+    counted = count_rules(plan, {
         "non_finite": sum((finite(F.col(c)).isNull().cast("int") for c in cells), F.lit(0)) > 0,
-        "negative": F.least(*[F.col(c) for c in cells], F.lit(0.0)) < 0,
+        "negative": F.least(*[F.col(c) for c in cells], F.lit(0.0)) < -tolerance,
+        "no_time": F.col(time_column).isNull(),
     })
+    keys = [c for c in ("series_id", "plan_id", time_column) if c in plan.columns]
+    copies = duplicates(plan, keys).agg(F.lit("unique_time").alias("check"), F.count(F.lit(1)).alias("broken"))
+    for check in (copies, empty_table(plan)):
+        counted = counted.unionByName(check.withColumn("status", F.when(F.col("broken") == 0, "passed").otherwise("failed")))
+    return counted
 
 
 def bundle_rules(parts: Mapping[str, DataFrame]) -> DataFrame:

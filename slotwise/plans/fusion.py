@@ -7,7 +7,6 @@ leave-one-fold figures are totals minus the held fold. Python sees a few short r
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.window import Window
 
 from slotwise.functions.clock import hour_bin
 from slotwise.functions.numbers import ape_floor, finite
-from slotwise.operators.blocks import beside
+from slotwise.operators.blocks import beside, join_small
 from slotwise.operators.order_stats import weighted_median
 from slotwise.plans.gates import CELL, column_gate
 from slotwise.session import cut_lineage
@@ -37,14 +36,35 @@ def fold_weight(fold: Column, prefixes: Mapping[str, float] | None) -> Column:
     return out
 
 
+def eligible(wide: DataFrame, models: Sequence[str], masks: DataFrame | None, cell: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``wide`` with ``_mask`` (which models its cell may use), and the condition that a row counts."""
+    if masks is None:
+        wide = wide.withColumn("_mask", F.array(*[F.lit(True)] * len(models)))
+    else:
+        wide = join_small(wide, masks.select(*cell, F.col("mask").alias("_mask")), cell)
+    usable = finite("y_true").isNotNull()
+    for i, m in enumerate(models):
+        usable = usable & (finite(m).isNotNull() | ~allowed(i))
+    return wide, usable
+
+
+def allowed(i: int) -> Column:
+    return F.coalesce(F.get("_mask", F.lit(i)), F.lit(False))
+
+
 def gram(
     wide: DataFrame, models: Sequence[str], by: Sequence[str] = (*CELL, "fold"),
     prefixes: Mapping[str, float] | None = None, fold: str = "fold",
+    masks: DataFrame | None = None, cell: Sequence[str] = CELL,
 ) -> DataFrame:
-    """Sums of scaled products per group: g_i_j = sum w p_i p_j / d^2, b_i = sum w p_i y / d^2."""
-    usable = finite("y_true").isNotNull()
-    for m in models:
-        usable = usable & finite(m).isNotNull()
+    """Sums of scaled products per group: g_i_j = sum w p_i p_j / d^2, b_i = sum w p_i y / d^2.
+
+    A row counts if the label and all models that ``masks`` (cell, mask) allows in its cell are finite; a
+    rejected model may be missing and adds nothing.
+    """
+    wide, usable = eligible(wide, models, masks, cell)
+    wide = wide.select(*[c for c in wide.columns if c not in models], *[
+        F.when(allowed(i), F.col(m)).otherwise(0.0).alias(m) for i, m in enumerate(models)])
     scale = fold_weight(F.col(fold), prefixes) / F.pow(F.greatest(F.abs(F.col("y_true")), F.lit(FLOOR)), F.lit(2.0))
     rows = wide.where(usable).withColumn("_s", scale)
     sums = [F.count(F.lit(1)).alias("n")]
@@ -55,34 +75,53 @@ def gram(
 
 
 def simplex_fit(matrix: np.ndarray, vector: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """argmin w'Gw - 2b'w over the simplex, restricted to allowed members.
+    """argmin w'Gw - 2b'w over the simplex, restricted to allowed members, by an active set.
 
-    Each support set is solved in closed form; the best feasible one is the optimum.
+    Starts at the best single member; the member that lowers the loss fastest joins the support, the support is solved
+    in closed form, and a member whose weight would turn negative leaves at the boundary. The loss falls with each
+    support, so none comes twice and the number of members is not limited.
     """
     members = np.flatnonzero(allowed)
-    best, best_loss = None, np.inf
-    for size in range(1, len(members) + 1):
-        for support in combinations(members, size):
-            idx = np.array(support)
-            kkt = np.zeros((size + 1, size + 1))
-            kkt[:size, :size] = matrix[np.ix_(idx, idx)]
-            kkt[:size, size] = kkt[size, :size] = 1.0
-            try:
-                part = np.linalg.solve(kkt, np.append(vector[idx], 1.0))[:size]
-            except np.linalg.LinAlgError:
-                continue
-            if part.min() < -1e-12 or not np.isfinite(part).all():
-                continue
-            part = np.maximum(part, 0.0)
-            part = part / part.sum()
-            loss = part @ matrix[np.ix_(idx, idx)] @ part - 2.0 * vector[idx] @ part
-            if loss < best_loss - 1e-12 * max(1.0, abs(best_loss) if np.isfinite(best_loss) else 1.0):
-                best, best_loss = (idx, part), loss
+    g, b = matrix[np.ix_(members, members)], vector[members]
     out = np.zeros(len(vector))
-    if best is None:
+    if not len(members):
+        return out
+    if not (np.isfinite(g).all() and np.isfinite(b).all()):
         out[members] = 1.0 / len(members)
-    else:
-        out[best[0]] = best[1]
+        return out
+    scale = max(np.abs(np.diag(g)).max(), np.abs(b).max(), 1e-300)
+    g, b = g / scale, b / scale
+    w = np.zeros(len(members))
+    w[np.argmin(np.diag(g) - 2 * b)] = 1.0
+    for _ in range(20 * len(members) + 20):
+        slope = g @ w - b
+        support = w > 0
+        level = float(slope @ w)
+        outside = np.where(support, np.inf, slope - level)
+        enter = int(np.argmin(outside))
+        if outside[enter] >= -1e-12:
+            break
+        support[enter] = True
+        while True:
+            idx = np.flatnonzero(support)
+            kkt = np.zeros((len(idx) + 1, len(idx) + 1))
+            kkt[:-1, :-1] = g[np.ix_(idx, idx)]
+            kkt[:-1, -1] = kkt[-1, :-1] = 1.0
+            part = np.linalg.lstsq(kkt, np.append(b[idx], 1.0), rcond=None)[0][:-1]
+            if part.min() >= -1e-12:
+                w[:] = 0.0
+                w[idx] = np.maximum(part, 0.0)
+                break
+            falling = part < 0
+            share = np.min(w[idx][falling] / (w[idx][falling] - part[falling]))
+            w[idx] = w[idx] + share * (part - w[idx])
+            leave = idx[falling & (w[idx] <= 1e-12)]
+            if not len(leave):
+                leave = idx[[int(np.argmin(np.where(falling, w[idx], np.inf)))]]
+            w[leave] = 0.0
+            support[leave] = False
+        w = w / w.sum()
+    out[members] = w
     return out
 
 
@@ -104,8 +143,6 @@ def oof_weights(
     into it. ``masks`` (cell, mask) limits a cell to some of the models.
     """
     k = len(models)
-    if k > 12:
-        raise ValueError("split the candidates: more than 12 in one blend are not supported")
     sums = ["n", *[f"b_{i}" for i in range(k)], *[f"g_{i}_{j}" for i in range(k) for j in range(i, k)]]
     keyed = grams.withColumn("_fold", F.col(fold).cast("string")).withColumn(
         "_regime", F.col(regime) if regime else F.lit(NOBODY)).select(*cell, "_fold", "_regime", *sums)
@@ -159,12 +196,12 @@ def apply_weights(
     pooled = chosen.where("regime IS NULL").select(*cell, *on_fold, F.col("weights").alias("_pooled"))
     rows = wide.withColumn("_held", F.col(fold).cast("string"))
     keys = [*cell, "_held"] if held_out else list(cell)
-    rows = rows.join(pooled, keys, "left")
+    rows = join_small(rows, pooled, keys, "left")
     use = F.col("_pooled")
     if regime:
         special = chosen.where("regime IS NOT NULL").select(
             *cell, *on_fold, F.col("regime").alias(regime), F.col("weights").alias("_special"))
-        rows = rows.join(special, [*keys, regime], "left")
+        rows = join_small(rows, special, [*keys, regime], "left")
         use = F.coalesce("_special", "_pooled")
     return rows.withColumn(out, mix(models, use)).drop("_held", "_pooled", "_special")
 
@@ -182,15 +219,17 @@ def hard_winner(
     wide: DataFrame, models: Sequence[str], cell: Sequence[str] = CELL, fold: str = "fold",
     prefixes: Mapping[str, float] | None = None, masks: DataFrame | None = None,
 ) -> DataFrame:
-    """(cell, held, winner, ...): least weighted loss on the other folds; ``held`` null uses all folds."""
+    """(cell, held, winner, ...): least weighted loss on the other folds; ``held`` null uses all folds.
+
+    Models that ``masks`` rejects neither win nor drop a row by being missing.
+    """
     weight = fold_weight(F.col(fold), prefixes)
-    labelled = finite("y_true").isNotNull()
-    for m in models:
-        labelled = labelled & finite(m).isNotNull()
+    wide, labelled = eligible(wide, models, masks, cell)
+    loss = [F.when(allowed(i), ape_floor("y_true", m)).otherwise(0.0) for i, m in enumerate(models)]
     per_fold = wide.groupBy(*cell, F.col(fold).cast("string").alias("held")).agg(
         F.sum(F.when(labelled, weight).otherwise(0.0)).alias("_w"), F.count_if(labelled).alias("_n"),
-        F.array(*[F.coalesce(F.sum(F.when(labelled, weight * ape_floor("y_true", m))), F.lit(0.0)) for m in models]).alias("_loss"),
-        F.array(*[F.coalesce(F.sum(F.when(labelled, ape_floor("y_true", m))), F.lit(0.0)) for m in models]).alias("_plain"))
+        F.array(*[F.coalesce(F.sum(F.when(labelled, weight * x)), F.lit(0.0)) for x in loss]).alias("_loss"),
+        F.array(*[F.coalesce(F.sum(F.when(labelled, x)), F.lit(0.0)) for x in loss]).alias("_plain"))
     if masks is not None:
         per_fold = per_fold.join(masks.select(*cell, "mask"), list(cell))
     else:
@@ -231,7 +270,7 @@ def apply_winner(wide: DataFrame, winners: DataFrame, models: Sequence[str], out
                  cell: Sequence[str] = CELL, fold: str = "fold") -> DataFrame:
     """Prediction of the model that won without the row's fold."""
     picks = winners.where("held IS NOT NULL").select(*cell, F.col("held").alias("_held"), F.col("winner").alias("_winner"))
-    rows = wide.withColumn("_held", F.col(fold).cast("string")).join(picks, [*cell, "_held"], "left")
+    rows = join_small(wide.withColumn("_held", F.col(fold).cast("string")), picks, [*cell, "_held"], "left")
     value = F.coalesce(*[F.when(F.col("_winner") == m, F.col(m)) for m in models])
     return rows.withColumn(out, value).drop("_held", "_winner")
 
@@ -260,7 +299,7 @@ def calibrate(
 ) -> DataFrame:
     """Multiply by the factor of the target hour; no factor means 1."""
     on = [*keys, "hour_bin"]
-    joined = rows.withColumn("hour_bin", hour_bin(time, bin_size)).join(factors.select(*on, "factor"), on, "left")
+    joined = join_small(rows.withColumn("hour_bin", hour_bin(time, bin_size)), factors.select(*on, "factor"), on, "left")
     return joined.withColumn(out, F.col(prediction) * F.coalesce("factor", F.lit(1.0))).drop("factor", "hour_bin")
 
 
@@ -296,10 +335,10 @@ def fuse(
     passed = admitted.groupBy(*cell).agg(F.collect_set(F.when(F.col("passed"), F.col("candidate"))).alias("_in"))
     masks = passed.select(*cell, F.array(
         F.lit(True), *[F.array_contains("_in", m) for m in contenders]).alias("mask"))
-    weights = oof_weights(gram(wide, ordered, (*cell, "fold"), prefixes), ordered, cell, masks)
+    weights = oof_weights(gram(wide, ordered, (*cell, "fold"), prefixes, masks=masks, cell=cell), ordered, cell, masks)
     rows = apply_weights(wide, weights, ordered, "_blend", cell)
     if regime:
-        special = oof_weights(gram(wide, ordered, (*cell, "fold", regime), prefixes), ordered, cell, masks, regime,
+        special = oof_weights(gram(wide, ordered, (*cell, "fold", regime), prefixes, masks=masks, cell=cell), ordered, cell, masks, regime,
                               minimum_samples, shrinkage)
         rows = apply_weights(rows, special, ordered, "_regime_blend", cell, regime=regime)
         rows = _advance(rows, "_blend", "_regime_blend", "_after_regime", "_regime_ok", cell, gate)
@@ -327,7 +366,7 @@ def fuse(
 def _advance(rows: DataFrame, current: str, challenger: str, out: str, flag: str, cell, gate) -> DataFrame:
     """Replace ``current`` by ``challenger`` in the cells where the challenger passes the gate."""
     verdict = column_gate(rows, [challenger], current, **gate).select(*cell, F.col("passed").alias(flag))
-    joined = rows.join(verdict, list(cell), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    joined = join_small(rows, verdict, cell, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return cut_lineage(joined.withColumn(out, F.when(F.col(flag), F.col(challenger)).otherwise(F.col(current))))
 
 

@@ -21,12 +21,22 @@ def reasons(*rules: tuple[str, Column]) -> Column:
 def fold_gains(
     wide: DataFrame, candidates: Sequence[str], baseline: str, cell: Sequence[str] = CELL, fold: str = "fold",
 ) -> DataFrame:
-    """(cell, candidate, fold, gain): mean floored error of the baseline minus that of the candidate."""
+    """(cell, candidate, fold, gain): mean floored error of the baseline minus that of the candidate.
+
+    A (cell, candidate, fold) without a usable row is left out.
+    """
+    return all_fold_gains(wide, candidates, baseline, cell, fold).where("gain IS NOT NULL")
+
+
+def all_fold_gains(
+    wide: DataFrame, candidates: Sequence[str], baseline: str, cell: Sequence[str] = CELL, fold: str = "fold",
+) -> DataFrame:
+    """The same with a null gain where nothing can be compared."""
     usable = lambda c: finite("y_true").isNotNull() & finite(baseline).isNotNull() & finite(c).isNotNull()
     arms = F.array(*[
         F.struct(F.lit(c).alias("candidate"), F.when(usable(c), ape_floor("y_true", baseline)).alias("b"),
                  F.when(usable(c), ape_floor("y_true", c)).alias("c")) for c in candidates])
-    long = wide.select(*cell, fold, F.explode(arms).alias("_a")).where("_a.b IS NOT NULL")
+    long = wide.select(*cell, fold, F.explode(arms).alias("_a"))
     return long.groupBy(*cell, F.col("_a.candidate").alias("candidate"), fold).agg(
         F.avg("_a.b").alias("baseline_mape"), F.avg("_a.c").alias("candidate_mape")).withColumn(
             "gain", F.col("baseline_mape") - F.col("candidate_mape"))
@@ -37,13 +47,17 @@ def column_gate(
     fold: str = "fold", minimum_mean_gain: float = 0.0, maximum_worst_degradation: float = 0.01,
     minimum_non_degraded_folds: int = 5,
 ) -> DataFrame:
-    """Per cell and candidate; the mean gain must exceed (not just reach) its minimum."""
-    gains = fold_gains(wide, candidates, baseline, cell, fold)
+    """Per cell and candidate; the mean gain must exceed (not just reach) its minimum.
+
+    A cell without a usable pair fails.
+    """
+    gains = all_fold_gains(wide, candidates, baseline, cell, fold)
     out = gains.groupBy(*cell, "candidate").agg(
         F.avg("gain").alias("mean_gain"), F.min("gain").alias("worst_gain"),
-        F.count_if(F.col("gain") >= 0).alias("non_degraded_folds"), F.count(F.lit(1)).alias("total_folds"))
+        F.count_if(F.col("gain") >= 0).alias("non_degraded_folds"), F.count("gain").alias("total_folds"))
     needed = F.least(F.lit(minimum_non_degraded_folds), F.col("total_folds"))
     listed = reasons(
+        ("nothing comparable", F.col("total_folds") == 0),
         ("mean not improved", F.col("mean_gain") <= minimum_mean_gain),
         ("too few folds held", F.col("non_degraded_folds") < needed),
         ("worst fold degraded", F.col("worst_gain") < -maximum_worst_degradation))
@@ -57,7 +71,8 @@ def candidate_gate(
 ) -> DataFrame:
     """Whole-candidate gate over folds and targets; here the mean gain may equal its minimum.
 
-    Both inputs are tidy (fold, target, horizon [, series_id, pos, target_pos], y_true, y_pred).
+    Both inputs are tidy (fold, target, horizon [, series_id, pos, target_pos], y_true, y_pred). Fails if
+    nothing can be compared; groups of ``by`` without a common row fail as well.
     """
     keys = [fold, target, horizon] + [
         c for c in ("series_id", "pos", "target_pos", *by) if c in baseline.columns and c in candidate.columns]
@@ -67,13 +82,19 @@ def candidate_gate(
     gain = F.avg("_b") - F.avg("_c")
     folds = joined.groupBy(*by, fold).agg(gain.alias("gain")).groupBy(*by).agg(
         F.avg("gain").alias("mean_gain"), F.min("gain").alias("worst_gain"),
-        F.count_if(F.col("gain") > 0).alias("improved_folds"), F.count(F.lit(1)).alias("total_folds"))
+        F.count_if(F.col("gain") > 0).alias("improved_folds"), F.count("gain").alias("total_folds"))
     targets = joined.groupBy(*by, target).agg(gain.alias("gain")).groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(target, "gain")))).alias("target_gains"),
         F.min("gain").alias("worst_target_gain"))
-    out = folds.join(targets, list(by)) if by else beside(folds, targets)
+    if by:
+        seen = baseline.select(*by).unionByName(candidate.select(*by)).distinct()
+        out = seen.join(folds, list(by), "left").join(targets, list(by), "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("improved_folds", "total_folds")})
+    else:
+        out = beside(folds, targets)
     needed = F.least(F.lit(minimum_improved_folds), F.col("total_folds"))
     listed = reasons(
+        ("nothing comparable", (F.col("total_folds") == 0) | F.col("mean_gain").isNull()),
         ("mean gain too small", F.col("mean_gain") < minimum_mean_gain),
         ("a target degraded", F.col("worst_target_gain") < 0),
         ("too few folds improved", F.col("improved_folds") < needed),

@@ -255,7 +255,8 @@ w AS (SELECT series_id, pos, max(mean8) FILTER (field = 'click') AS c, max(mean8
   WHERE field IN ('click', 'view') GROUP BY 1, 2),
 n AS (SELECT count(*) FILTER (c IS NULL OR v IS NULL) AS nf, count(*) FILTER (c > 80) AS cc, count(*) FILTER (c > v + 1e-6 OR c IS NULL OR v IS NULL) AS pt FROM w),
 k AS (SELECT * FROM (SELECT 'time_format' AS "check", CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'non_finite', nf FROM n UNION ALL SELECT 'negative', 0
-  UNION ALL SELECT 'capacity_click', cc FROM n UNION ALL SELECT 'part_over_total', pt FROM n UNION ALL SELECT 'unique_origin', 0))
+  UNION ALL SELECT 'capacity_click', cc FROM n UNION ALL SELECT 'part_over_total', pt FROM n UNION ALL SELECT 'unique_origin', 0
+  UNION ALL SELECT 'empty', CAST((SELECT count(*) = 0 FROM w) AS BIGINT)))
 """
 
 
@@ -264,10 +265,30 @@ def forecast_contract(spark, sf):
     return forecast_frame_rules(_wide_forecast(spark, sf), ("click", "view"), (1, 2), 60, {"click": 80.0}, "click", "view")
 
 
+@query("forecast_contract_planted", """
+WITH w0 AS (SELECT * FROM w), gone AS (SELECT count(*) AS n FROM w WHERE pos % 7 = 0),
+f AS (SELECT 'origins' AS "check", n AS broken FROM gone
+UNION ALL SELECT 'negative', count(*) FILTER (pos % 7 <> 0 AND c - 20 < -1e-6) FROM w
+UNION ALL SELECT 'capacity_click', count(*) FILTER (pos % 7 <> 0 AND c - 20 > 30 + 1e-6) FROM w)
+SELECT "check", broken, CASE WHEN broken = 0 THEN 'passed' ELSE 'failed' END AS status FROM f
+""".replace("WITH w0 AS (SELECT * FROM w),", _FRAME_SQL.rsplit("n AS (", 1)[0]))
+def forecast_contract_planted(spark, sf):
+    """Every seventh origin is missing, and all click forecasts are 20 too low."""
+    whole = _wide_forecast(spark, sf)
+    clicks = [c for c in whole.columns if c.startswith("click")]
+    hour = F.unix_timestamp("datetime", "yyyy-MM-dd HH:mm:ss") / HOUR
+    faulty = whole.where(hour % 7 != 0).withColumns({c: F.col(f"`{c}`") - 20 for c in clicks})
+    rules = forecast_frame_rules(faulty, ("click", "view"), (1, 2), 60, {"click": 30.0}, "click", "view", origins=whole)
+    return rules.where(F.col("check").isin("origins", "negative", "capacity_click"))
+
+
 @query("plan_contract", "WITH " + WIDE_SQL + """
 SELECT 'non_finite' AS "check", count(*) FILTER (click IS NULL OR view IS NULL) AS broken,
   CASE WHEN count(*) FILTER (click IS NULL OR view IS NULL) = 0 THEN 'passed' ELSE 'failed' END AS status FROM wide
 UNION ALL SELECT 'negative', count(*) FILTER (click - 20 < 0), CASE WHEN count(*) FILTER (click - 20 < 0) = 0 THEN 'passed' ELSE 'failed' END FROM wide
+UNION ALL SELECT 'no_time', count(*) FILTER (pos IS NULL), CASE WHEN count(*) FILTER (pos IS NULL) = 0 THEN 'passed' ELSE 'failed' END FROM wide
+UNION ALL SELECT 'unique_time', count(*) - count(DISTINCT (series_id, pos)), CASE WHEN count(*) = count(DISTINCT (series_id, pos)) THEN 'passed' ELSE 'failed' END FROM wide
+UNION ALL SELECT 'empty', (count(*) = 0)::BIGINT, CASE WHEN count(*) > 0 THEN 'passed' ELSE 'failed' END FROM wide
 """)
 def plan_contract(spark, sf):
     wide = hourly_wide(spark, sf)
