@@ -63,8 +63,8 @@ def join_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str
     A key with a few values would send all rows to as many tasks. The table is broadcast, and its number of rows is
     checked where it is built: beyond ``limit`` the job fails.
     """
-    counted = table.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    checked = counted.where(F.assert_true(F.col("_rows") <= limit, F.lit("join_small: table too large")).isNull()).drop("_rows")
+    counted = table.withColumn("_table_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    checked = counted.where(F.assert_true(F.col("_table_rows") <= limit, F.lit("join_small: table too large")).isNull()).drop("_table_rows")
     return rows.join(F.broadcast(checked), list(keys), how)
 
 

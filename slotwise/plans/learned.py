@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from slotwise.functions.clock import calendar
 from slotwise.functions.numbers import finite, mape_weight, safe_ratio
 from slotwise.functions.slots import slot_start
-from slotwise.operators.blocks import with_halo
+from slotwise.operators.blocks import join_small, with_halo
 from slotwise.operators.features import adjacent_pairs, lag_columns, rolling_columns
 from slotwise.operators.order_stats import exact_quantiles, ranked_mass
 from slotwise.operators.states import mixing_state, state_flags
@@ -88,14 +88,14 @@ def training_set(
     rows = cut_lineage(rows.where(inside & F.col("response").isNotNull()))
     size = F.abs("actual")
     floors = exact_quantiles(rows, list(CELL), F.when(size > 0, size), {"_floor": floor_quantile}).drop("n")
-    rows = rows.join(floors, list(CELL), "left")
+    rows = join_small(rows, floors, CELL, "left")
     floor = F.greatest(F.coalesce("_floor", F.lit(1.0)), F.lit(1e-6))
     raw = mape_weight("actual", floor, F.col("_end") - F.col("pos"), half_life) if weighted else mape_weight(
         F.lit(1.0), 1.0, F.col("_end") - F.col("pos"), half_life)
     rows = rows.withColumn("weight", raw)
     means = rows.groupBy(*CELL).agg(F.avg("weight").alias("_mean"), F.count(F.lit(1)).alias("_rows"))
     refuse = F.raise_error(F.lit("too few training rows in a target and horizon")).cast("boolean")
-    out = rows.join(means, list(CELL)).where(F.when(F.col("_rows") < LEAST_ROWS, refuse).otherwise(F.lit(True)))
+    out = join_small(rows, means, CELL).where(F.when(F.col("_rows") < LEAST_ROWS, refuse).otherwise(F.lit(True)))
     return out.withColumn("weight", F.col("weight") / F.col("_mean")).drop("_floor", "_mean", "_rows", "_end")
 
 
@@ -126,9 +126,9 @@ def mixup(
     # the rank of the k-th smallest draw is an exact quantile of the hash, so no cell is gathered in one task
     sizes = drawn.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_pairs")).join(counts, list(CELL)).withColumn(
         "_take", F.least(wanted, F.col("_pairs")))
-    cut = ranked_mass(drawn, list(CELL), F.col("_draw")).join(sizes, list(CELL)).where(F.col("lo") < F.col("_take")).groupBy(*CELL).agg(
+    cut = join_small(ranked_mass(drawn, list(CELL), F.col("_draw")), sizes, CELL).where(F.col("lo") < F.col("_take")).groupBy(*CELL).agg(
         F.max("value").alias("_last"))
-    chosen = drawn.join(cut, list(CELL)).where(F.col("_draw") <= F.col("_last"))
+    chosen = join_small(drawn, cut, CELL).where(F.col("_draw") <= F.col("_last"))
 
     def blend(c: str) -> Column:
         mine, other = F.col(c), F.col(f"prev_{c}")
@@ -138,7 +138,7 @@ def mixup(
     mixed = chosen.select(*KEYS, "pos", "horizon", *[blend(c).alias(c) for c in (*names, "response", "weight")], F.lit(True).alias("augmented"))
     whole = training.select(*columns, "response", "weight", F.lit(False).alias("augmented")).unionByName(mixed)
     means = whole.groupBy(*CELL).agg(F.avg("weight").alias("_mean"))
-    return whole.join(means, list(CELL)).withColumn("weight", F.col("weight") / F.col("_mean")).drop("_mean")
+    return join_small(whole, means, CELL).withColumn("weight", F.col("weight") / F.col("_mean")).drop("_mean")
 
 
 def boosted(seed: int = 42, trees: int = 20, depth: int = 3, rate: float = 0.1, least_rows: int = 5, share: float = 0.85):
@@ -332,7 +332,7 @@ def fit_load_map(components: DataFrame, gases: Sequence[str], horizons: Sequence
     cell = ["component", "horizon"]
     size = F.abs("y")
     floors = exact_quantiles(rows, cell, F.when(size > 0, size), {"_floor": 0.01}).drop("n")
-    rows = rows.join(floors, cell, "left").withColumn("_w", mape_weight("y", F.greatest(F.coalesce("_floor", F.lit(1.0)), F.lit(1e-6))))
+    rows = join_small(rows, floors, cell, "left").withColumn("_w", mape_weight("y", F.greatest(F.coalesce("_floor", F.lit(1.0)), F.lit(1e-6))))
     sums = [F.count(F.lit(1)).alias("rows"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("y")).alias("sy")]
     sums += [F.sum(F.col("_w") * F.col(c)).alias(f"s_{i}") for i, c in enumerate(xs)]
     sums += [F.sum(F.col("_w") * F.col(c) * F.col("y")).alias(f"b_{i}") for i, c in enumerate(xs)]

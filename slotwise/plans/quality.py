@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.numbers import finite
-from slotwise.operators.blocks import carry_last
+from slotwise.operators.blocks import carry_last, join_small
 from slotwise.operators.clean import CleanRule, clean
 from slotwise.operators.grid import widen
 from slotwise.operators.order_stats import INTERPOLATIONS, exact_quantiles
@@ -52,7 +52,7 @@ def outlier_counts(
     long = cells(matrix, columns, keys).where("value IS NOT NULL")
     bounds = exact_quantiles(long, ["column"], F.col("value"), QUARTILES, interpolations).drop("n")
     spread = long.groupBy("column").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    rows = long.join(bounds, "column").join(spread, "column")
+    rows = join_small(long, bounds.join(spread, "column"), ["column"])
     outside, counts = F.lit(False), []
     for name in interpolations:
         suffix = "" if len(interpolations) == 1 else f"_{name}"
@@ -137,7 +137,7 @@ def fill_from_training(scoring: DataFrame, training: DataFrame, columns: Sequenc
     keys = [key, "pos"]
     medians = exact_quantiles(cells(training, columns, keys), ["column"], F.col("value"), {"_median": 0.5}).drop("n")
     carried = carry_last(cells(scoring, columns, keys), [key, "column"], F.col("value"), "_last")
-    filled = carried.join(medians, "column", "left").withColumn("value", F.coalesce("_last", "_median"))
+    filled = join_small(carried, medians, ["column"], "left").withColumn("value", F.coalesce("_last", "_median"))
     return widen(filled, columns, keys, "column")
 
 
@@ -150,13 +150,13 @@ def repair_scoring(
     Fields without any training value are left out.
     """
     useful = training.groupBy("field").agg(F.count("value").alias("_n")).where("_n > 0").select("field")
-    context = with_history(training, scoring, history).join(useful, "field", "left_semi")
+    context = join_small(with_history(training, scoring, history), useful, ["field"], "left_semi")
     cleaned = clean(context, rule)
     # a hole before the first reading of the context is the only one left for the training median
     carried = carry_last(cleaned, ["series_id", "field"], F.col("robust"), "_carried")
     medians = exact_quantiles(training, ["field"], F.col("value"), {"_median": 0.5}).drop("n")
     at_origin = carried.join(origins.select("series_id", "pos").distinct(), ["series_id", "pos"])
-    repaired = at_origin.join(medians, "field").select(
+    repaired = join_small(at_origin, medians, ["field"]).select(
         "series_id", "pos", "field", F.coalesce("_carried", "_median").alias("value"), "outlier",
         F.col("value").isNull().cast("int").alias("was_missing"))
     counts = repaired.groupBy("field").agg(
