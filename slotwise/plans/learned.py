@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +170,9 @@ def ml_stages(names: Sequence[str], learner, scaled: bool = False) -> Pipeline:
     return Pipeline(stages=[*stages, learner])
 
 
+CELLS = "response string, names array<string>, target string, horizon int, constant double, number int"
+
+
 @dataclass
 class Learned:
     """Fitted models per target (and horizon in the direct form) with constant fallbacks."""
@@ -198,9 +201,31 @@ class Learned:
             result = result.unionByName(part)
         return result
 
-    def save(self, folder: str) -> None:
-        for (target, horizon), fitted in self.models.items():
-            fitted.write().overwrite().save(f"{folder.rstrip('/')}/{target}/{'all' if horizon is None else horizon}")
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Pipelines by number under ``models``, and a table ``cells`` with all the rest (one row per target and horizon)."""
+        folder, rows = folder.rstrip("/"), []
+        for (target, horizon), value in self.constants.items():
+            rows.append((self.response, self.names, target, horizon, value, None))
+        for number, ((target, horizon), fitted) in enumerate(self.models.items()):
+            fitted.write().overwrite().save(f"{folder}/models/{number}")
+            rows.append((self.response, self.names, target, horizon, None, number))
+        spark.createDataFrame(rows, CELLS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Learned:
+        """What ``save`` has written."""
+        folder = folder.rstrip("/")
+        rows = spark.read.schema(CELLS).parquet(f"{folder}/cells").collect()
+        if not rows:
+            raise ValueError(f"no fitted cell in {folder}")
+        out = Learned(rows[0]["response"], list(rows[0]["names"]))
+        for r in rows:
+            key = (r["target"], r["horizon"])
+            if r["number"] is None:
+                out.constants[key] = r["constant"]
+            else:
+                out.models[key] = PipelineModel.load(f"{folder}/models/{r['number']}")
+        return out
 
 
 def usable_features(training: DataFrame, names: Sequence[str]) -> list[str]:

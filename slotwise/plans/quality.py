@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.numbers import finite
@@ -17,6 +17,7 @@ from slotwise.operators.blocks import carry_last, join_small
 from slotwise.operators.clean import CleanRule, clean
 from slotwise.operators.grid import widen
 from slotwise.operators.order_stats import INTERPOLATIONS, exact_quantiles
+from slotwise.plans.contracts import input_frame_rules
 from slotwise.session import cut_lineage
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
@@ -114,15 +115,20 @@ class Pruning:
     all_nonfinite: list[str] = field(default_factory=list)
     constant: list[str] = field(default_factory=list)
     duplicate: list[str] = field(default_factory=list)
+    not_in_scoring: list[str] = field(default_factory=list)
 
 
-def prune_features(training: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id", "pos")) -> Pruning:
-    """Which features the training period can support; the first of equal columns stays."""
+def prune_features(
+    training: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id", "pos"), scoring: DataFrame | None = None,
+) -> Pruning:
+    """Which features the training period can support and ``scoring`` has too; the first of equal columns stays."""
+    missing = [c for c in columns if scoring is not None and c not in scoring.columns]
+    columns = [c for c in columns if c not in missing]
     facts = {
         r["column"]: (r["present"], r["low"], r["high"]) for r in
         cells(training, columns, keys).groupBy("column").agg(
             F.count("value").alias("present"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
-    out = Pruning([])
+    out = Pruning([], not_in_scoring=missing)
     for c in columns:
         present, low, high = facts.get(c, (0, None, None))
         (out.all_nonfinite if not present else out.constant if low == high else out.kept).append(c)
@@ -243,6 +249,14 @@ def winsorise(
     return out, spark.createDataFrame(log or [], "pass int, column string, action string, cells bigint")
 
 
+def reread_input(
+    spark: SparkSession, path: str, columns: Sequence[str], origins: DataFrame, key: str = "series_id",
+) -> tuple[DataFrame, DataFrame]:
+    """Gate of a stored input matrix: its contract (one row per expected series) and its quality report, from what is on disk."""
+    frame = spark.read.parquet(path)
+    return input_frame_rules(frame, columns, key, origins), quality_report(frame, columns, keys=(key, "pos"))
+
+
 def assemble_input(raw: DataFrame, features: DataFrame, keys: Sequence[str] = ("series_id", "pos"), prefix: str = "feat_") -> DataFrame:
     """Repaired raw fields beside pruned features; derived names carry the prefix, no name twice."""
     derived = [c for c in features.columns if c not in keys]

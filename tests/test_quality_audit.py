@@ -14,7 +14,7 @@ from slotwise.plans.audit import Relation, copies, delay_pairs, linear_relation,
 from slotwise.plans.compensation import Setting, compensate, setting_grid
 from slotwise.plans.dispatch import Unit, audit_plan, input_rules, plan_figures, shortage_verdict
 from slotwise.plans.learned import feature_frame, fit, fit_load_map, mixup, nonnegative_fit, ridge, training_set
-from slotwise.plans.quality import duplicate_columns, outlier_counts, profile, prune_features, quality_report, repair_scoring, winsorise, with_history
+from slotwise.plans.quality import duplicate_columns, outlier_counts, profile, prune_features, quality_report, repair_scoring, winsorise, with_history, reread_input
 from slotwise.plans.routing import pick_least, softmax_blend
 from slotwise.operators.clean import CleanRule, OutlierRule
 
@@ -255,7 +255,7 @@ def test_training_set_and_mixup(spark, long_grid):
         training_set(feats.withColumn("end", F.lit(1010)), (1,), F.col("end")).collect()
 
 
-def test_learned_models_and_constant_fallback(spark, long_grid):
+def test_learned_models_and_constant_fallback(spark, long_grid, tmp_path):
     feats, names = feature_frame(long_grid({"line": [2.0 * i for i in range(120)], "flat": [42.0] * 120}))
     train = training_set(feats.withColumn("end", F.lit(1100)), (1,), F.col("end"), "absolute")
     model = fit(train, names, lambda: ridge(1e-6))
@@ -263,6 +263,22 @@ def test_learned_models_and_constant_fallback(spark, long_grid):
     asked = feats.where("pos > 1100").withColumn("horizon", F.lit(1))
     out = {(r["field"], r["pos"]): r["y_pred"] for r in model.predict(asked).collect()}
     assert out["flat", 1110] == 42.0 and out["line", 1110] == pytest.approx(222.0, abs=0.5)
+    model.save(spark, str(tmp_path))
+    again = type(model).load(spark, str(tmp_path))
+    assert (again.constants, again.names, again.response) == (model.constants, model.names, model.response)
+    assert {(r["field"], r["pos"]): r["y_pred"] for r in again.predict(asked).collect()} == out
+
+
+def test_scoring_columns_and_stored_input(spark, tmp_path):
+    rows = [("s", i, float(i), float(i * i % 7), 1.0 * i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "series_id string, pos long, a double, b double, c double")
+    found = prune_features(frame, ["a", "b", "c"], scoring=frame.drop("a"))
+    assert found.not_in_scoring == ["a"] and found.kept == ["b", "c"]
+    frame.write.parquet(f"{tmp_path}/input")
+    rules, report = reread_input(spark, f"{tmp_path}/input", ["a", "b"], frame.select("series_id", "pos"))
+    assert [r["status"] for r in rules.collect()] == ["passed"] and report.count() == 2
+    more = frame.select("series_id", "pos").union(spark.createDataFrame([("t", 1)], "series_id string, pos long"))
+    assert {r["series_id"]: r["status"] for r in reread_input(spark, f"{tmp_path}/input", ["a"], more)[0].collect()} == {"s": "passed", "t": "failed"}
 
 
 def test_load_map_recovers_nonnegative_coefficients(spark):
