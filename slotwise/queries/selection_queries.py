@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.slots import slot_start
 from slotwise.plans.forecast import melt
 from slotwise.plans.fusion import (
-    apply_weights, apply_winner, blend_report, calibrate, cross_fit_calibration, fuse, gram, hard_winner, hour_factors,
+    apply_weights, apply_winner, blend_report, calibrate, cross_fit_calibration, fold_weight, fuse, gram, hard_winner, hour_factors,
     oof_weights, used_models,
 )
 from slotwise.plans.gates import candidate_gate, column_gate, fold_gains, residual_gate, two_window_gate
@@ -154,6 +154,52 @@ def oof_weights_two(spark, sf):
     return out.select("field", "horizon", "held", F.round(F.get("weights", F.lit(1)), 6).alias("weight_mean_8"))
 
 
+# three members of fifteen may be used; the optimum of three lies inside the triangle or on one of its sides
+@query("oof_weights_masked", "WITH " + named_sql(("last_value", "mean_8", "daily")) + f""",
+s AS (SELECT *, {WEIGHT} / pow(greatest(abs(y_true), 1e-6), 2) AS s, mean_8 - last_value AS p, daily - last_value AS q, y_true - last_value AS r
+  FROM named WHERE y_true IS NOT NULL AND last_value IS NOT NULL AND mean_8 IS NOT NULL AND daily IS NOT NULL),
+f AS (SELECT field, horizon, fold, count(*) AS n, sum(s*p*p) AS pp, sum(s*p*q) AS pq, sum(s*q*q) AS qq, sum(s*p*r) AS pr, sum(s*q*r) AS qr, sum(s*r*r) AS rr
+  FROM s GROUP BY 1, 2, 3),
+h AS (SELECT DISTINCT fold AS held FROM f UNION ALL SELECT NULL),
+t AS (SELECT field, horizon, held, CAST(sum(n) AS BIGINT) AS samples, sum(pp) AS pp, sum(pq) AS pq, sum(qq) AS qq, sum(pr) AS pr, sum(qr) AS qr, sum(rr) AS rr
+  FROM f JOIN h ON held IS NULL OR fold <> held GROUP BY 1, 2, 3),
+c AS (SELECT *, (pr*qq - qr*pq) / (pp*qq - pq*pq) AS a, (qr*pp - pr*pq) / (pp*qq - pq*pq) AS b FROM t UNION ALL
+  SELECT *, greatest(0, least(1, pr/pp)), 0.0 FROM t UNION ALL SELECT *, 0.0, greatest(0, least(1, qr/qq)) FROM t UNION ALL
+  SELECT *, greatest(0, least(1, (pr-pq-qr+qq)/(pp-2*pq+qq))), 1 - greatest(0, least(1, (pr-pq-qr+qq)/(pp-2*pq+qq))) FROM t),
+l AS (SELECT *, rr - 2*a*pr - 2*b*qr + a*a*pp + 2*a*b*pq + b*b*qq AS loss FROM c WHERE a >= -1e-12 AND b >= -1e-12 AND a + b <= 1 + 1e-12)
+SELECT field, horizon, held, samples, round(arg_min(a, loss), 5) + 0.0 AS weight_mean_8, round(arg_min(b, loss), 5) + 0.0 AS weight_daily, true AS only_allowed,
+  round(min(loss) / arg_min(rr, loss), 6) AS loss_ratio
+FROM l GROUP BY 1, 2, 3, 4
+""")
+def oof_weights_masked(spark, sf):
+    """Fifteen candidates of which three may be used; a rejected one is empty on every other slot."""
+    members = ("last_value", "mean_8", "daily")
+    wide = named(spark, sf, members)
+    wide = wide.withColumn("holes", F.when(F.col("pos") % 2 == 0, F.col("mean_8"))).select(
+        "*", *[(F.col("last_value") + i).alias(f"extra_{i}") for i in range(11)])
+    models = ("holes", *members, *[f"extra_{i}" for i in range(11)])
+    mask = [m in members for m in models]
+    masks = wide.select("field", "horizon").distinct().withColumn("mask", F.array(*[F.lit(m) for m in mask]))
+    sums = gram(wide, models, prefixes=PREFIX, masks=masks)
+    out = oof_weights(sums, models, masks=masks)
+    folds = sums.select("field", "horizon", "fold", "b_1", "b_2", "b_3", *[f"g_{i}_{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j])
+    y2 = wide.where("y_true IS NOT NULL AND last_value IS NOT NULL AND mean_8 IS NOT NULL AND daily IS NOT NULL").withColumn(
+        "_s", fold_weight(F.col("fold"), PREFIX) / F.pow(F.greatest(F.abs("y_true"), F.lit(1e-6)), F.lit(2.0))).groupBy(
+        "field", "horizon", "fold").agg(F.sum(F.col("_s") * F.col("y_true") * F.col("y_true")).alias("yy"))
+    parts = out.join(folds.join(y2, ["field", "horizon", "fold"]), ["field", "horizon"]).where("held IS NULL OR held <> fold")
+    names = [c for c in folds.columns if c[:2] in ("b_", "g_")] + ["yy"]
+    total = parts.groupBy("field", "horizon", "held").agg(
+        F.first("weights").alias("w"), F.first("samples").alias("samples"), *[F.sum(c).alias(c) for c in names])
+    w = lambda i: F.get("w", F.lit(i))
+    quad = sum((w(i) * w(j) * F.col(f"g_{min(i, j)}_{max(i, j)}") for i in (1, 2, 3) for j in (1, 2, 3)), F.lit(0.0))
+    loss = F.col("yy") - 2 * sum((w(i) * F.col(f"b_{i}") for i in (1, 2, 3)), F.lit(0.0)) + quad
+    alone = F.col("yy") - 2 * F.col("b_1") + F.col("g_1_1")
+    rest = F.aggregate(F.slice("w", 5, 11), F.lit(0.0), lambda a, x: a + x) + w(0)
+    return total.select(
+        "field", "horizon", "held", "samples", F.round(w(2), 5).alias("weight_mean_8"), F.round(w(3), 5).alias("weight_daily"),
+        (rest == 0).alias("only_allowed"), F.round(loss / alone, 6).alias("loss_ratio"))
+
+
 @query("oof_blend")
 def oof_blend(spark, sf):
     wide = named(spark, sf)
