@@ -80,7 +80,7 @@ def order():
     return Window.partitionBy("range").orderBy("halo", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
 
 
-def ranged(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
+def ranged(docs: DataFrame, range_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, text, range, halo) such that within a range, by ``order``, each row with halo 0 precedes its next document.
 
     The next document is the next one by descending doc_id, and the first one after the last. Cut points are doc_ids of
@@ -120,7 +120,7 @@ def _place(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.least(coarse * step + inner, F.lit(len(cuts))))
 
 
-def with_edited(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
+def with_edited(docs: DataFrame, range_bytes: int = 2 << 20) -> DataFrame:
     """Fingerprints of every document, of its edited text, and its likeness to that and to the next document.
 
     (doc_id, n_chars, edited, sketch, edited_sketch, next_sketch) with sketches as arrays. The edited text has its

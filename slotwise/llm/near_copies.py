@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from slotwise.llm import texts
 from slotwise.llm.components import components
@@ -155,7 +156,7 @@ def verified_links(classes: DataFrame, docs: DataFrame, p: MinHash, shelf: Shelf
     pairs = shelf.put(pairs.unionByName(star).groupBy("a", "b").agg(F.max("star").alias("star")))
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = shelf.put(shingle_sets(docs.select("doc_id", "text").join(nodes.hint("merge"), "doc_id", "left_semi"), p, spaced))
-    first = shelf.put(overlaps(pairs, sets, F.when(F.col("star") == 1, F.sort_array(F.array_except("sb", "sa"))).alias("other")))
+    first = shelf.put(overlaps(pairs, sets, F.when(F.col("star") == 1, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))).alias("apart")))
     links = first.where(linked()).select("a", "b")
     members = first.where("star = 1")
     if members.isEmpty():
@@ -168,33 +169,38 @@ def verified_links(classes: DataFrame, docs: DataFrame, p: MinHash, shelf: Shelf
 def beside_pivot(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) that met the same pivot, that its links leave in two components, and that can still be linked.
 
-    ``members`` has a (pivot), b, na, nb, inter and ``other``: the shingles of b that the pivot lacks, sorted. With t the
-    intersection that a link of s and m needs, at most min(inter_s, inter_m) of it lies in the pivot; so either that
-    alone reaches t, or s and m share at least t - min(inter_s, inter_m) other shingles. In the second case prefixes of the
-    sorted other shingles, shorter by what must be shared, have one in common, and meet by a join on (pivot, shingle).
-    Edits differ from copy to copy, so such meetings are few however many copies a pivot has.
+    ``members`` has a (pivot), b, na, nb, inter and ``apart``: the shingles that only one of b and the pivot has. A link of s
+    and m needs t = need(n_s, n_m) common shingles, and so at least q = t + n_pivot - inter_s - inter_m common ones in
+    ``apart``. A stray s (not in the pivot's component) has inter_s < need(n_s, n_pivot), so q is at least 1 and grows
+    with the distance of both from the pivot. Both sides sort ``apart`` by rarity; at the first common
+    shingle both have at least q shingles left. So a prefix of each meets by a join on (pivot, shingle), and the exact q and
+    the places decide there. Edits differ from copy to copy, so such meetings are few however many copies a pivot has.
     """
-    label = roots.withColumnsRenamed({"node": "b", "root": "root"})
-    own = roots.withColumnsRenamed({"node": "a", "root": "pivot_root"})
+    label, own = roots.withColumnRenamed("node", "b"), roots.withColumnsRenamed({"node": "a", "root": "pivot_root"})
     m = members.join(label, "b", "left").join(own, "a", "left").select(
-        F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("na").alias("pivot_n"), "inter", "other",
-        F.coalesce("root", "b").alias("root"), F.coalesce("pivot_root", "a").alias("pivot_root"))
-    m = m.withColumn("stray", F.col("root") != F.col("pivot_root"))
-    # both parts of the pivot suffice: needs inter >= LEAST / PART of the own size, and one side smaller than the pivot
-    near = m.where(f"{PART} * inter >= {LEAST} * n").drop("other")
-    by_pivot = _met(near, ["pivot"], f"{PART + LEAST} * least(s_inter, m_inter) >= {LEAST} * (s_n + m_n)")
-    shared = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(LEAST) / F.lit(PART)) - F.col("inter")).cast("int")
-    keys = m.withColumn("keep", F.size("other") - shared + 1).where("keep > 0").select(
-        "pivot", "id", "n", "inter", "root", "stray", F.explode(F.slice("other", 1, F.col("keep"))).alias("shingle"))
-    return by_pivot.unionByName(_met(keys, ["pivot", "shingle"], "true")).distinct()
-
-
-def _met(m: DataFrame, keys: list[str], also: str) -> DataFrame:
-    columns = ["id", "n", "inter", "root", "stray"]
-    s = m.where("stray").select(*keys, *[F.col(c).alias(f"s_{c}") for c in columns])
-    other = m.select(*keys, *[F.col(c).alias(f"m_{c}") for c in columns])
-    met = s.join(other, keys).where(F.expr(f"s_root <> m_root and ({also}) and {ratio('s_n', 'm_n')}"))
-    return met.select(F.least("s_id", "m_id").alias("a"), F.greatest("s_id", "m_id").alias("b"))
+        F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("na").alias("np"), "inter", "apart",
+        F.coalesce("root", "b").alias("root"), (F.coalesce("root", "b") != F.coalesce("pivot_root", "a")).alias("stray"))
+    open_pivots = m.where("stray").select("pivot").distinct()
+    # the least q over all partners: any member for a stray, a stray for the others
+    least = F.expr(f"greatest(1, if(stray, {need('n + np')} - inter, np - inter + 1 - greatest(0, {need('np - n')})))")
+    m = m.join(open_pivots, "pivot", "left_semi").withColumn("size", F.size("apart")).withColumn("keep", F.col("size") - least + 1)
+    tokens = m.where("keep > 0").select("pivot", "id", "n", "np", "inter", "root", "stray", "size", "keep", F.explode("apart").alias("shingle"))
+    common = tokens.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("times"))
+    rarity = Window.partitionBy("pivot", "id").orderBy("times", "shingle")
+    tokens = tokens.join(common, ["pivot", "shingle"]).withColumn("place", F.row_number().over(rarity)).where(
+        "place <= keep and times > 1")
+    columns = ["id", "n", "inter", "root", "size", "place"]
+    s = tokens.where("stray").select("pivot", "shingle", "np", *[F.col(c).alias(f"s_{c}") for c in columns])
+    other = tokens.select("pivot", "shingle", *[F.col(c).alias(f"m_{c}") for c in columns])
+    left = "least(s_size - s_place, m_size - m_place) + 1"
+    met = s.join(other, ["pivot", "shingle"]).where(F.expr(
+        f"s_root <> m_root and {ratio('s_n', 'm_n')} and {left} >= {need('s_n + m_n')} + np - s_inter - m_inter"))
+    return met.select(F.least("s_id", "m_id").alias("a"), F.greatest("s_id", "m_id").alias("b")).distinct()
+
+
+def need(total: str) -> str:
+    """Common shingles that a link needs when the sets have ``total`` together."""
+    return f"cast(ceil(({total}) * {LEAST} / {PART + LEAST}) as int)"
 
 
 def ratio(a: str, b: str) -> str:
