@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slotwise.functions.slots import slot_ceil
 
@@ -119,12 +120,16 @@ def add_folds(
 
 
 def split_integrity(folds: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Overlapping validation origins between folds and folds whose training reaches into validation."""
-    origins = folds.select(*keys, "fold", F.explode(F.sequence("valid_start", "valid_end")).alias("pos"))
-    repeats = origins.groupBy(*keys, "pos").agg((F.count(F.lit(1)) - 1).alias("again"))
-    overlap = repeats.groupBy(*keys).agg(F.sum("again").alias("overlapping_origins"))
-    order = folds.groupBy(*keys).agg(
+    """Overlapping validation origins between folds and folds whose training reaches into validation.
+
+    Ranges are compared by their ends: a fold adds the slots past the furthest end of the folds that start before it, and
+    all its other slots were held already.
+    """
+    before = Window.partitionBy(*keys).orderBy("valid_start", "valid_end", "fold").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("valid_end").over(before), F.col("valid_start") - 1)
+    fresh = F.greatest(F.lit(0), F.col("valid_end") - F.greatest("_reached", F.col("valid_start") - 1))
+    return folds.withColumn("_reached", reached).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("folds"),
-        F.count_if(F.col("train_end") >= F.col("valid_start")).alias("training_overlaps"))
-    return order.join(overlap, list(keys)).withColumn(
+        F.count_if(F.col("train_end") >= F.col("valid_start")).alias("training_overlaps"),
+        F.sum(F.col("valid_end") - F.col("valid_start") + 1 - fresh).alias("overlapping_origins")).withColumn(
         "status", F.when(F.expr("overlapping_origins = 0 AND training_overlaps = 0"), "passed").otherwise("failed"))

@@ -130,10 +130,11 @@ def splits_month(spark, sf):
 @query("split_integrity", "WITH " + SITE_SPAN + """,
 f AS (SELECT series_id, first_pos + 200 + 60 * f - 1 AS te, first_pos + 200 + 60 * f AS vs FROM ends, unnest(generate_series(0, 2)) AS x(f)),
 o AS (SELECT series_id, unnest(generate_series(vs, vs + 95)) AS pos FROM f),
-c AS (SELECT series_id, pos, count(*) - 1 AS again FROM o GROUP BY 1, 2)
-SELECT series_id, CAST(3 AS BIGINT) AS folds, CAST(0 AS BIGINT) AS training_overlaps, CAST(sum(again) AS BIGINT) AS overlapping_origins,
-  CASE WHEN sum(again) = 0 THEN 'passed' ELSE 'failed' END AS status
-FROM c GROUP BY 1
+c AS (SELECT series_id, pos, count(*) - 1 AS again FROM o GROUP BY 1, 2),
+n AS (SELECT series_id, count(*) AS folds, count(*) FILTER (te >= vs) AS training_overlaps FROM f GROUP BY 1),
+a AS (SELECT series_id, CAST(sum(again) AS BIGINT) AS overlapping_origins FROM c GROUP BY 1)
+SELECT series_id, folds, training_overlaps, overlapping_origins,
+  CASE WHEN overlapping_origins = 0 AND training_overlaps = 0 THEN 'passed' ELSE 'failed' END AS status FROM n JOIN a USING (series_id)
 """)
 def split_integrity_query(spark, sf):
     return split_integrity(fold_table(hourly_grid(spark, sf), Rolling(3, 200, 96, 60), 8))

@@ -71,10 +71,15 @@ def shift_check(spark, sf):
     return beside(grid.agg(F.count(F.lit(1)).alias("slots")), wrong.agg(F.count(F.lit(1)).alias("wrong")))
 
 
-@query("target_time_check", "WITH " + tidy_sql(("last_value",)) + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS wrong FROM tidy")
+@query("target_time_check", "WITH " + tidy_sql(("last_value",)) + """
+SELECT count(*) AS rows, count(*) FILTER (target_pos <> pos + horizon) AS wrong, count(*) FILTER (target_pos % 11 = 0) AS planted FROM tidy
+""")
 def target_time_check(spark, sf):
+    """The back-test's own target slots, and the same with every eleventh slot moved by one."""
     tidy = backtest(spark, sf, ("last_value",))
-    return beside(tidy.agg(F.count(F.lit(1)).alias("rows")), target_time_errors(tidy).agg(F.count(F.lit(1)).alias("wrong")))
+    moved = tidy.withColumn("target_pos", F.col("target_pos") + (F.col("target_pos") % 11 == 0).cast("int"))
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    return beside(beside(count(tidy, "rows"), count(target_time_errors(tidy), "wrong")), count(target_time_errors(moved), "planted"))
 
 
 RULES = {"expanding": Rolling(2, 300, 96, 96), "rolling": Rolling(2, 300, 96, 96, "rolling", 200), "recent": Recent(2, 96, 96)}
