@@ -124,7 +124,8 @@ def _narrow(at: DataFrame, todo: list[Node]) -> None:
             width = F.when(here, F.lit(max(1, -(-(n.high - n.low) // BINS)))).otherwise(width)
         bins = at.select("node", "size", value.alias("value"), low.alias("low"), width.alias("width"))
         bins = bins.where("value is not null").groupBy(
-            "node", F.greatest(F.floor((F.col("value") - F.col("low")) / F.col("width")), F.lit(-1)).alias("bin")).agg(F.sum("size").alias("size"))
+            "node", F.least(F.greatest(F.floor((F.col("value") - F.col("low")) / F.col("width")), F.lit(-1)), F.lit(BINS)).alias("bin")
+        ).agg(F.sum("size").alias("size"))  # -1 and BINS hold all that lies outside
         targets = F.create_map(*[x for n in left for x in (F.lit(n.first), F.lit(n.target))])
         running = F.sum("size").over(Window.partitionBy("node").orderBy("bin"))
         cut = bins.withColumn("upto", running).where(F.col("upto") >= targets[F.col("node")]).groupBy("node").agg(
