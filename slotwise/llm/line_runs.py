@@ -103,6 +103,7 @@ def later_copies(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | None
         named = shelf.put(named.select(*PLACE, "n", "rank", "tail"))
         place = F.struct(*PLACE)
         origin = named.groupBy("n", "rank", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        origin = shelf.put(origin)  # then adaptive execution can split a run with very many copies
         copies = named.join(origin, ["n", "rank", "tail"]).where(place > F.col("first")).select(*PLACE, "n")
         found = copies if found is None else found.unionByName(copies)
         level += 1
