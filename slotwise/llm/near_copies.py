@@ -141,6 +141,7 @@ def verified_links(classes: DataFrame, docs: DataFrame, p: MinHash, shelf: Shelf
     """
     bands = classes.select("id", "n", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = shelf.put(sizes)  # then adaptive execution can split a very large bucket
     found = shelf.put(bands.join(sizes.hint("merge"), "band"))
     weights = found.groupBy("id").agg(F.sum("size").alias("weight"))
     central = found.where(F.col("size") > SMALL_BUCKET).join(weights, "id").groupBy("band").agg(
