@@ -199,29 +199,61 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
     ("phone", r"(?<![0-9+])\+?(?:[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])", phone),
     ("account", r"(?<![A-Za-z0-9])[0-9]{9,40}(?![A-Za-z0-9])", account),
 )
-_PATTERNS = [(kind, re.compile(shape), change) for kind, shape, change in KINDS]
+#: Kind, pattern, what must follow a value (patterns don't see beyond a given end) and change.
+_PATTERNS = [(kind, re.compile(shape), re.compile(shape[shape.rindex("(?!"):] if "(?!" in shape else ""), change) for kind, shape, change in KINDS]
 _CHANGES = {kind: change for kind, _, change in KINDS}
 
 
+def _values(text: str, kind: str, pattern: re.Pattern, tail: re.Pattern, change: Callable[[str], str | None], used: bytearray):
+    """(begin, end, new) of the valid values of one kind outside ``used``, which is marked.
+
+    A match is greedy and may hold other numbers beside the value. If it is not valid or overlaps, the longest valid value that
+    begins and ends with groups of letters and digits in it is taken, then the rest is looked through again. Of cards, whose
+    check digit also fits every tenth wrong cut, the one of the longest groups is taken.
+    """
+    tried: dict[tuple[int, int], str | None] = {}
+
+    def valid(begin: int, end: int) -> str | None:
+        if (begin, end) not in tried:
+            whole = pattern.fullmatch(text, begin, end) and tail.match(text, end)
+            tried[begin, end] = change(text[begin:end]) if whole else None
+        return None if any(used[begin:end]) else tried[begin, end]
+
+    def rank(begin: int, end: int) -> tuple[float, int]:
+        size = sum(map(str.isdigit, text[begin:end]))
+        return (size / len(re.findall("[0-9]+", text[begin:end])), size) if kind == "card" else (0, end - begin)
+
+    at = 0
+    while m := pattern.search(text, at):
+        begin, end = m.span()
+        best = (begin, end) if valid(begin, end) is not None else None
+        if not best or kind == "card" and not m[0].isdigit():
+            start = m
+            while start and start.start() < end:
+                b, e = start.span()
+                while e > b:
+                    if valid(b, e) is not None and (not best or rank(b, e) > rank(*best)):
+                        best = b, e
+                    e -= 1
+                    while e > b and not (text[e - 1].isalnum() and not text[e].isalnum()):
+                        e -= 1
+                start = pattern.search(text, b + 1)
+        if not best:
+            at = begin + 1
+            continue
+        yield *best, valid(*best)
+        used[best[0] : best[1]] = b"\1" * (best[1] - best[0])
+        at = best[1] if best[0] == begin else begin
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, begin, end) of each in the new text; kinds of higher precedence come first."""
     taken: list[tuple[int, int, str, str]] = []
     used = bytearray(len(text))
     has_digit, has_at = any(c in text for c in "0123456789"), "@" in text
-    for kind, pattern, change in _PATTERNS:
-        if not (has_at if kind == "email" else has_digit):
-            continue
-        for m in pattern.finditer(text):
-            begin, end = m.span()
-            if any(used[begin:end]):
-                continue
-            new = change(text[begin:end], key, False)
-            while new is None and kind == "iban" and " " in text[begin:end]:  # digits that follow may be another number
-                end = text.rindex(" ", begin, end)
-                new = change(text[begin:end], key, False)
-            if new is not None:
-                taken.append((begin, end, kind, new))
-                used[begin:end] = b"\1" * (end - begin)
+    for kind, pattern, tail, change in _PATTERNS:
+        if has_at if kind == "email" else has_digit:
+            taken += [(b, e, kind, new) for b, e, new in _values(text, kind, pattern, tail, lambda s: change(s, key, False), used)]
     parts, spans, place, size = [], [], 0, 0
     for begin, end, kind, new in sorted(taken):
         parts += [text[place:begin], new]

@@ -83,3 +83,23 @@ def test_pseudonyms_of_a_table(spark):
     got = {r.doc_id: r for r in P.pseudonymise(df, KEY).collect()}
     assert got[1].text[4:] == got[2].text[6:17] != "123-45-6789"
     assert got[3].text is None and got[4].text == "" and got[5].text == "no digits" and got[5].pii == []
+
+
+def test_values_next_to_other_numbers():
+    spans = lambda text: {(k, text[b:e]) for k, b, e in old_spans(text)}
+
+    def old_spans(text):
+        new, found = P.replace(text, KEY)
+        assert P.restore(new, found, KEY) == text and len(new) == len(text)
+        return found
+
+    spaced, plain = "4111 1111 1111 1111", "4111111111111111"
+    for text in (f"{spaced} 12/25", f"card {spaced} 123", f"pos 7 {spaced}", f"{plain} 09/27", f"12 {spaced} 123 45", f"1 2 3 4 5 6 7 {spaced}"):
+        assert ("card", spaced if spaced in text else plain) in spans(text)
+    digits = lambda text: re.sub(r"\D", "", text)
+    assert digits(P.replace(f"{spaced} 12/25", KEY)[0])[:16] == P.replace(plain, KEY)[0] == P.replace(f"{plain} 09/27", KEY)[0][:16]
+    assert spans("call 415-555-1234 24 hours") == {("phone", "415-555-1234")}
+    assert spans("room 23 415-555-1234") == {("phone", "415-555-1234")}
+    assert spans("+1 (743) 555-3824 1984-02-29") == {("phone", "+1 (743) 555-3824"), ("date_ymd", "1984-02-29")}
+    assert spans("1984-02-29 743-555-3824 ") == {("phone", "743-555-3824"), ("date_ymd", "1984-02-29")}
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in spans("DE89 3704 0044 0532 0130 00 2024 AB")
