@@ -91,3 +91,13 @@ def test_shared_passages_are_found(spark):
         (span,) = got[k].passages
         assert span.begin <= begin and begin + 55 <= span.end <= begin + 58
     assert got[4].passages[0].end >= 80 and got[5].n_repeated == 0 and got[5].n_words == 200
+
+
+def test_edited_passages_with_few_intact_seeds(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    plain, one = words(55), words(44)  # the second has one intact seed only
+    docs = {40: words(20) + plain + words(20), 41: words(8) + [w if i % 8 else f"e{i}" for i, w in enumerate(plain)] + words(8),
+            50: words(5) + one, 51: [w if i in range(20, 26) or i % 4 else f"f{i}" for i, w in enumerate(one)]}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: r.sources for r in repeats(df).collect()} == {40: [], 41: [40], 50: [], 51: [50]}
