@@ -101,3 +101,22 @@ def test_edited_passages_with_few_intact_seeds(spark):
             50: words(5) + one, 51: [w if i in range(20, 26) or i % 4 else f"f{i}" for i, w in enumerate(one)]}
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
     assert {r.doc_id: r.sources for r in repeats(df).collect()} == {40: [], 41: [40], 50: [], 51: [50]}
+
+
+def test_passages_pieced_together_from_earlier_documents(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(60)
+    docs = {1: passage[:30], 2: passage[24:], 3: words(9) + passage, 4: passage + words(9)}
+    pieces = [words(30) for _ in range(5)]
+    docs |= {10 + i: x for i, x in enumerate(pieces)}
+    docs |= {20: sum(pieces, []), 30: pieces[0], 31: pieces[2] + pieces[1], 32: pieces[4], 33: pieces[3], 5000: words(7) + sum(pieces, [])}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats(df).collect()}
+    first, windows, exact = {}, [(k, x) for k in sorted(docs) for x in range(len(docs[k]) - 39)], {}
+    for k, x in windows:
+        if first.setdefault(tuple(docs[k][x : x + 40]), k) < k:
+            exact.setdefault(k, set()).update(range(x, x + 40))
+    assert set(exact) == {4, 5000}
+    for k, places in exact.items():
+        assert places <= {i for s in got[k].passages for i in range(s.begin, s.end)}
