@@ -86,7 +86,8 @@ def later_copies(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | None
     shelf = shelf or Shelf(docs.sparkSession)
     lines = shelf.put(lines_of(docs, least))
     repeated = ranked(lines, ["id", "size"], shelf)
-    own = shelf.put(lines.join(repeated, ["id", "size"]).select(*PLACE, "rank", "reach", "back"))
+    # one row a place, however many rows of docs repeat it: places are joined with each other below
+    own = shelf.put(lines.join(repeated, ["id", "size"]).select(*PLACE, "rank", "reach", "back").dropDuplicates(list(PLACE)))
     parts = own.where("reach > 0").select(*PLACE, F.col("reach").alias("n")).unionByName(
         own.where("back > 1").select("doc", "copy", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("n"))).distinct()
     parts = shelf.put(parts.withColumn("level", F.floor(F.log2("n") + 1e-9).cast("int")))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
 from slotwise.llm.passages import Chaining, best_chains, common_words, repeats
+from slotwise.llm.shelf import Shelf
 
 
 def test_words_of_long_text_are_cut_between_words(monkeypatch):
@@ -120,3 +121,13 @@ def test_passages_pieced_together_from_earlier_documents(spark):
     assert set(exact) == {4, 5000}
     for k, places in exact.items():
         assert places <= {i for s in got[k].passages for i in range(s.begin, s.end)}
+
+
+def test_repeated_rows_are_one_document_in_line_runs(spark, monkeypatch):
+    tables, put = [], Shelf.put
+    monkeypatch.setattr(Shelf, "put", lambda self, df: tables.append(put(self, df)) or tables[-1])
+    text = "\n".join("abcdefgh")
+    rows = [(None, text)] * 5 + [(1, text)] * 5 + [(2, "x\n" + text)]
+    got = sorted((r.doc_id or 0, r.deleted) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, [])] * 5 + [(1, list(range(8)))] * 5 + [(2, list(range(1, 9)))]
+    assert max(t.count() for t in tables) <= 11 * 9
