@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
+from slotwise.llm.fill_middle import fill_middle, restored
 from slotwise.llm.fingerprints import distinct_count, printed, resemblance, with_edited
 from slotwise.llm.kd_shards import sharded
 from slotwise.llm.language import predict_documents
@@ -88,6 +89,13 @@ def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies(read(spark, sf, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    found = fill_middle(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kd_shards": op2_kd_shards,
@@ -99,6 +107,31 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_passages": op9_passages,
     "op10_near_copies": op10_near_copies,
+    "op11_fill_middle": op11_fill_middle,
 }
 
-SQL: dict[str, str] = {}
+FILL_MIDDLE = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d
+  FROM drawn),
+formed AS (
+  SELECT doc_id, text, n, least(a, b) AS low, greatest(a, b) AS high,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+      WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parted AS (
+  SELECT *, substring(text, 1, low) AS prefix, substring(text, low + 1, high - low) AS middle, substring(text, high + 1) AS suffix
+  FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parted"""
+
+SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE}
