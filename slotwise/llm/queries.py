@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,11 @@ from slotwise.llm.near_copies import near_copies
 from slotwise.llm.passages import repeats
 from slotwise.llm.pseudonyms import pseudonymise
 from slotwise.llm.secret_scan import BASE, secrets
+from slotwise.llm.shelf import Shelf
 from slotwise.llm.texts import read
 from slotwise.llm.unigram import encode
+from slotwise.llm.vector_codes import encode as encode_vectors
+from slotwise.llm.vector_codes import fit as fit_codebooks
 
 #: Public piece vocabulary with byte fallback; any SentencePiece model file will do.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -96,6 +100,17 @@ def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(restored(), 256).alias("restored_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    books = fit_codebooks(rows)
+    # stored, as both the sums by label and the rows read it
+    coded = Shelf(spark).put(encode_vectors(rows, books).select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error"))
+    sums = coded.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256((books.text() if books else "").encode()).hexdigest()
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("l"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kd_shards": op2_kd_shards,
@@ -108,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op9_passages": op9_passages,
     "op10_near_copies": op10_near_copies,
     "op11_fill_middle": op11_fill_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 FILL_MIDDLE = """
@@ -134,4 +150,47 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
   sha256(text) AS restored_sha256
 FROM parted"""
 
-SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE}
+#: One round of the codebooks: every part to its nearest entry, then floor of the means.
+_ROUND = """
+nearest{i} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, far * 64 + entry) AS entry, min(far) AS far FROM (
+    SELECT v.vec_id, v.part, b.entry,
+      list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far
+    FROM parts v JOIN book{i} b ON v.part = b.part)
+  GROUP BY vec_id, part),
+means{i} AS (
+  SELECT part, entry, list(m ORDER BY place) AS x FROM (
+    SELECT n.part, n.entry, p.place, CAST(floor(sum(v.x[p.place])::DOUBLE / count(*)) AS BIGINT) AS m
+    FROM nearest{i} n JOIN parts v ON n.vec_id = v.vec_id AND n.part = v.part CROSS JOIN places p
+    GROUP BY n.part, n.entry, p.place)
+  GROUP BY part, entry),
+book{j} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN means{i} m ON b.part = m.part AND b.entry = m.entry),"""
+
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+places AS (SELECT unnest(range(1, (SELECT any_value(len(x)) // 16 FROM kept) + 1)) AS place),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x
+  FROM kept, (SELECT unnest(range(16)) AS part)),
+book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{_ROUND.format(i=0, j=1)}
+{_ROUND.format(i=1, j=2)}
+final AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, far * 64 + entry) AS entry, min(far) AS far FROM (
+    SELECT v.vec_id, v.part, b.entry,
+      list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far
+    FROM parts v JOIN book2 b ON v.part = b.part)
+  GROUP BY vec_id, part),
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(lpad(lower(to_hex(f.entry)), 2, '0'), '' ORDER BY f.part) AS code, sum(f.far)::BIGINT AS error
+  FROM kept k JOIN final f ON k.vec_id = f.vec_id GROUP BY k.vec_id, k.label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded"""
+
+SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op13_vector_codes": VECTOR_CODES}
