@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.llm.byte_runs import without_copies
 from slotwise.llm.decontaminate import contaminated, contamination, items_digest
 from slotwise.llm.fill_middle import fill_middle, restored
 from slotwise.llm.fingerprints import distinct_count, printed, resemblance, with_edited
@@ -100,6 +101,12 @@ def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(restored(), 256).alias("restored_sha256"))
 
 
+def op12_byte_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = without_copies(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     books = fit_codebooks(rows)
@@ -123,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op9_passages": op9_passages,
     "op10_near_copies": op10_near_copies,
     "op11_fill_middle": op11_fill_middle,
+    "op12_byte_runs": op12_byte_runs,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -193,4 +201,31 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
   (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
 FROM coded"""
 
-SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op13_vector_codes": VECTOR_CODES}
+BYTE_RUNS = """
+WITH hexed AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS key, md5_number(substr(h, 2 * i + 1, 100)) AS code
+  FROM hexed, unnest(range(n - 49)) AS u(i) WHERE n >= 50),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key, code) AS first FROM windows) WHERE first < doc_id),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL
+    THEN 1 ELSE 0 END AS head
+  FROM late),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT p.doc_id, string_agg(CASE WHEN p.b IS NULL THEN substr(h.h, 2 * p.a + 1) ELSE substr(h.h, 2 * p.a + 1, 2 * (p.b - p.a)) END, '' ORDER BY p.a)
+    AS h
+  FROM pieces p JOIN hexed h ON p.doc_id = h.doc_id GROUP BY p.doc_id)
+SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(r.lost, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.h, h.h))) AS kept_sha256
+FROM hexed h LEFT JOIN kept k ON h.doc_id = k.doc_id
+LEFT JOIN (SELECT doc_id, sum(b - a) AS lost, count(*) AS spans FROM runs GROUP BY doc_id) r ON h.doc_id = r.doc_id"""
+
+SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op12_byte_runs": BYTE_RUNS, "op13_vector_codes": VECTOR_CODES}
