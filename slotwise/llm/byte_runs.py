@@ -290,22 +290,30 @@ def spans_of(cut: DataFrame, length: int, shards: int) -> DataFrame:
     All stretches with a name meet in one partition. It builds suffix arrays of a megabyte each and merges them by binary search.
     """
 
-    def build(strings, places):
+    def build(held):
+        strings, places = list(held), [b"".join(p) for p in held.values()]
         owners = np.array([np.frombuffer(p, _PLACE)["doc"].min() for p in places], np.int64)
-        return Windows(strings, owners, length)
+        return Windows(strings, owners, length), places
+
+    def shards_of(held):
+        part, bytes_ = {}, 0
+        while held:  # equal stretches are one string; those built are let go
+            stretch, places = held.popitem()
+            part[stretch] = places
+            bytes_ += len(stretch)
+            if bytes_ >= SHARD:
+                yield build(part)
+                part, bytes_ = {}, 0
+        if part:
+            yield build(part)
 
     def run(batches):
-        strings, places, bytes_, built = [], [], 0, []
+        held = {}
         for batch in batches:
             crowd = batch.column("crowd").to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(~crowd).tolist():
-                stretch = batch.column("stretch")[i].as_py()
-                strings.append(stretch)
-                places.append(batch.column("places")[i].as_py())
-                bytes_ += len(stretch)
-                if bytes_ >= SHARD:
-                    built.append((build(strings, places), places))
-                    strings, places, bytes_ = [], [], 0
+            cold = batch.filter(pa.array(~crowd))
+            for stretch, places in zip(cold.column("stretch").to_pylist(), cold.column("places").to_pylist()):
+                held.setdefault(stretch, []).append(places)
             hot = batch.filter(pa.array(crowd))
             if hot.num_rows:
                 found = [np.frombuffer(p, _PLACE) for p in hot.column("places").to_pylist()]
@@ -314,12 +322,10 @@ def spans_of(cut: DataFrame, length: int, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(every["doc"]), pa.array(every["copy"]), pa.array(every["at"]), pa.array(every["at"] + np.int32(length)),
                      hot.column("stretch").take(pa.array(which))], [c.split()[0] for c in SPANS.split(", ")])
-        if strings:
-            built.append((build(strings, places), places))
+        built = list(shards_of(held))
         merge([shard for shard, _ in built])
         while built:
-            shard, held = built.pop()
-            yield _told(shard, held, length)
+            yield _told(*built.pop(), length)
 
     return cut.repartition(shards, "shard").mapInArrow(run, SPANS)
 

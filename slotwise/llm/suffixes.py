@@ -21,7 +21,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(_PACKED):
         key = (key << 9) | np.where(left > j, symbol[j : j + n], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = np.ones(n, bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
     group = np.empty(n, np.int64)
@@ -38,7 +38,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         # a suffix that ended is settled: the place alone decides among its equals
         ahead = np.where(on, group[np.minimum(at + depth, n - 1)] + n, at)
         own = group[at]
-        again = np.argsort(own * (2 * n + 1) + ahead, kind="stable")
+        again = np.argsort(own * (2 * n + 1) + ahead)
         at, own, ahead = at[again], own[again], ahead[again]
         order[tied] = at
         fresh = np.ones(len(tied), bool)
