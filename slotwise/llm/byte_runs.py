@@ -18,14 +18,15 @@ from slotwise.llm.shelf import Shelf
 from slotwise.llm.suffixes import Windows, merge
 
 #: Bytes of a gram; of the grams inside a window the smallest hash names the shard of the window.
-GRAM = 16
+GRAM = 20
 #: A run of windows with one name is cut into stretches of this many.
 STRETCH = 64
 #: Texts (bytes) per bucket of names and per shard, and bytes of stretches per suffix array.
-BUCKET, SHARD = 1 << 25, 1 << 20
+BUCKET, SHARD = 1 << 25, 1 << 21
 #: Names in more documents than this are resolved window by window, so that no shard grows with them.
 CROWD = 1 << 15
 _BLOCK = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PLACE = np.dtype([("doc", "<i8"), ("copy", "<i8"), ("at", "<i4")])
 
@@ -39,10 +40,11 @@ def named_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[t
     ahead = length - GRAM + 1
     for base in range(0, n, _BLOCK):
         stop = min(n, base + _BLOCK)
-        part = np.concatenate([data[base : min(n, stop + length)], np.zeros(16, np.uint8)])
-        size = len(part) - 16
-        word = np.ndarray((size + 8,), "<u8", part, strides=(1,))
-        h = texts.mix(texts.mix(word[:size].astype(np.uint64)) + word[8 : size + 8].astype(np.uint64))
+        part = np.concatenate([data[base : min(n, stop + length)], np.zeros(GRAM, np.uint8)])
+        size = len(part) - GRAM
+        word = np.ndarray((size + GRAM - 8,), "<u8", part, strides=(1,))
+        h = texts.mix(word[:size] * _ODD + word[8 : size + 8])
+        h = texts.mix(h + word[GRAM - 8 : size + GRAM - 8])
         row = np.searchsorted(offsets, np.arange(base, base + size), "right") - 1
         left = offsets[row + 1] - np.arange(base, base + size)
         h[left < GRAM] = _NONE
@@ -253,12 +255,11 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
 SPANS = "doc long, copy long, begin int, end int, digest binary"
 
 
-def _told(shard: Windows, places: list[bytes], length: int) -> pa.RecordBatch:
+def _told(shard: Windows, occurrences: np.ndarray, counts: np.ndarray, length: int) -> pa.RecordBatch:
     """Spans of the places whose windows begin in an earlier document too."""
     least = shard.by_place()
     sizes = shard.stops - shard.starts
-    occurrences = np.frombuffer(b"".join(places), _PLACE)
-    which = np.repeat(np.arange(len(places)), [len(p) // _PLACE.itemsize for p in places])
+    which = np.repeat(np.arange(len(counts)), counts)
     inner = shard.stops - length  # the last window of a stretch
     windows = np.repeat(inner - shard.starts + 1, sizes)
     real = np.arange(len(least)) - np.repeat(shard.starts, sizes) < windows
@@ -287,13 +288,15 @@ def _told(shard: Windows, places: list[bytes], length: int) -> pa.RecordBatch:
 def spans_of(cut: DataFrame, length: int, shards: int) -> DataFrame:
     """Spans (doc, copy, begin, end) to remove; windows of crowded names pass with their digest.
 
-    All stretches with a name meet in one partition. It builds suffix arrays of a megabyte each and merges them by binary search.
+    All stretches with a name meet in one partition. It builds suffix arrays of two megabytes each and merges them by binary search.
     """
 
     def build(held):
-        strings, places = list(held), [b"".join(p) for p in held.values()]
-        owners = np.array([np.frombuffer(p, _PLACE)["doc"].min() for p in places], np.int64)
-        return Windows(strings, owners, length), places
+        places = [b"".join(p) for p in held.values()]
+        counts = np.array([len(p) // _PLACE.itemsize for p in places])
+        occurrences = np.frombuffer(b"".join(places), _PLACE)
+        owners = np.minimum.reduceat(occurrences["doc"], np.cumsum(counts) - counts)
+        return Windows(list(held), owners, length), occurrences, counts
 
     def shards_of(held):
         part, bytes_ = {}, 0
@@ -323,7 +326,7 @@ def spans_of(cut: DataFrame, length: int, shards: int) -> DataFrame:
                     [pa.array(every["doc"]), pa.array(every["copy"]), pa.array(every["at"]), pa.array(every["at"] + np.int32(length)),
                      hot.column("stretch").take(pa.array(which))], [c.split()[0] for c in SPANS.split(", ")])
         built = list(shards_of(held))
-        merge([shard for shard, _ in built])
+        merge([shard for shard, _, _ in built])
         while built:
             yield _told(*built.pop(), length)
 

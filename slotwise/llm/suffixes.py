@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols of nine bits (byte + 1, or 0 beyond the end) that fit one key.
+#: Bytes of the first keys; the low bits of a key hold how many of them the string still has.
 _PACKED = 7
+_FRONT = np.array([(0xFFFFFFFFFFFFFF << 8 * (7 - k)) & 0xFFFFFFFFFFFFFF for k in range(8)], np.uint64)
+
+
+def words_at(data: np.ndarray, order: str) -> np.ndarray:
+    """The eight bytes from every place on as one integer, zeros beyond the end."""
+    return np.ndarray((len(data) + 1,), order + "u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Order of all suffixes of the strings in ``data``; ``ends`` is the end of the string of every byte.
 
-    A string's end sorts before every byte, and equal suffixes by place. The first keys are seven symbols; then every group of
-    suffixes that still ties is sorted by the group numbers found as many symbols ahead as the group has in common, which doubles
+    A string's end sorts before every byte, and equal suffixes by place. The first keys are seven bytes; then every group of
+    suffixes that still ties is sorted by the group numbers found as many bytes ahead as the group has in common, which doubles
     at every pass; sorted groups are not touched again.
     """
     n = len(data)
-    left = ends - np.arange(n)
-    symbol = np.concatenate([data.astype(np.int64) + 1, np.zeros(_PACKED, np.int64)])
-    key = np.zeros(n, np.int64)
-    for j in range(_PACKED):
-        key = (key << 9) | np.where(left > j, symbol[j : j + n], 0)
-    order = np.argsort(key)
+    left = ends - np.arange(n, dtype=ends.dtype)
+    inside = np.minimum(left, _PACKED)
+    key = ((words_at(data, ">")[:n].astype(np.uint64) >> np.uint64(8)) & _FRONT[inside]) << np.uint64(3) | inside.astype(np.uint64)
+    order = np.argsort(key).astype(np.int32)
     head = np.ones(n, bool)
-    head[1:] = key[order[1:]] != key[order[:-1]]
-    group = np.empty(n, np.int64)
+    sorted_ = key[order]
+    head[1:] = sorted_[1:] != sorted_[:-1]
+    group = np.empty(n, np.int32)
     group[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
     depth = _PACKED
     while True:
@@ -34,15 +39,14 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(tied):
             return order
         at = order[tied]
-        on = left[at] > depth
         # a suffix that ended is settled: the place alone decides among its equals
-        ahead = np.where(on, group[np.minimum(at + depth, n - 1)] + n, at)
-        own = group[at]
-        again = np.argsort(own * (2 * n + 1) + ahead)
-        at, own, ahead = at[again], own[again], ahead[again]
+        ahead = np.where(left[at] > depth, group[np.minimum(at + depth, n - 1)] + np.int32(n), at)
+        both = group[at].astype(np.int64) * (2 * n + 1) + ahead
+        again = np.argsort(both)
+        at, both = at[again], both[again]
         order[tied] = at
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])
+        fresh[1:] = both[1:] != both[:-1]
         head[tied] = fresh
         group[at] = tied[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         depth *= 2
@@ -52,25 +56,30 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sto
     """Length of the common prefix of every suffix with the one before it in ``order``, by Kasai's rule.
 
     A suffix that begins one byte later shares at most one byte less with its predecessor. All strings step through their bytes
-    side by side, each with its own matched length.
+    side by side, each with its own matched length; a step compares eight bytes at a time.
     """
     n = len(data)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    before = np.concatenate([order[:1], order[:-1]])
+    left = ends - np.arange(n, dtype=ends.dtype)
+    words = words_at(data, "<")
     out = np.zeros(n, np.int32)
     lane = np.flatnonzero(starts < stops)
-    at, matched = starts[lane].astype(np.int64), np.zeros(len(lane), np.int64)
-    stop = stops[lane]
+    at, matched, stop = starts[lane], np.zeros(len(lane), ends.dtype), stops[lane]
     while len(at):
         place = rank[at]
-        other = order[np.maximum(place - 1, 0)]
-        most = np.where(place > 0, np.minimum(stop - at, ends[other] - other), 0)
+        other = before[place]
+        most = np.where(place > 0, np.minimum(stop - at, left[other]), 0)
         matched = np.minimum(matched, most)
         live = np.flatnonzero(matched < most)
         while len(live):
-            live = live[data[at[live] + matched[live]] == data[other[live] + matched[live]]]
-            matched[live] += 1
-            live = live[matched[live] < most[live]]
+            m = matched[live]
+            differ = words[at[live] + m] ^ words[other[live] + m]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+            m = np.minimum(m + same, most[live])
+            matched[live] = m
+            live = live[(same == 8) & (m < most[live])]
         out[place] = matched
         matched = np.maximum(matched - 1, 0)
         at = at + 1
@@ -84,9 +93,9 @@ class Windows:
     """The distinct strings of ``length`` bytes in many strings, in suffix order, each with the least owner of its places."""
 
     def __init__(self, strings: list[bytes], owners: np.ndarray, length: int):
-        sizes = np.array([len(s) for s in strings], np.int64)
+        sizes = np.array([len(s) for s in strings], np.int32)
         self.length = length
-        self.stops = np.cumsum(sizes)
+        self.stops = np.cumsum(sizes, dtype=np.int32)
         self.starts = self.stops - sizes
         self.data = np.frombuffer(b"".join(strings), np.uint8)
         ends = np.repeat(self.stops, sizes)
@@ -98,8 +107,7 @@ class Windows:
         self.group = np.cumsum(head) - 1
         owner = np.repeat(owners, sizes)[self.places]
         self.least = np.minimum.reduceat(owner, np.flatnonzero(head)) if len(self.first) else np.zeros(0, np.int64)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        self.words = np.ndarray((len(self.data) + 1,), ">u8", padded, strides=(1,))
+        self.words = words_at(self.data, ">")
         self.offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
 
     def find(self, other: Windows) -> np.ndarray:
