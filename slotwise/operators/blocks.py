@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotwise.session import stored
+
 DEFAULT_BLOCK = 8192
 
 
@@ -53,19 +55,22 @@ def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.withColumn("_one", packed).select(*rows.columns, "_one.*")
 
 
-#: Rows that a table joined by ``join_small`` may have.
+#: Rows up to which ``join_small`` broadcasts its table.
 SMALL_ROWS = 100_000
 
 
-def join_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
-    """Join with a table that is small by construction (columns, cells, folds), without moving ``rows``.
+def join_small(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = SMALL_ROWS, ready: bool = False,
+) -> DataFrame:
+    """Join with a table of cells, columns or folds without moving ``rows``, as long as the table is small.
 
-    A key with a few values would send all rows to as many tasks. The table is broadcast, and its number of rows is
-    checked where it is built: beyond ``limit`` the job fails.
+    A key with a few values would send all rows to as many tasks, so the table is broadcast. It is stored first and its
+    rows are counted (``ready``: it is stored already). Beyond ``limit`` it has that many keys, and a merge join follows, of which adaptive execution
+    splits the hot keys.
     """
-    counted = table.withColumn("_table_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    checked = counted.where(F.assert_true(F.col("_table_rows") <= limit, F.lit("join_small: table too large")).isNull()).drop("_table_rows")
-    return rows.join(F.broadcast(checked), list(keys), how)
+    table = table if ready else stored(table)
+    small = table.count() <= limit
+    return rows.join(F.broadcast(table) if small else table.hint("merge"), list(keys), how)
 
 
 def carry_last(

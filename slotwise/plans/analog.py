@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from slotwise.operators.blocks import beside, with_halo
-from slotwise.session import cut_lineage
+from slotwise.operators.blocks import with_halo
+from slotwise.operators.neighbours import nearest
+from slotwise.session import stored
 
 MAD_SCALE = 1.4826  # fixed value: MAD of a normal variable to its standard deviation
 LEAST_SCALE = 0.5  # fixed value: smallest spread a trajectory is divided by
@@ -68,62 +65,6 @@ def trajectory_patterns(
     return rows.select(*keys, "pos", *out)
 
 
-def nearest(
-    queries: DataFrame, candidates: DataFrame, keys: Sequence[str], k: int, vector: str = "pattern", ident: str = "pos",
-    chunk: int = 4096, same: bool = True,
-) -> DataFrame:
-    """Exact k nearest candidates of every query: (keys, query, neighbour, distance, rank).
-
-    Both sides are cut into chunks of bounded size. A task measures one query chunk against one
-    candidate chunk and hands on only the k best of that chunk, which are then merged; pairs are
-    never written out. With ``same`` False a query is not its own neighbour.
-    """
-    def chunked(df: DataFrame, name: str) -> DataFrame:
-        # chunk numbers follow a hash, so they are even whatever the identifiers look like
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        parts = F.ceil(F.col("_rows") / F.lit(chunk)).cast("int")
-        joined = df.join(sizes, list(keys)) if keys else beside(df, sizes)
-        # fresh column identities: both sides usually come from the same table
-        own = [F.col(c).alias(c) for c in keys]
-        return joined.select(*own, F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v"),
-                             F.pmod(F.xxhash64(F.col(ident)), parts).cast("int").alias(name), parts.alias(f"_n{name}"))
-
-    left, right = chunked(queries, "_q"), chunked(candidates, "_c")
-    q_parts = left.groupBy(*keys).agg(F.max("_n_q").alias("_n_q"))
-    c_parts = right.groupBy(*keys).agg(F.max("_n_c").alias("_n_c"))
-    meet = lambda df, other: df.join(other, list(keys)) if keys else beside(df, other)
-    left = meet(left, c_parts).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n_c") - 1)))
-    right = meet(right, q_parts).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n_q") - 1)))
-    id_type = queries.schema[ident].dataType
-    schema = T.StructType([
-        *[queries.schema[c] for c in keys], T.StructField("query", id_type), T.StructField("neighbour", id_type),
-        T.StructField("distance", T.DoubleType())])
-    names = [f.name for f in schema.fields]
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=names)
-        x, y = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy())
-        ids, out = b["_id"].to_numpy(), []
-        for i, own in enumerate(a["_id"].to_numpy()):
-            gap = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
-            if not same:
-                gap = np.where(ids == own, np.inf, gap)
-            order = np.lexsort((ids, gap))[:k]
-            order = order[np.isfinite(gap[order])]
-            out.append(pd.DataFrame({"query": own, "neighbour": ids[order], "distance": gap[order]}))
-        found = pd.concat(out, ignore_index=True)
-        for c in keys:
-            found[c] = a[c].iloc[0]
-        return found[names]
-
-    group = [*keys, "_q", "_c"]
-    near = left.select(*group, "_id", "_v").groupBy(*group).cogroup(
-        right.select(*group, "_id", "_v").groupBy(*group)).applyInPandas(best, schema)
-    order = Window.partitionBy(*keys, "query").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def analog_forecast(
     patterns: DataFrame, origins: DataFrame, targets: Sequence[str], horizons: Sequence[int], k: int = 32,
     keys: Sequence[str] = ("series_id",), chunk: int = 4096,
@@ -138,9 +79,9 @@ def analog_forecast(
     complete = F.lit(True)
     for i in range(len(targets)):
         complete = complete & (F.size(F.get("future", F.lit(i))) >= far) & ~F.exists(F.get("future", F.lit(i)), lambda v: v.isNull())
-    patterns = cut_lineage(patterns)
-    pool = patterns.where(complete).join(starts, list(keys)).where(F.col("pos") + far <= F.col("_end")).drop("_end")
-    asked = patterns.join(origins, [*keys, "pos"])
+    patterns = stored(patterns)
+    pool = stored(patterns.where(complete).join(starts, list(keys)).where(F.col("pos") + far <= F.col("_end")).drop("_end"))
+    asked = stored(patterns.join(origins, [*keys, "pos"]))
     group = [*keys, "fold"]
     near = nearest(asked, pool, group, k, chunk=chunk)
     middle = near.groupBy(*group, "query").agg(F.greatest(F.expr("percentile(distance, 0.5D)"), F.lit(1e-6)).alias("_mid"))

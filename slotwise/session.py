@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,9 @@ def local_session(cpus: int | str = 8, app: str = "slotwise", **conf: str) -> Sp
     return spark
 
 
+_fallback: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set.
 
@@ -39,9 +43,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="slotwise-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _fallback:  # a core setting can't be changed in a running session
+        _fallback.append(tempfile.mkdtemp(prefix="slotwise-checkpoint-"))
+    return _fallback[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read from there: its plan is not run again."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

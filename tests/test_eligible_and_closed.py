@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.operators.blocks import join_small
+from slotwise.operators.neighbours import PivotIndex
 from slotwise.plans.contracts import ContractError, forecast_frame_rules, input_frame_rules, plan_frame_rules
 from slotwise.plans.fusion import gram, hard_winner, oof_weights, simplex_fit
 from slotwise.plans.gates import candidate_gate, column_gate
@@ -108,9 +109,43 @@ def test_contracts_fail_on_nothing_and_keep_their_tolerance(spark):
     assert got == {"s": (1, 1, "failed"), "t": (1, 0, "failed")}
 
 
-def test_join_small_checks_its_bound(spark):
+def test_join_small_beyond_its_bound(spark):
     rows = spark.range(20).withColumn("k", F.col("id") % 3)
     table = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     assert join_small(rows, table, ["k"], "left").where("v IS NOT NULL").count() == 14
-    with pytest.raises(Exception, match="too large"):
-        join_small(rows, table, ["k"], limit=1).collect()
+    large = join_small(rows, table, ["k"], "left", limit=1)
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    assert large.where("v IS NOT NULL").count() == 14 and large.count() == 20
+
+
+def test_fallback_folder_where_none_is_set(spark, monkeypatch):
+    from slotwise import session
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = spark.sparkContext
+
+    assert session.checkpoint_folder(Unset) == session.checkpoint_folder(Unset) != ""
+
+
+def test_pivot_index_is_exact_and_spares_visits(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 50, (12, 6))
+    points = np.concatenate([c + rng.normal(0, 1, (100, 6)) for c in centres])
+    points[5] = points[6]  # a tie
+    rows = [("g", i, v.tolist()) for i, v in enumerate(points)] + [("h", i, v.tolist()) for i, v in enumerate(points[:3])] + [("g", 9999, None)]
+    table = spark.createDataFrame(rows, "g string, id long, v array<double>")
+    index = PivotIndex(table, ["g"], "v", "id", chunk=50)
+    got = {}
+    for r in index.nearest(table, 4, "v", "id", same=False).collect():
+        got.setdefault((r.g, r.query), []).append((r["rank"], r.neighbour, r.distance))
+    gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for i in range(len(points)):
+        near = [j for j in np.lexsort((np.arange(len(points)), gap[i])) if j != i][:4]
+        assert [(k, j) for k, j, _ in sorted(got["g", i])] == [(k + 1, j) for k, j in enumerate(near)]
+    assert [len(got["h", i]) for i in range(3)] == [2, 2, 2] and ("g", 9999) not in got
+    chunks = len(points) / 50
+    sent = sum(v.where("g = 'g'").count() for v in index.visits) / len(points)
+    assert sent < chunks / 4  # a plan without an index sends every query to every chunk
+    assert index.nearest(table.limit(0), 4, "v", "id").count() == 0
+    assert PivotIndex(table.limit(0), ["g"], "v", "id").nearest(table, 4, "v", "id").count() == 0
