@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm import texts
@@ -114,8 +114,12 @@ def later_copies(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | None
             rank = shelf.put(pairs.join(ranked(pairs, ["own", "next"], shelf), ["own", "next"]).select(*PLACE, "rank"))
     if found is None:
         return lines.select("doc", "copy", F.array("line").alias("deleted")).limit(0)
-    covered = found.select("doc", "copy", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
-    return covered.groupBy("doc", "copy").agg(F.sort_array(F.collect_set("line")).alias("deleted"))
+    # parts overlap: each goes on from where the parts before it end, so that a line is made once
+    found = found.groupBy(*PLACE).agg(F.max("n").alias("n")).withColumn("stop", F.col("line") + F.col("n"))
+    earlier = Window.partitionBy("doc", "copy").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = found.withColumn("start", F.greatest("line", F.max("stop").over(earlier))).where("stop > start")
+    covered = fresh.select("doc", "copy", F.explode(F.sequence("start", F.col("stop") - 1)).alias("line"))
+    return covered.groupBy("doc", "copy").agg(F.sort_array(F.collect_list("line")).alias("deleted"))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST_WORDS, shelf: Shelf | None = None) -> DataFrame:

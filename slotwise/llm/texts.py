@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,6 +100,17 @@ def _power_table(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Polynomials modulo 2**64 tell short segments apart; longer ones, for which equal sums can be built, get a cryptographic hash.
+SHORT = 64
+
+
+def _hash_long(h: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """``h`` with the hashes of segments above ``SHORT`` bytes replaced."""
+    for i in np.flatnonzero(stop - begin > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : stop[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True):
     """Hash, first byte and end byte of every word, and word offsets of the rows.
 
@@ -138,7 +150,7 @@ def _words_of_piece(data, edge, table, lower, base):
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
     h = (sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64)
-    return mix(h), begin + base, stop + base
+    return _hash_long(mix(h), data, begin, stop), begin + base, stop + base
 
 
 def segment_hash(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -152,7 +164,7 @@ def segment_hash(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.nd
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
         b, e = begin[i:j] - base, stop[i:j] - base
-        out[i:j] = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+        out[i:j] = _hash_long(mix((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64)), part, b, e)
         i = j
     return out
 

@@ -131,3 +131,22 @@ def test_repeated_rows_are_one_document_in_line_runs(spark, monkeypatch):
     got = sorted((r.doc_id or 0, r.deleted) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, [])] * 5 + [(1, list(range(8)))] * 5 + [(2, list(range(1, 9)))]
     assert max(t.count() for t in tables) <= 11 * 9
+
+
+def test_lines_with_equal_polynomials_stay_apart(spark):
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    h = [X.words(*X.text_buffers(pa.array([t])), X.ALNUM)[0][0] for t in (morse, other, morse)]
+    assert h[0] != h[1] and h[0] == h[2]
+    tail = " five more words of text"
+    df = spark.createDataFrame([(1, morse + tail), (2, other + tail), (3, morse + tail)], "doc_id long, text string")
+    assert {r.doc_id: r.deleted for r in without_repeats(df).collect()} == {1: [], 2: [], 3: [0]}
+
+
+def test_very_many_blank_lines_cost_in_proportion(spark):
+    text = "\n" * 60000 + "one two three four five six"
+    df = spark.createDataFrame([(1, text), (2, text), (3, "\n\n" + text)], "doc_id long, text string")
+    got = {r.doc_id: (len(r.deleted), r.text) for r in without_repeats(df).collect()}
+    assert got[1] == (0, text) and got[2] == (60001, "") and got[3] == (60001, "\n")
