@@ -6,11 +6,55 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from slotwise.operators.blocks import beside, with_halo
+from slotwise.operators.blocks import DEFAULT_BLOCK, beside, block_of, join_small
+from slotwise.session import stored
+
+
+#: Squared deviations below this share of a series' energy are rounding errors of the transforms.
+_NOISE = 1e-12
+_SUMS = ("rows", "n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def shifted_sums(
+    x: np.ndarray, y: np.ndarray, place: np.ndarray, size: int, low: int, high: int,
+) -> np.ndarray:
+    """Sums of every pair (field, target) at every offset of one block, as (field, target, sum, offset).
+
+    ``x`` and ``y`` hold a row per field and target (NaN: missing), ``place`` the slots from the block's start. Fields count in the
+    slots [0, size), targets also around it. Each sum is a correlation of values, squares or masks, so all offsets follow from
+    one transform per array and one product per sum (overlap-save).
+    """
+    length = 1 << int(size + high - low).bit_length()
+    own = (place >= 0) & (place < size)
+    late = (place >= low) & (place < size + high)
+
+    def spectra(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of presence, values and squares of every series."""
+        out = np.zeros((len(values), 3, length))
+        there = np.isfinite(values)
+        clean = np.where(there, values, 0.0)
+        out[:, 0, at], out[:, 1, at], out[:, 2, at] = there, clean, clean * clean
+        return np.fft.rfft(out, axis=2)
+
+    fields, targets = spectra(x[:, own], place[own]).conj(), spectra(y[:, late], place[late] - low)
+    rows = np.zeros((2, length))
+    rows[0, place[own]], rows[1, place[late] - low] = 1.0, 1.0
+    here, around = np.fft.rfft(rows, axis=1)
+    count = high - low + 1
+    seen = np.rint(np.fft.irfft(here.conj() * around, length)[:count])
+    out = np.empty((len(x), len(y), len(_SUMS), count))
+    for i, f in enumerate(fields):
+        for j, t in enumerate(targets):
+            products = np.stack([f[0] * t[0], f[1] * t[0], f[0] * t[1], f[2] * t[0], f[0] * t[2], f[1] * t[1]])
+            sums = np.fft.irfft(products, length, axis=1)[:, :count]
+            out[i, j, 0], out[i, j, 1], out[i, j, 2:] = seen, np.rint(sums[0]), sums[1:]
+    return out
 
 
 def lag_moments(
@@ -19,37 +63,52 @@ def lag_moments(
 ) -> DataFrame:
     """(keys, field, target, offset, pairs, correlation, coefficient, intercept) for every offset.
 
-    The shifted targets reach a row as one array cut out by a frame, so only the blocks are
-    shuffled; exploded offsets are summed before they leave the task. offset > 0 is the future.
+    A block of slots and its surroundings give the sums of all offsets by transforms, about the means of the series; they are
+    added up over the blocks. The cost hardly depends on the number of offsets. offset > 0 is the future.
     """
-    pack = F.struct("pos", *[F.col(t) for t in targets])
-
-    def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumn("_around", F.collect_list(pack).over(w.rowsBetween(low, high)))
-
-    rows = wide.select(*keys, "pos", *dict.fromkeys([*fields, *targets]))
-    near = with_halo(rows, keys, compute, back=max(0, -low), ahead=max(0, high), block=block)
-    long = near.select(*keys, "pos", *fields, F.explode("_around").alias("_t")).withColumn(
-        "offset", (F.col("_t.pos") - F.col("pos")).cast("int"))
-    sides = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_t.{t}").alias("y")) for t in targets])
-    long = long.withColumn("_y", F.explode(sides)).select(
-        *keys, "offset", F.col("_y.target").alias("target"), F.col("_y.y").alias("_yv"), *[F.col(f).alias(f"_x_{f}") for f in fields])
-    # offsets without a single pair stay in the table with a count of zero
-    y, aggregates = F.col("_yv"), []
-    for f in fields:
-        x = F.when(y.isNotNull(), F.col(f"_x_{f}"))
-        paired = F.when(x.isNotNull(), y)
-        aggregates.append(F.struct(
-            F.lit(f).alias("field"), F.count(x).alias("pairs"), F.corr(x, y).alias("r"),
-            F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-            ((F.min(x) < F.max(x)) & (F.min(paired) < F.max(paired))).alias("varies")).alias(f"_m_{f}"))
-    grouped = long.groupBy(*keys, "target", "offset").agg(*aggregates)
-    out = grouped.withColumn("_m", F.explode(F.array(*[F.col(f"_m_{f}") for f in fields])))
-    usable = (F.col("_m.pairs") >= least_pairs) & F.col("_m.varies")
-    keep = lambda c: F.when(usable, F.col(f"_m.{c}"))
-    return out.select(
-        *keys, F.col("_m.field").alias("field"), "target", "offset", F.col("_m.pairs").alias("pairs"),
-        keep("r").alias("correlation"), keep("slope").alias("coefficient"), keep("intercept").alias("intercept"))
+    columns = list(dict.fromkeys([*fields, *targets]))
+    fields, targets = list(fields), list(targets)
+    size = max(block or DEFAULT_BLOCK, abs(low), abs(high), 1)
+    rows = wide.select(*keys, "pos", *[F.col(c).cast("double").alias(c) for c in columns])
+    centres = stored(rows.groupBy(*keys).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns]))
+    moved = join_small(rows, centres, keys, ready=True) if keys else beside(rows, centres)
+    moved = moved.select(*keys, "pos", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+    wanted = [block_of("pos", size), block_of(F.col("pos") + max(0, -low), size), block_of(F.col("pos") - max(0, high), size)]
+    spread = moved.withColumn("_blk", F.explode(F.array_distinct(F.array(*wanted))))
+    schema = T.StructType([
+        *[wide.schema[k] for k in keys], T.StructField("field", T.StringType()), T.StructField("target", T.StringType()),
+        T.StructField("offset", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in (*_SUMS, "ex", "ey")]])
+    out_schema, names = to_arrow_schema(schema), list(keys)
+
+    def sums(table: pa.Table) -> pa.Table:
+        place = table.column("pos").to_numpy().astype(np.int64) - table.column("_blk")[0].as_py() * size
+        values = {c: table.column(c).to_numpy().astype(float) for c in columns}
+        x, y = np.stack([values[c] for c in fields]), np.stack([values[c] for c in targets])
+        found = shifted_sums(x, y, place, size, low, high)
+        own = (place >= 0) & (place < size)
+        energy = lambda v: np.nansum(v[:, own] ** 2, axis=1)
+        shape = found.shape[:2] + found.shape[3:]
+        i, j, k = np.nonzero(found[:, :, 0] > 0)
+        made = [pa.array(np.array(fields, object)[i], pa.string()), pa.array(np.array(targets, object)[j], pa.string()),
+                pa.array((k + low).astype(np.int32)), *[pa.array(found[i, j, s, k]) for s in range(len(_SUMS))],
+                pa.array(np.broadcast_to(energy(x)[:, None, None], shape)[i, j, k]), pa.array(np.broadcast_to(energy(y)[None, :, None], shape)[i, j, k])]
+        first = [table.column(c).combine_chunks().take(pa.array(np.zeros(len(i), np.int64))) for c in names]
+        return pa.Table.from_arrays([*first, *made], schema=out_schema)
+
+    total = spread.groupBy(*keys, "_blk").applyInArrow(sums, schema).groupBy(*keys, "field", "target", "offset").agg(
+        *[F.sum(s).alias(s) for s in (*_SUMS, "ex", "ey")])
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    cross = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    usable = (n >= least_pairs) & (vx > _NOISE * F.col("ex")) & (vy > _NOISE * F.col("ey"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cross / F.sqrt(vx * vy)))
+    pick = lambda name, of: F.coalesce(*[F.when(F.col(name) == c, F.col(f"_m_{c}")) for c in of])
+    judged = total.select(
+        *keys, "field", "target", "offset", n.cast("bigint").alias("pairs"), F.when(usable, r).alias("correlation"),
+        F.when(usable, cross / vx).alias("coefficient"), (F.col("sx") / n).alias("_x"), (F.col("sy") / n).alias("_y"))
+    placed = join_small(judged, centres, keys, ready=True) if keys else beside(judged, centres)
+    intercept = F.col("_y") + pick("target", targets) - F.col("coefficient") * (F.col("_x") + pick("field", fields))
+    return placed.select(*keys, "field", "target", "offset", "pairs", "correlation", "coefficient", intercept.alias("intercept"))
 
 
 # fixed values: risk classes of a correlation with a target value ahead, now and behind

@@ -28,7 +28,7 @@ def lag_table(moments: DataFrame, step_minutes: int = 15) -> DataFrame:
 
 
 def _best(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.abs("correlation").desc_nulls_last(), "offset")
+    order = Window.partitionBy(*keys).orderBy(F.round(F.abs("correlation"), 9).desc_nulls_last(), "offset")
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 

@@ -50,47 +50,47 @@ mo AS (SELECT series_id, field, target, "offset", count(*) FILTER (both_) AS pai
 """
 
 
-@query("lag_corr", "WITH " + WIDE_SQL + moments_sql("wide", FIELDS, TARGETS, -24, 24) + f"""
+@query("lag_corr", "WITH " + WIDE_SQL + moments_sql("wide", FIELDS, TARGETS, -96, 96) + f"""
 SELECT series_id, field, target, "offset", "offset" * 60 AS offset_minutes, pairs, {sig_sql("round(correlation, 7)")} AS correlation,
   CASE WHEN "offset" > 0 THEN 'red_future_diagnostic_only' WHEN "offset" = 0 THEN 'amber_current' ELSE 'green_historical' END AS risk
 FROM mo
 """)
 def lag_corr(spark, sf):
-    out = lag_table(lag_moments(hourly_wide(spark, sf), FIELDS, TARGETS, -24, 24), 60)
+    out = lag_table(lag_moments(hourly_wide(spark, sf), FIELDS, TARGETS, -96, 96), 60)
     return out.select("series_id", "field", "target", "offset", "offset_minutes", "pairs",
                       sig(F.round("correlation", 7), "correlation"), "risk")
 
 
-@query("affine_copy", "WITH " + PLANTED_SQL + moments_sql("planted", AUDITED, ("view",), -4, 4) + f"""
+@query("affine_copy", "WITH " + PLANTED_SQL + moments_sql("planted", AUDITED, ("view",), -96, 96) + f"""
 SELECT series_id, field, target, "offset", round(slope, 6) AS coefficient, round(icept, 6) AS intercept,
   CASE WHEN "offset" > 0 THEN 'red' ELSE 'amber' END AS risk
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id, field, target ORDER BY abs(round(correlation, 9)) DESC, "offset") AS rk FROM mo
   WHERE abs(correlation) >= 0.995) WHERE rk = 1 AND sqrt(greatest(0, 1 - correlation * correlation)) <= 0.01
 """)
 def affine_copy(spark, sf):
-    out = copies(lag_moments(planted(spark, sf), AUDITED, ("view",), -4, 4), ("view",))
+    out = copies(lag_moments(planted(spark, sf), AUDITED, ("view",), -96, 96), ("view",))
     return out.select("series_id", "field", "target", "offset", F.round("coefficient", 6).alias("coefficient"),
                       F.round("intercept", 6).alias("intercept"), "risk")
 
 
-@query("future_corr", "WITH " + PLANTED_SQL + moments_sql("planted", AUDITED, ("view",), 1, 4) + """
+@query("future_corr", "WITH " + PLANTED_SQL + moments_sql("planted", AUDITED, ("view",), 1, 96) + """
 SELECT series_id, field, target, "offset", 'red' AS risk
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id, field, target ORDER BY abs(round(correlation, 9)) DESC, "offset") AS rk FROM mo
   WHERE abs(correlation) >= 0.995) WHERE rk = 1
 """)
 def future_corr(spark, sf):
-    out = future_correlations(lag_moments(planted(spark, sf), AUDITED, ("view",), 1, 4), ("view",))
+    out = future_correlations(lag_moments(planted(spark, sf), AUDITED, ("view",), 1, 96), ("view",))
     return out.select("series_id", "field", "target", "offset", "risk")
 
 
-@query("denied_field_corr", "WITH " + PLANTED_SQL + moments_sql("planted", ("error", "purchase", "leak_1", "leak_2", "delayed"), ("view",), 1, 6) + f"""
+@query("denied_field_corr", "WITH " + PLANTED_SQL + moments_sql("planted", ("error", "purchase", "leak_1", "leak_2", "delayed"), ("view",), 1, 96) + f"""
 SELECT field, max(abs(round(correlation, 7))) AS strongest, count(*) FILTER (abs(correlation) >= 0.995) AS offsets_over FROM mo GROUP BY 1
 """)
 def denied_field_corr(spark, sf):
     registry = registry_table(spark, RULES)
     allowed = {r.field for r in registry.where(scope_allowed(F.lit("long"))).select("field").collect()}
     denied = [f for f in AUDITED if f not in allowed and f != "view"]
-    return lag_moments(planted(spark, sf), denied, ("view",), 1, 6).groupBy("field").agg(
+    return lag_moments(planted(spark, sf), denied, ("view",), 1, 96).groupBy("field").agg(
         F.max(F.abs(F.round("correlation", 7))).alias("strongest"), F.count_if(F.abs("correlation") >= 0.995).alias("offsets_over"))
 
 
@@ -226,7 +226,7 @@ def relation_worst(spark, sf):
     return worst.withColumn("residual", F.round("residual", 6))
 
 
-@query("delay_pairs", "WITH " + PLANTED_SQL + moments_sql("planted", ("view", "leak_1", "leak_2", "delayed"), ("view", "leak_1", "leak_2", "delayed"), -4, 4) + """,
+@query("delay_pairs", "WITH " + PLANTED_SQL + moments_sql("planted", ("view", "leak_1", "leak_2", "delayed"), ("view", "leak_1", "leak_2", "delayed"), -12, 12) + """,
 src(f, s, i) AS (VALUES ('view', 'load', 0), ('leak_1', 'scenario', 1), ('leak_2', 'scenario', 2), ('delayed', 'other', 3))
 SELECT series_id, field AS left_field, a.s AS left_source, target AS right_field, b.s AS right_source, "offset" AS right_offset,
   CASE WHEN "offset" > 0 THEN 'red' ELSE 'review' END AS risk
@@ -236,7 +236,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY series_id, field, target ORDER B
 def delay_pairs_query(spark, sf):
     wide = planted(spark, sf).select("series_id", "pos", "view", "leak_1", "leak_2", "delayed")
     sources = {"view": "load", "leak_1": "scenario", "leak_2": "scenario", "delayed": "other"}
-    return delay_pairs(wide, sources, 4).drop("correlation")
+    return delay_pairs(wide, sources, 12).drop("correlation")
 
 
 @query("segments", "WITH " + GRID_SQL + f""",
