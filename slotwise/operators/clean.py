@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.operators.blocks import carry_last, with_halo
+from slotwise.operators.order_windows import RankIndex, by_block, frame
 
 KEYS = ("series_id", "field")
 MAD_SCALE = 1.4826  # fixed value: MAD of a normal variable to its standard deviation
@@ -58,58 +61,46 @@ def missing_and_fill(
     )
 
 
-def _quantiles(expr: str, window, points: str) -> Column:
-    return F.expr(f"percentile({expr}, {points})").over(window)
-
-
 def flag_outliers(
     grid: DataFrame, rule: OutlierRule = OutlierRule(), keys: Sequence[str] = KEYS, block: int | None = None,
 ) -> DataFrame:
-    """Adds ``outlier`` and ``robust`` (past median where flagged, else the raw value)."""
+    """Adds ``outlier`` and ``robust`` (past median where flagged, else the raw value).
+
+    The order statistics of every frame come from a rank index per block, so a slot's cost hardly depends on the window.
+    """
     if rule.method not in ("iqr", "hampel"):
         raise ValueError(f"unknown outlier method {rule.method!r}")
     if not rule.enabled:
         return grid.withColumn("outlier", F.lit(0)).withColumn("robust", F.col("value"))
-    compute, back = (_iqr, rule.window) if rule.method == "iqr" else (_hampel, 2 * rule.window + 1)
-    flagged = with_halo(grid, keys, lambda rows, w: compute(rows, w, rule), back=back, block=block)
-    outside = (F.col("value") < F.col("_low")) | (F.col("value") > F.col("_high"))
-    mask = F.coalesce(F.col("_valid") & outside, F.lit(False))
-    return flagged.select(
-        *grid.columns, mask.cast("int").alias("outlier"),
-        F.when(mask, F.col("_median")).otherwise(F.col("value")).alias("robust"))
-
-
-def _iqr(rows: DataFrame, window, rule: OutlierRule) -> DataFrame:
-    past = window.rowsBetween(-rule.window, -1)
-    staged = rows.withColumn("_n", F.count("value").over(past)).withColumn(
-        "_q", _quantiles("value", past, "array(0.25D, 0.5D, 0.75D)"))
-    enough = F.col("_n") >= rule.needed
-    q1, median, q3 = (F.when(enough, F.col("_q")[i]) for i in range(3))
+    bounds, back = (_iqr, rule.window) if rule.method == "iqr" else (_hampel, 2 * rule.window + 1)
+
+    def work(columns, n):
+        value = columns["value"]
+        median, low, high, valid = bounds(value, n, rule)
+        with np.errstate(invalid="ignore"):
+            flag = valid & ((value < low) | (value > high))
+        return {"outlier": flag.astype(np.int32), "robust": np.where(flag, median, value)}
+
+    return by_block(grid, keys, work, ["value"], [("outlier", T.IntegerType()), ("robust", T.DoubleType())], back, block=block)
+
+
+def _iqr(value: np.ndarray, n: int, rule: OutlierRule):
+    index, past = RankIndex(value), frame(n, rule.window)
+    enough = index.count(*past) >= rule.needed
+    q1, median, q3 = (np.where(enough, index.percentile(*past, p), np.nan) for p in (0.25, 0.5, 0.75))
     spread = q3 - q1
-    return (
-        staged.withColumn("_median", median)
-        .withColumn("_low", q1 - rule.multiplier * spread)
-        .withColumn("_high", q3 + rule.multiplier * spread)
-        .withColumn("_valid", spread > 0)
-    )
+    return median, q1 - rule.multiplier * spread, q3 + rule.multiplier * spread, spread > 0
 
 
-def _hampel(rows: DataFrame, window, rule: OutlierRule) -> DataFrame:
+def _hampel(value: np.ndarray, n: int, rule: OutlierRule):
     # the row at slot i carries history_i = value(i-1) and its own rolling median; the MAD is the
     # median of |history_j - median_j| over the last ``window`` rows j, the current one included
-    past = window.rowsBetween(-rule.window, -1)
-    here = window.rowsBetween(-(rule.window - 1), 0)
-    median = F.when(F.count("value").over(past) >= rule.needed, _quantiles("value", past, "0.5D"))
-    staged = rows.withColumn("_median", median).withColumn("_history", F.lag("value").over(window))
-    staged = staged.withColumn("_dev", F.abs(F.col("_history") - F.col("_median")))
-    mad = F.when(F.count("_dev").over(here) >= rule.needed, _quantiles("_dev", here, "0.5D"))
-    scale = MAD_SCALE * F.col("_mad")
-    return (
-        staged.withColumn("_mad", mad)
-        .withColumn("_low", F.col("_median") - rule.multiplier * scale)
-        .withColumn("_high", F.col("_median") + rule.multiplier * scale)
-        .withColumn("_valid", scale > 0)
-    )
+    index, past = RankIndex(value), frame(n, rule.window)
+    median = np.where(index.count(*past) >= rule.needed, index.percentile(*past, 0.5), np.nan)
+    away = RankIndex(np.abs(np.concatenate([[np.nan], value[:-1]]) - median))
+    here = frame(n, rule.window - 1, 0)
+    scale = MAD_SCALE * np.where(away.count(*here) >= rule.needed, away.percentile(*here, 0.5), np.nan)
+    return median, median - rule.multiplier * scale, median + rule.multiplier * scale, scale > 0
 
 
 def clean(

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.operators.blocks import DEFAULT_BLOCK, block_of, carry_last, running_total, with_halo
+from slotwise.operators.order_windows import RankIndex, by_block, frame
 
 KEYS = ("series_id", "field")
 STATISTICS = ("mean", "std", "min", "max", "slope", "q10", "q90")
+#: Statistics that need the order of the frame's values.
+SHARES = {"q10": 0.1, "median": 0.5, "q90": 0.9}
 
 
 def least_count(window: int) -> int:
@@ -30,7 +33,10 @@ def slope_of(column: str, window: WindowSpec, order: str = "pos") -> Column:
 
 
 def rolling(column: str, window: WindowSpec, size: int, statistics: Sequence[str], order: str = "pos") -> dict[str, Column]:
-    """Statistics over the ``size`` slots before the current one, null below the least count."""
+    """Statistics over the ``size`` slots before the current one, null below the least count.
+
+    Quantiles re-sort every frame here, which only suits short frames; ``sliding_quantiles`` doesn't.
+    """
     frame = window.rowsBetween(-size, -1)
     value = F.col(column)
     rules = {
@@ -39,9 +45,7 @@ def rolling(column: str, window: WindowSpec, size: int, statistics: Sequence[str
         "min": lambda: F.min(value).over(frame),
         "max": lambda: F.max(value).over(frame),
         "slope": lambda: slope_of(column, frame, order),
-        "q10": lambda: F.expr(f"percentile({column}, 0.1D)").over(frame),
-        "q90": lambda: F.expr(f"percentile({column}, 0.9D)").over(frame),
-        "median": lambda: F.expr(f"percentile({column}, 0.5D)").over(frame),
+        **{s: lambda share=share: F.expr(f"percentile({column}, {share}D)").over(frame) for s, share in SHARES.items()},
     }
     enough = F.count(value).over(frame) >= least_count(size)
     return {name: F.when(enough, rules[name]()) for name in statistics}
@@ -76,14 +80,37 @@ def rolling_features(
     grid: DataFrame, windows: Sequence[int], statistics: Sequence[str] = STATISTICS, column: str = "value",
     keys: Sequence[str] = KEYS, block: int | None = None,
 ) -> DataFrame:
-    """Adds roll_<window>_<statistic>; one window specification and so one sort for all of them."""
+    """Adds roll_<window>_<statistic>.
+
+    Moments and extremes share one window specification and so one sort. Quantiles of all windows come from one rank index per
+    block, whatever the windows' sizes.
+    """
     unknown = set(statistics) - {*STATISTICS, "median"}
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
+    moments, ranked = [s for s in statistics if s not in SHARES], [s for s in statistics if s in SHARES]
+    out = with_halo(
+        grid, keys, lambda rows, w: rows.withColumns(rolling_columns(column, w, windows, moments)),
+        back=max(windows), block=block) if moments else grid
+    if ranked:
+        out = sliding_quantiles(out, {f"roll_{size}_{s}": (size, SHARES[s]) for size in windows for s in ranked}, column, keys, block)
+    return out.select(*grid.columns, *[f"roll_{size}_{s}" for size in windows for s in statistics])
 
-    return with_halo(
-        grid, keys, lambda rows, w: rows.withColumns(rolling_columns(column, w, windows, statistics)),
-        back=max(windows), block=block)
+
+def sliding_quantiles(
+    grid: DataFrame, wanted: dict[str, tuple[int, float]], column: str = "value", keys: Sequence[str] = KEYS, block: int | None = None,
+) -> DataFrame:
+    """Adds a column per name: the quantile (size, share) of the ``size`` slots before the current one, null below the least count."""
+
+    def work(columns, n):
+        index, made = RankIndex(columns[column]), {}
+        for name, (size, share) in wanted.items():
+            past = frame(n, size)
+            made[name] = np.where(index.count(*past) >= least_count(size), index.percentile(*past, share), np.nan)
+        return made
+
+    return by_block(
+        grid, keys, work, [column], [(name, T.DoubleType()) for name in wanted], max(size for size, _ in wanted.values()), block=block)
 
 
 def ewma(

@@ -24,7 +24,7 @@ def lag_diff(spark, sf):
 
 def _rolling_sql(windows, stats) -> str:
     rules = {"mean": "avg(value)", "std": "stddev_pop(value)", "min": "min(value)", "max": "max(value)",
-             "slope": "regr_slope(value, pos - base)", "q10": "quantile_cont(value, 0.1)", "q90": "quantile_cont(value, 0.9)"}
+             "slope": "regr_slope(value, pos - base)", "q10": "quantile_cont(value, 0.1)", "q90": "quantile_cont(value, 0.9)", "median": "quantile_cont(value, 0.5)"}
     cells = []
     for w in windows:
         frame = f"OVER ({BY_FIELD} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
@@ -49,6 +49,14 @@ def rolling_slope_quantiles(spark, sf):
     return out.select("series_id", "field", "pos", *sigs(names))
 
 
+@query("rolling_quantiles_long", "WITH " + GRID_SQL + "\nSELECT series_id, field, pos,\n"
+       + _rolling_sql((96, 672), ("q10", "median", "q90")) + "\nFROM grid")
+def rolling_quantiles_long(spark, sf):
+    out = rolling_features(hourly_grid(spark, sf), (96, 672), ("q10", "median", "q90"), block=256)
+    names = [f"roll_{w}_{s}" for w in (96, 672) for s in ("q10", "median", "q90")]
+    return out.select("series_id", "field", "pos", *sigs(names))
+
+
 @query("ewma", "WITH RECURSIVE " + GRID_SQL + """,
 obs AS (
   SELECT series_id, field, pos, value, row_number() OVER w AS k,

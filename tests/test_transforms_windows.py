@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.operators.correlate import lag_moments, shifted_sums
+from slotwise.operators.features import rolling_features
+from slotwise.operators.order_windows import RankIndex
 
 
 def test_shifted_sums_equal_direct_sums():
@@ -50,3 +52,35 @@ def test_lag_moments_at_wide_reach(spark):
     assert got["flat", 0].correlation is None and got["flat", 0].pairs == n - 2
     assert got["rare", 0].pairs == 8 and got["rare", 0].correlation is None  # fewer than the least number of pairs
     assert len(got) == 4 * 193
+
+
+@pytest.mark.parametrize("kind", ["ties", "missing", "empty"])
+def test_ranges_of_a_rank_index_equal_sorting(kind):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 5, 300).astype(float) if kind == "ties" else rng.normal(size=300)
+    if kind != "ties":
+        values[rng.random(300) < (0.3 if kind == "missing" else 2)] = np.nan
+    index = RankIndex(values)
+    begin = rng.integers(0, 301, 200)
+    end = np.maximum(begin, rng.integers(0, 301, 200))
+    for share in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
+        got = index.percentile(begin, end, share)
+        for g, b, e in zip(got, begin, end):
+            held = values[b:e][np.isfinite(values[b:e])]
+            assert np.isnan(g) if not len(held) else g == pytest.approx(np.quantile(held, share))
+
+
+def test_long_windows_equal_pandas(spark, long_grid):
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random(1500) < 0.1, np.nan, np.round(rng.normal(size=1500), 2))
+    grid = long_grid({"a": x.tolist(), "b": [None] * 1500})
+    out = rolling_features(grid, (96, 672), ("mean", "q10", "median", "q90"), block=200)
+    assert out.columns[-8:] == [f"roll_{w}_{s}" for w in (96, 672) for s in ("mean", "q10", "median", "q90")]
+    rows = out.where("field = 'a'").orderBy("pos").toPandas()
+    for w in (96, 672):
+        past = pd.Series(x).shift(1).rolling(w, min_periods=w // 2)
+        for name, share in (("q10", 0.1), ("median", 0.5), ("q90", 0.9)):
+            want = past.quantile(share).to_numpy()
+            want[: w // 2] = [np.nan if np.isfinite(x[:i]).sum() < w // 2 else np.nanquantile(x[:i], share) for i in range(w // 2)]
+            assert np.allclose(rows[f"roll_{w}_{name}"].to_numpy(float), want, equal_nan=True)
+    assert out.where("field = 'b' and roll_96_median is not null").count() == 0
