@@ -205,16 +205,20 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
     themselves by a digest.
     """
 
-    def rows(held):
-        keys = list(held)
-        places = [np.concatenate(held[k]) if len(held[k]) > 1 else held[k][0] for k in keys]
-        return pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()),
-            pa.array([p.tobytes() for p in places], pa.binary()), pa.array([k[2] for k in keys])],
+    width = _PLACE.itemsize
+
+    def rows(held, crowd):
+        shards, strings, places = [], [], []
+        for stretch, found in held.items():
+            shards.append(found[0])
+            strings.append(stretch)
+            places.append(b"".join(found[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shards, pa.int64()), pa.array(strings, pa.binary()), pa.array(places, pa.binary()), pa.array([crowd] * len(shards))],
             [c.split()[0] for c in STRETCHES.split(", ")])
 
     def run(batches):
-        held, bytes_ = {}, 0
+        held, hot, bytes_ = {}, {}, 0
         for batch in batches:
             data, offsets = texts.text_buffers(batch.column("text"))
             doc, copy = (batch.column(c).to_numpy() for c in ("doc", "copy"))
@@ -224,28 +228,33 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
                 part = data[cut[0] : cut[-1]]
                 row, at, windows, name, number, _, _ = _names(part, cut - cut[0], length)
                 flag = np.frombuffer(b"".join(mask[first:last]), np.uint8)[number]
-                live = np.flatnonzero(flag)
                 whole = part.tobytes()
-                place = np.empty(len(live), _PLACE)
-                place["doc"], place["copy"] = doc[first + row[live]], copy[first + row[live]]
-                place["at"] = at[live] - (cut[row[live]] - cut[0])
-                shards = name[live].view(np.int64).tolist()
-                for i, (begin, n, shard, kind) in enumerate(zip(at[live].tolist(), windows[live].tolist(), shards, flag[live].tolist())):
+                for kind in (1, 2):
+                    live = np.flatnonzero(flag == kind)
+                    place = np.empty(len(live), _PLACE)
+                    place["doc"], place["copy"] = doc[first + row[live]], copy[first + row[live]]
+                    place["at"] = at[live] - (cut[row[live]] - cut[0])
+                    begins, stops = at[live].tolist(), (at[live] + windows[live] + (length - 1)).tolist()
                     if kind == 1:
-                        held.setdefault((shard, whole[begin : begin + n + length - 1], False), []).append(place[i : i + 1])
+                        encoded = place.tobytes()
+                        for i, (begin, stop, shard) in enumerate(zip(begins, stops, name[live].view(np.int64).tolist())):
+                            stretch = whole[begin:stop]
+                            found = held.get(stretch)
+                            if found is None:
+                                held[stretch] = found = [shard]
+                            found.append(encoded[i * width : i * width + width])
                         continue
-                    for step in range(n):
-                        digest = hashlib.blake2b(whole[begin + step : begin + step + length], digest_size=16).digest()
-                        one = place[i : i + 1].copy()
-                        one["at"] += step
-                        held.setdefault((int.from_bytes(digest[:8], "little", signed=True), digest, True), []).append(one)
+                    for i, (begin, stop) in enumerate(zip(begins, stops)):
+                        one = place[i : i + 1]
+                        for step in range(begin, stop - length + 1):
+                            digest = hashlib.blake2b(whole[step : step + length], digest_size=16).digest()
+                            hot.setdefault(digest, [int.from_bytes(digest[:8], "little", signed=True)]).append(one.tobytes())
+                            one["at"] += 1
                 bytes_ += len(part)
                 if bytes_ >= BUCKET // 2:
-                    if held:
-                        yield rows(held)
-                    held, bytes_ = {}, 0
-        if held:
-            yield rows(held)
+                    yield from (rows(h, h is hot) for h in (held, hot) if h)
+                    held, hot, bytes_ = {}, {}, 0
+        yield from (rows(h, h is hot) for h in (held, hot) if h)
 
     return docs.mapInArrow(run, STRETCHES)
 

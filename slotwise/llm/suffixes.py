@@ -53,10 +53,11 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of every suffix with the one before it in ``order``, by Kasai's rule.
+    """Length of the common prefix of suffixes with the one before them in ``order``, by Kasai's rule.
 
     A suffix that begins one byte later shares at most one byte less with its predecessor. All strings step through their bytes
-    side by side, each with its own matched length; a step compares eight bytes at a time.
+    from ``starts`` to ``stops`` side by side, each with its own matched length; a step compares eight bytes at a time. Other
+    suffixes get 0.
     """
     n = len(data)
     rank = np.empty(n, np.int32)
@@ -70,7 +71,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sto
     while len(at):
         place = rank[at]
         other = before[place]
-        most = np.where(place > 0, np.minimum(stop - at, left[other]), 0)
+        most = np.where(place > 0, np.minimum(left[at], left[other]), 0)
         matched = np.minimum(matched, most)
         live = np.flatnonzero(matched < most)
         while len(live):
@@ -100,7 +101,8 @@ class Windows:
         self.data = np.frombuffer(b"".join(strings), np.uint8)
         ends = np.repeat(self.stops, sizes)
         order = suffix_array(self.data, ends)
-        prefix = common_prefixes(self.data, order, self.starts, self.stops, ends)
+        # only the suffixes at which a window begins count
+        prefix = common_prefixes(self.data, order, self.starts, np.maximum(self.stops - length + 1, self.starts), ends)
         whole = ends[order] - order >= length
         self.places, head = order[whole], prefix[whole] < length
         self.first = self.places[head]
