@@ -26,15 +26,15 @@ def _range_count(df: DataFrame) -> int:
     return min(16384, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def ranked_mass(
-    df: DataFrame, keys: Sequence[str], value: Column, mass: Column | None = None, ranges: int | None = None,
+def ranked_masses(
+    df: DataFrame, keys: Sequence[str], value: Column, masses: Sequence[Column], ranges: int | None = None,
 ) -> DataFrame:
-    """(keys, value, lo, hi, total): cumulative mass before and after every distinct value."""
-    mass = F.lit(1).cast("bigint") if mass is None else mass
+    """(keys, value, mass_i, hi_i, total_i): for every distinct value its masses, each up to and with it, and of the group."""
+    names = [f"mass_{i}" for i in range(len(masses))]
     distinct = (
-        df.select(*keys, value.alias("value"), mass.alias("mass"))
+        df.select(*keys, value.alias("value"), *[m.alias(n) for m, n in zip(masses, names)])
         .where(F.col("value").isNotNull())
-        .groupBy(*keys, "value").agg(F.sum("mass").alias("mass"))
+        .groupBy(*keys, "value").agg(*[F.sum(n).alias(n) for n in names])
     )
     ranges = ranges or _range_count(df)
     stride = math.isqrt(ranges) + 1
@@ -45,26 +45,28 @@ def ranked_mass(
     below = lambda c: c < F.col("value")
     skipped = F.size(F.filter("_coarse", below)) * stride
     placed = beside(distinct, cuts).withColumn("_skip", skipped).select(
-        *keys, "value", "mass",
+        *keys, "value", *names,
         (F.col("_skip") + F.size(F.filter(F.slice("_cuts", F.col("_skip") + 1, F.lit(stride)), below))).alias("_range"))
-    sizes = placed.groupBy(*keys, "_range").agg(F.sum("mass").alias("_size"))
-    ordered = Window.partitionBy(*keys).orderBy("_range")
+    sizes = placed.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_size_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = sizes.select(
-        *keys, "_range",
-        F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("total"),
-    )
+        *keys, "_range", *[F.coalesce(F.sum(f"_size_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in names],
+        *[F.sum(f"_size_{n}").over(whole).alias(f"_total_{n}") for n in names])
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_upto", F.sum("mass").over(inside))
-        .join(offsets, [*keys, "_range"])
-        .select(
-            *keys, "value",
-            (F.col("_offset") + F.col("_upto") - F.col("mass")).alias("lo"),
-            (F.col("_offset") + F.col("_upto")).alias("hi"),
-            "total",
-        )
-    )
+    summed = placed.withColumns({f"_upto_{n}": F.sum(n).over(inside) for n in names}).join(offsets, [*keys, "_range"])
+    return summed.select(
+        *keys, "value", *names, *[(F.col(f"_offset_{n}") + F.col(f"_upto_{n}")).alias(n.replace("mass", "hi")) for n in names],
+        *[F.col(f"_total_{n}").alias(n.replace("mass", "total")) for n in names])
+
+
+def ranked_mass(
+    df: DataFrame, keys: Sequence[str], value: Column, mass: Column | None = None, ranges: int | None = None,
+) -> DataFrame:
+    """(keys, value, lo, hi, total): cumulative mass before and after every distinct value."""
+    mass = F.lit(1).cast("bigint") if mass is None else mass
+    return ranked_masses(df, keys, value, [mass], ranges).select(
+        *keys, "value", (F.col("hi_0") - F.col("mass_0")).alias("lo"), F.col("hi_0").alias("hi"), F.col("total_0").alias("total"))
 
 
 def exact_quantiles(
@@ -107,6 +109,27 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: Column, weight: C
     return ranks.groupBy(*keys).agg(F.min(F.when(reached, F.col("value"))).alias(out))
 
 
+def weighted_median_without(
+    df: DataFrame, keys: Sequence[str], part: str, parts: Sequence, value: Column, weight: Column, out: str,
+) -> DataFrame:
+    """(keys, held, samples, out): for each of ``parts``, the weighted median of the rows of all the others, and their number.
+
+    Values are ranked once, with one mass per part; leaving a part out adds up the running masses of the others. (A total less the
+    held mass would lose the digits of light parts.) Null where the others have no weight.
+    """
+    own = [F.col(part).eqNullSafe(F.lit(p)) for p in parts]
+    held = range(len(parts))
+    ranks = ranked_masses(df, keys, value, [F.when(o, weight).otherwise(0.0) for o in own])
+    rest = lambda name, i: sum((F.col(f"{name}_{j}") for j in held if j != i), F.lit(0.0))
+    reached = [(rest("hi", i) >= 0.5 * rest("total", i)) & (rest("total", i) > 0) for i in held]
+    middle = ranks.groupBy(*keys).agg(*[F.min(F.when(reached[i], F.col("value"))).alias(f"_m_{i}") for i in held])
+    counts = df.where(value.isNotNull()).groupBy(*keys).agg(*[F.count_if(o).alias(f"_n_{i}") for i, o in enumerate(own)])
+    others = lambda i: sum((F.col(f"_n_{j}") for j in held if j != i), F.lit(0).cast("bigint"))
+    cells = F.array(*[F.struct(
+        F.lit(p).cast(df.schema[part].dataType).alias("held"), others(i).alias("samples"), F.col(f"_m_{i}").alias(out)) for i, p in enumerate(parts)])
+    return middle.join(counts, list(keys)).select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
+
+
 def evenly_spaced(count: int, wanted: int) -> list[int]:
     """Positions of ``wanted`` items spread over ``count`` items, ends included."""
     if wanted >= count:

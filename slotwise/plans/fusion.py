@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from slotwise.functions.clock import hour_bin
 from slotwise.functions.numbers import ape_floor, finite
-from slotwise.operators.blocks import beside, join_small
-from slotwise.operators.order_stats import weighted_median
+from slotwise.operators.blocks import join_small
+from slotwise.operators.order_stats import weighted_median, weighted_median_without
 from slotwise.plans.gates import CELL, column_gate
 from slotwise.session import cut_lineage
 
@@ -275,22 +275,42 @@ def apply_winner(wide: DataFrame, winners: DataFrame, models: Sequence[str], out
     return rows.withColumn(out, value).drop("_held", "_winner")
 
 
+def _hour_ratios(rows: DataFrame, prediction: str, bin_size: int, time: str) -> DataFrame:
+    usable = finite("y_true").isNotNull() & finite(prediction).isNotNull() & (F.abs(F.col(prediction)) > FLOOR)
+    return rows.where(usable).withColumn("hour_bin", hour_bin(time, bin_size)).withColumns({
+        "_ratio": F.col("y_true") / F.col(prediction),
+        "_weight": F.abs(F.col(prediction)) / F.greatest(F.abs(F.col("y_true")), F.lit(FLOOR))})
+
+
+def _shrunk(middle: DataFrame, minimum_samples: int, shrinkage: float, least: float, most: float) -> DataFrame:
+    trust = F.col("samples") / (F.col("samples") + max(shrinkage, 0.0))
+    factor = 1 + trust * (F.col("raw_factor") - 1)
+    return middle.where(F.col("samples") >= minimum_samples).withColumn(
+        "factor", F.least(F.greatest(factor, F.lit(least)), F.lit(most)))
+
+
 def hour_factors(
     rows: DataFrame, prediction: str = "y_pred", keys: Sequence[str] = CELL, bin_size: int = 4,
     minimum_samples: int = 24, shrinkage: float = 48.0, least: float = 0.90, most: float = 1.10,
     time: str = "target_ts",
 ) -> DataFrame:
     """(keys, hour_bin, factor): shrunk and clipped weighted median of truth over forecast."""
-    usable = finite("y_true").isNotNull() & finite(prediction).isNotNull() & (F.abs(F.col(prediction)) > FLOOR)
-    binned = rows.where(usable).withColumn("hour_bin", hour_bin(time, bin_size)).withColumns({
-        "_ratio": F.col("y_true") / F.col(prediction),
-        "_weight": F.abs(F.col(prediction)) / F.greatest(F.abs(F.col("y_true")), F.lit(FLOOR))})
-    group = [*keys, "hour_bin"]
-    counts = binned.groupBy(*group).agg(F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= minimum_samples)
+    binned, group = _hour_ratios(rows, prediction, bin_size, time), [*keys, "hour_bin"]
+    counts = binned.groupBy(*group).agg(F.count(F.lit(1)).alias("samples"))
     middle = weighted_median(binned, group, F.col("_ratio"), F.col("_weight"), "raw_factor")
-    trust = F.col("samples") / (F.col("samples") + max(shrinkage, 0.0))
-    shrunk = 1 + trust * (F.col("raw_factor") - 1)
-    return counts.join(middle, group).withColumn("factor", F.least(F.greatest(shrunk, F.lit(least)), F.lit(most)))
+    return _shrunk(counts.join(middle, group), minimum_samples, shrinkage, least, most)
+
+
+def held_out_hour_factors(
+    rows: DataFrame, prediction: str = "y_pred", keys: Sequence[str] = CELL, fold: str = "fold", bin_size: int = 4,
+    minimum_samples: int = 24, shrinkage: float = 48.0, least: float = 0.90, most: float = 1.10,
+    time: str = "target_ts",
+) -> DataFrame:
+    """(keys, hour_bin, held, factor): factors of the rows outside each fold, from one ranking of all rows."""
+    folds = [r[0] for r in rows.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]
+    binned = _hour_ratios(rows, prediction, bin_size, time)
+    middle = weighted_median_without(binned, [*keys, "hour_bin"], fold, folds or [None], F.col("_ratio"), F.col("_weight"), "raw_factor")
+    return _shrunk(middle.where(F.col("raw_factor").isNotNull()), minimum_samples, shrinkage, least, most)
 
 
 def calibrate(
@@ -308,11 +328,7 @@ def cross_fit_calibration(
     fold: str = "fold", time: str = "target_ts", **settings,
 ) -> DataFrame:
     """Every fold is calibrated with factors learnt on the other folds."""
-    # one row: the names of the folds
-    folds = rows.select(fold).distinct().agg(F.collect_set(fold).alias("_folds"))
-    others = F.filter("_folds", lambda f: f != F.col(fold))
-    training = beside(rows, folds).withColumn("_held", F.explode(others)).drop("_folds")
-    factors = hour_factors(training, prediction, ["_held", *keys], time=time, **settings)
+    factors = held_out_hour_factors(rows, prediction, keys, fold, time=time, **settings).withColumnRenamed("held", "_held")
     marked = rows.withColumn("_held", F.col(fold))
     return calibrate(marked, factors, prediction, out, ["_held", *keys], settings.get("bin_size", 4), time).drop("_held")
 

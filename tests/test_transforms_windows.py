@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.operators.correlate import lag_moments, shifted_sums
 from slotwise.operators.features import rolling_features
+from slotwise.operators.order_stats import weighted_median_without
 from slotwise.operators.order_windows import RankIndex
 
 
@@ -84,3 +85,24 @@ def test_long_windows_equal_pandas(spark, long_grid):
             want[: w // 2] = [np.nan if np.isfinite(x[:i]).sum() < w // 2 else np.nanquantile(x[:i], share) for i in range(w // 2)]
             assert np.allclose(rows[f"roll_{w}_{name}"].to_numpy(float), want, equal_nan=True)
     assert out.where("field = 'b' and roll_96_median is not null").count() == 0
+
+
+def test_medians_without_a_part_come_from_one_ranking(spark):
+    rng = np.random.default_rng(8)
+    rows = [("k" if i % 3 else "j", f"f{rng.integers(0, 4)}", float(rng.integers(0, 30)), float(rng.integers(1, 9))) for i in range(400)]
+    rows += [("only", "f0", 1.0, 2.0), ("only", "f0", 5.0, 9.0), ("k", None, 1e9, 1e9), ("k", "f1", None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, fold string, x double, w double")
+    parts = ["f0", "f1", "f2", "f3"]
+    found = weighted_median_without(df, ["g"], "fold", parts, F.col("x"), F.col("w"), "middle")
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]  # one copy of the rows
+    got = {(r.g, r.held): (r.samples, r.middle) for r in found.collect()}
+    for g in ("k", "j", "only"):
+        for held in parts:
+            rest = sorted((x, w) for a, f, x, w in rows if a == g and f not in (held, None) and x is not None)
+            total, run, middle = sum(w for _, w in rest), 0.0, None
+            for x, w in rest:
+                run += w
+                if middle is None and run >= 0.5 * total:
+                    middle = x
+            assert got[g, held] == (len(rest), middle)
+    assert weighted_median_without(df.limit(0), ["g"], "fold", [None], F.col("x"), F.col("w"), "middle").count() == 0
