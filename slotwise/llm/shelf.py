@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ class Shelf:
         for table in tables:
             self._remove(table.shelf_path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of plans that are stored by now: it acts when the driver has collected them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         self._remove(self.folder)
 
