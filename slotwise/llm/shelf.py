@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.session import checkpoint_folder
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Shelf:
     """Parquet tables that cut lineage: a lost executor costs at most the stage after the last table."""
@@ -18,10 +19,18 @@ class Shelf:
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.count = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """``df`` as a table; with ``free`` the shuffle files of its plan go as soon as it is written."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE)
+        try:
+            if free:
+                self.spark.conf.set(FREE, "true")
+            df.write.parquet(path)
+        finally:
+            if free:
+                self.spark.conf.set(FREE, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.shelf_path = path
         return table
@@ -31,11 +40,6 @@ class Shelf:
         for table in tables:
             self._remove(table.shelf_path)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that are stored by now: it acts when the driver has collected them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def clear(self) -> None:
         self._remove(self.folder)
 
