@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
-from slotwise.llm.passages import Chaining, best_chains, common_words, repeats
+from slotwise.llm.passages import Chaining, _farthest, best_chains, common_words, reach, repeats
 from slotwise.llm.shelf import Shelf
 
 
@@ -150,3 +150,38 @@ def test_very_many_blank_lines_cost_in_proportion(spark):
     df = spark.createDataFrame([(1, text), (2, text), (3, "\n\n" + text)], "doc_id long, text string")
     got = {r.doc_id: (len(r.deleted), r.text) for r in without_repeats(df).collect()}
     assert got[1] == (0, text) and got[2] == (60001, "") and got[3] == (60001, "\n")
+
+
+def test_single_anchors_are_judged_without_loss():
+    """A byte of the nearest words never gives less reach than the whole words, and hopeless sides are recognised."""
+    p, rng = Chaining(), np.random.default_rng(5)
+    for share in (0.05, 0.5, 0.75, 0.9):
+        for _ in range(300):
+            n, m = rng.integers(0, 70, 2)
+            a = rng.integers(0, 1 << 31, n).astype(np.int32)
+            b = rng.integers(0, 1 << 31, m).astype(np.int32)
+            k = min(n, m)
+            b[:k] = np.where(rng.random(k) < share, a[:k], b[:k])
+            same = np.zeros((1, p.near), bool)
+            near = min(k, p.near)
+            same[0, :near] = a[:near].astype(np.uint8) == b[:near].astype(np.uint8)
+            bound = _farthest(same, np.array([near]), p)[0]
+            assert bound >= reach(a[: p.pad], b[: p.pad], p.drop)[0]
+    assert _farthest(np.zeros((1, p.near), bool), np.array([p.near]), p)[0] == 0
+
+
+def test_passages_around_single_anchors(spark):
+    """Of passages with one intact run of five words and edits else, the judged ones are those of every single chain."""
+    rng = np.random.default_rng(11)
+    rows, k = [], 0
+    for i in range(40):
+        words = [f"w{v}" for v in rng.integers(0, 10**9, 60)]
+        other = list(words)
+        for at in list(range(3, 24, 4)) + list(range(33, 60, 4 + i % 3)):
+            other[at] = f"e{k}"
+            k += 1
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = {r["doc_id"]: r["passages"] for r in repeats(docs, Chaining(near=64)).collect()}
+    found = {r["doc_id"]: r["passages"] for r in repeats(docs).collect()}
+    assert found == wide and sum(bool(v) for v in found.values()) > 10
