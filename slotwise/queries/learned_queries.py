@@ -12,12 +12,14 @@ from slotwise.plans.learned import (
     predict_loads, ridge, search, training_set, with_target_clock,
 )
 from slotwise.plans.fusion import blend_report
+from slotwise.plans.ridge_paths import predict_paths, ratio_labels, ridge_paths, unsolved
 from slotwise.plans.routing import cross_fit, route_by_error, route_by_winner, router_features, stack_ratio
 from slotwise.plans.splits import Rolling, fold_table
 from slotwise.queries.base import BY_FIELD, BY_SITE, HOUR, WIDE_SQL, hourly_grid, hourly_wide, query, sig, sig_sql, sigs
 from slotwise.queries.forecast_queries import LAST, MEAN
 from slotwise.queries.selection_queries import named, named_sql
 from slotwise.queries.state_queries import STATE_SQL as FLAG_SQL
+from slotwise.session import cut_lineage
 
 TRAIN_HORIZONS = (1, 4)
 
@@ -125,9 +127,54 @@ def fc_relative_boosted(spark, sf):
     return _learned(spark, sf, lambda: boosted(trees=5), "ratio")
 
 
+ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed value: penalties of the grid
+RATIOS = {h: f"ratio_{h}" for h in TRAIN_HORIZONS}
+
+
+def _ridge_rows(spark, sf):
+    """All rows with the ratios to come, the early ones, and three families of features, each within the next."""
+    features, names = _features(spark, sf)
+    rows = ratio_labels(features, TRAIN_HORIZONS)
+    rows = cut_lineage(rows.join(rows.groupBy("series_id").agg((F.max("pos") - 100).alias("train_end")), "series_id"))
+    families = {"level": ["feat_current"], "compact": ["feat_current", *[n for n in names if "diff" in n or "lag" in n]], "full": list(names)}
+    return rows, rows.where(F.col("pos") + max(TRAIN_HORIZONS) <= F.col("train_end")), families
+
+
+def _ridge_models(train, families):
+    models = cut_lineage(ridge_paths(train, RATIOS, families, ALPHAS))
+    return models, list(dict.fromkeys(n for family in families.values() for n in family))
+
+
 @query("fc_ridge")
 def fc_ridge(spark, sf):
-    return _learned(spark, sf, lambda: ridge(10.0), "ratio", scaled=True)
+    rows, train, families = _ridge_rows(spark, sf)
+    models, names = _ridge_models(train, families)
+    told = predict_paths(rows.where("pos > train_end AND value IS NOT NULL"), models, names)
+    return told.select("series_id", "field", "pos", "horizon", "family", "alpha", (F.col("value") * (1 + F.col("predicted"))).alias("y_pred"))
+
+
+RIDGE_SQL = FLAG_SQL + f""",
+cut AS (SELECT series_id, hi - 100 AS te FROM span),
+aheads AS (SELECT series_id, field, pos, value, lead(value, 1) OVER ({BY_FIELD}) AS one, lead(value, 4) OVER ({BY_FIELD}) AS four FROM grid),
+early AS (SELECT field, value AS x, one / value - 1 AS y1, four / value - 1 AS y4 FROM aheads JOIN cut USING (series_id)
+  WHERE pos + 4 <= te AND value <> 0 AND one IS NOT NULL AND four IS NOT NULL),
+slopes AS (SELECT field, count(*) AS rows, covar_pop(y1, x) / var_pop(x) AS b1, covar_pop(y4, x) / var_pop(x) AS b4 FROM early GROUP BY 1)
+"""
+
+
+@query("ridge_equations", "WITH " + RIDGE_SQL + f"""
+SELECT field, family, alpha, CAST(horizon AS INTEGER) AS horizon, rows, 0.0::DOUBLE AS residual,
+  CASE WHEN family = 'level' THEN {sig_sql("(CASE horizon WHEN 1 THEN b1 ELSE b4 END) * rows / (rows + alpha)")} END AS slope
+FROM slopes, unnest(['level', 'compact', 'full']) AS f(family), unnest([0.1, 1, 10, 100, 1000]::DOUBLE[]) AS a(alpha), unnest([1, 4]) AS h(horizon)
+""")
+def ridge_equations(spark, sf):
+    """The normal equations of all settings, from the rows; slopes of the family of one feature, which SQL has in closed form."""
+    _, train, families = _ridge_rows(spark, sf)
+    models, names = _ridge_models(train, families)
+    left = unsolved(train, models, RATIOS, names).withColumn("residual", F.round("residual", 6) + 0.0)
+    slope = models.select("field", "family", "alpha", "horizon", F.when(F.col("family") == "level", F.get("coefficients", F.lit(0))).alias("slope"))
+    return left.join(slope, ["field", "family", "alpha", "horizon"]).select(
+        "field", "family", "alpha", "horizon", "rows", F.abs("residual").alias("residual"), sig("slope"))
 
 
 @query("fc_forest")
