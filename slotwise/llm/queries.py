@@ -228,4 +228,25 @@ SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(r.lost, 0)::BIGINT AS n_remove
 FROM hexed h LEFT JOIN kept k ON h.doc_id = k.doc_id
 LEFT JOIN (SELECT doc_id, sum(b - a) AS lost, count(*) AS spans FROM runs GROUP BY doc_id) r ON h.doc_id = r.doc_id"""
 
-SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op12_byte_runs": BYTE_RUNS, "op13_vector_codes": VECTOR_CODES}
+NEAR_COPIES = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')))) END AS s
+  FROM split),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, s FROM sets WHERE len(s) > 0 GROUP BY s),
+spread AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM spread a JOIN spread b ON a.shingle = b.shingle AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached(id, other) AS (
+  SELECT id, id FROM classes UNION SELECT r.id, l.b FROM reached r JOIN links l ON r.other = l.a),
+roots AS (SELECT id, min(other) AS root FROM reached GROUP BY id),
+named AS (SELECT c.s, r.root FROM classes c JOIN roots r ON c.id = r.id)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(n.root, t.doc_id) AS component_id, coalesce(n.root, t.doc_id) = t.doc_id AS kept
+FROM sets t LEFT JOIN named n ON t.s = n.s"""
+
+SQL: dict[str, str] = {"op10_near_copies": NEAR_COPIES, "op11_fill_middle": FILL_MIDDLE, "op12_byte_runs": BYTE_RUNS, "op13_vector_codes": VECTOR_CODES}
