@@ -25,6 +25,10 @@ def folders(spark, tmp_path_factory):
         spark.createDataFrame(rows, schema).selectExpr("*", *extra).coalesce(2).write.parquet(f"{folder}/documents.parquet")
         items = [(1, "same text of a few words"), (None, None), (2, "")] if rows else []
         spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        # as many valid vectors as documents, ties among them, and two that go
+        vectors = [(i, [0.5 * (i // 2) - j for j in range(32)], "a" if i % 2 else None) for i in range(len(rows))]
+        vectors += [(len(rows), None, None), (len(rows) + 1, [float("nan")] * 32, "b")] if rows else []
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label string").write.parquet(f"{folder}/embeddings.parquet")
         out[name] = (folder, len(rows))
     return out
 
