@@ -349,10 +349,11 @@ FROM cond
 """)
 def coverage_query(spark, sf):
     out = coverage(conditioned(spark, sf))
+    # the map lists the conditions that occur
+    rows_of = lambda name: F.coalesce(F.col("conditions")[name], F.lit(0)).alias(name)
     return out.select(
         "rows", F.get("months", F.lit(0)).alias("first_month"), F.size("months").alias("months"), "weekend_rows", "month_change_rows",
-        "high_missing_rows", "startup_rows", "shutdown_rows", F.col("conditions")["ramp_up"].alias("ramp_up"),
-        F.col("conditions")["high_missing"].alias("high_missing"))
+        "high_missing_rows", "startup_rows", "shutdown_rows", rows_of("ramp_up"), rows_of("high_missing"))
 
 
 @query("error_groups", "WITH " + long_sql(("mean_8",)) + COND_SQL + f"""

@@ -287,3 +287,15 @@ def test_blend_weights_are_checked(spark):
         weighted_blend(long, w(2.0, -1.0), ["pos"]).collect()
     with pytest.raises(Exception, match="add up to one"):
         weighted_blend(long, w(2.0, 1.0), ["pos"], signed=True).collect()
+
+
+def test_coverage_gives_zero_for_conditions_that_never_occur(spark, tmp_path):
+    from slotwise.queries import REGISTRY
+
+    # a steady reading of every field in every hour: no gap, no ramp
+    spark.range(600 * 5).selectExpr(
+        "id as event_id", "timestamp_seconds(1704070800 + 3600 * (id div 5) - 60) as ts", "0L as user_id",
+        "element_at(array('click', 'error', 'purchase', 'signup', 'view'), cast(id % 5 as int) + 1) as event_type",
+        "30.0D as value").write.parquet(f"{tmp_path}/events.parquet")
+    row = REGISTRY["coverage"].run(spark, str(tmp_path)).first()
+    assert row["rows"] > 0 and (row["high_missing"], row["ramp_up"]) == (0, 0)
