@@ -122,6 +122,13 @@ def test_relations_and_multivariate_copies(leaky):
         [least_squares(twin, ["series_id"], ["a"], "sum").first()["coefficients"][0] / 2] * 2)
 
 
+def test_multivariate_split_is_exact(spark):
+    # 90 * 0.7 is 62.99999999999999 in doubles; the exact share trains on 63 rows and judges 27
+    a = np.random.default_rng(4).normal(size=(90, 2))
+    out = multivariate_fit(frame(spark, a=a[:, 0], b=a[:, 1], y=a[:, 0] - a[:, 1]), ["a", "b"], "y").first()
+    assert (out["rows"], out["test_rows"]) == (90, 27)
+
+
 def test_segments_setpoints_names(spark, long_grid):
     grid = long_grid({"x": [5, 5, 5, 7, 7, 9]})
     s = segment_statistics(grid, 0.05).first()
