@@ -15,8 +15,13 @@ from pyspark.sql.window import Window
 from slotwise.operators.blocks import beside, join_small
 from slotwise.session import stored
 
-#: Pivots a key has at most; a key has about one for every chunk of rows, so no query is sent to more cells than there are chunks.
+#: Pieces that a key's rows are cut into, unless a piece gets more than ``PIECE`` vector components or too few rows: a query that
+#: has to see all pieces is sent a fixed number of times, and not once for every so many rows.
+PIECES, PIECE = 16, 1 << 22
+#: Pivots a key has at most; a key has about one for every piece.
 MOST_PIVOTS = 4096
+#: Distances that a task holds at once, and pairs that it measures exactly at once.
+TILE, EXACT = 1 << 21, 1 << 16
 #: Distances computed in another order differ by less than this share.
 SLACK = 1e-9
 
@@ -36,17 +41,25 @@ def _meet(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return join_small(rows, small, keys, ready=True) if keys else beside(rows, small)
 
 
+def pieces(rows: DataFrame, keys: Sequence[str], chunk: int, name: str) -> DataFrame:
+    """(keys, _n, name): rows of a key, and the number of pieces for them. Pieces hold ``chunk`` rows at least; beyond ``PIECES`` pieces
+    they grow with the key, up to ``PIECE`` vector components."""
+    n, width = F.count(F.lit(1)), F.greatest(F.max(F.size("_v")), F.lit(1))
+    wanted = F.greatest(F.lit(PIECES), F.ceil(n * width / F.lit(PIECE)))
+    return rows.groupBy(*keys).agg(n.alias("_n"), F.least(F.ceil(n / F.lit(chunk)), wanted).cast("int").alias(name))
+
+
 def pivots_of(rows: DataFrame, keys: Sequence[str], chunk: int) -> DataFrame:
-    """(keys, pivots, _parts): vectors of the rows with a small hash, and the number of chunks that the key's rows fill."""
+    """(keys, pivots, _parts, _n): vectors of the rows with a small hash, the number of the key's pieces and of its rows."""
     drawn = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int")
-    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), parts.alias("_parts")))
+    sizes = stored(pieces(rows, keys, chunk, "_parts"))
     share = F.least("_parts", F.lit(MOST_PIVOTS)) / F.col("_n")
     held = _meet(rows.withColumn("_draw", drawn), sizes, keys)
     few = F.sort_array(F.collect_list(F.when(F.col("_draw") < share, F.struct("_draw", "_v"))))
     found = held.groupBy(*keys).agg(
-        few.alias("_few"), F.min_by("_v", F.struct("_draw", "_id")).alias("_one"), F.first("_parts").alias("_parts"))
-    return found.select(*keys, F.when(F.size("_few") > 0, F.col("_few._v")).otherwise(F.array("_one")).alias("pivots"), "_parts")
+        few.alias("_few"), F.min_by("_v", F.struct("_draw", "_id")).alias("_one"), F.first("_parts").alias("_parts"),
+        F.first("_n").alias("_n"))
+    return found.select(*keys, F.when(F.size("_few") > 0, F.col("_few._v")).otherwise(F.array("_one")).alias("pivots"), "_parts", "_n")
 
 
 class Atlas:
@@ -86,9 +99,9 @@ def _chunk(parts: str) -> Column:
 
 
 class PivotIndex:
-    """Index of (keys, ident, vector): stored cells of at most ``chunk`` rows a part, and one atlas row per key.
+    """Index of (keys, ident, vector): stored cells in parts of at most a piece, and one atlas row per key.
 
-    A key's rows pass in chunks by a hash of the identity beside the key's pivots, so a key with most rows is spread. The index is
+    A key's rows pass in pieces by a hash of the identity beside the key's pivots, so a key with most rows is spread. The index is
     exact for any data; what it saves depends on how clustered they are. Rows with a null vector are left out.
     """
 
@@ -109,8 +122,9 @@ class PivotIndex:
         schema_ = to_arrow_schema(schema)
         self.placed = stored(self._cogroup(base, both, place, schema))
         cells = self.placed.groupBy(*self.keys, "_cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("_gap").alias("low"), F.max("_gap").alias("high"),
-            F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts"))
+            F.count(F.lit(1)).alias("n"), F.min("_gap").alias("low"), F.max("_gap").alias("high"))
+        cells = _meet(cells, both.select(*self.keys, "_parts", "_n"), self.keys).withColumn(
+            "parts", F.ceil(F.col("n") * F.col("_parts") / F.col("_n")).cast("int"))
         listed = cells.groupBy(*self.keys).agg(F.collect_list(F.struct("_cell", "n", "low", "high", "parts")).alias("cells"))
         pivots = both.select(*self.keys, "pivots")
         self.atlas = stored(pivots.join(listed, self.keys) if self.keys else beside(pivots, listed))
@@ -118,12 +132,13 @@ class PivotIndex:
         self.cells = stored(parts.select(*self.keys, F.col("_c._cell").alias("_cell"), F.col("_c.parts").alias("_parts")))
 
     def _side(self, rows: DataFrame, vector: str, ident: str) -> DataFrame:
-        # fresh column identities: both sides usually come from the same table
+        # fresh column identities: both sides usually come from the same table; single precision travels as it is
+        kind = "array<float>" if rows.schema[vector].dataType.elementType == T.FloatType() else "array<double>"
         return rows.where(F.col(vector).isNotNull()).select(
-            *[F.col(c).alias(c) for c in self.keys], F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+            *[F.col(c).alias(c) for c in self.keys], F.col(ident).alias("_id"), F.col(vector).cast(kind).alias("_v"))
 
     def _cogroup(self, rows: DataFrame, table: DataFrame, work, schema: T.StructType) -> DataFrame:
-        """``work`` on every chunk of a key's rows beside the key's row of ``table``, which has ``_parts`` chunks."""
+        """``work`` on every piece of a key's rows beside the key's row of ``table``, which has ``_parts`` pieces."""
         parts = table.select(*self.keys, "_parts")
         salted = _meet(rows, parts, self.keys).withColumn("_salt", _chunk("_parts")).drop("_parts")
         copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
@@ -131,23 +146,22 @@ class PivotIndex:
         return salted.groupBy(*group).cogroup(copies.groupBy(*group)).applyInArrow(work, schema)
 
     def _routed(self, asked: DataFrame, table: DataFrame, k: int, bounded: bool) -> DataFrame:
-        """(keys, _id, _v, _cell, _part): one row for each part of each cell that a query visits.
+        """``asked`` (keys, _id, _v, _bound) with _cell and _part: one row for each part of each cell that a query visits.
 
-        First the nearest cells that hold ``k`` rows; with ``bounded``, all other cells that may hold a row within ``_bound``.
+        Without ``bounded`` the nearest cells that hold ``k`` rows, else all cells that may hold a row within ``_bound``.
         """
-        fields = [f for f in asked.schema.fields if f.name != "_bound"]
-        schema = T.StructType([*fields, T.StructField("_cell", T.IntegerType()), T.StructField("_part", T.IntegerType())])
-        schema_, names = to_arrow_schema(schema), [f.name for f in fields]
+        schema = T.StructType([*asked.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_part", T.IntegerType())])
+        schema_, names = to_arrow_schema(schema), asked.columns
 
         def route(rows: pa.Table, beside_: pa.Table) -> pa.Table:
             if not rows.num_rows or not beside_.num_rows:
                 return schema_.empty_table()
             atlas = Atlas(beside_.to_pylist()[0])
             gap = _gaps(_matrix(rows.column("_v")), atlas.pivots)
-            visit = atlas.home(gap, k)
             if bounded:
-                bound = rows.column("_bound").to_numpy()
-                visit = ~visit & (atlas.count > 0) & (atlas.least(gap) <= bound[:, None])
+                visit = (atlas.count > 0) & (atlas.least(gap) <= rows.column("_bound").to_numpy()[:, None])
+            else:
+                visit = atlas.home(gap, k)
             row, cell = np.nonzero(visit)
             times = atlas.parts[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
@@ -160,7 +174,7 @@ class PivotIndex:
     def _visited(self, routed: DataFrame, k: int, same: bool) -> DataFrame:
         """(keys, query, neighbour, distance): the k best of every part that a query visits.
 
-        The queries of a part are cut into chunks as well, and a task measures one chunk against one part.
+        The queries of a part are cut into pieces as well, and a task measures one piece against one part, tile by tile.
         """
         ids = T.StructType([
             *[routed.schema[c] for c in self.keys], T.StructField("query", self.id_type), T.StructField("neighbour", self.id_type),
@@ -172,61 +186,71 @@ class PivotIndex:
             if not asked.num_rows or not held.num_rows:
                 return schema_.empty_table()
             x, y = _matrix(asked.column("_v")), _matrix(held.column("_v"))
-            names = held.column("_id").combine_chunks()
+            bound = asked.column("_bound").to_numpy()
+            names, own = held.column("_id").combine_chunks(), asked.column("_id").combine_chunks()
             order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
             y, names = y[order], names.take(pa.array(order))
-            rough = _gaps(x, y)
+            mine, theirs = own.to_numpy(zero_copy_only=False), names.to_numpy(zero_copy_only=False)
             take = min(k + (0 if same else 1), len(y))
-            last = np.partition(rough, take - 1, axis=1)[:, take - 1 : take]
             # a matrix product only orders roughly: whatever may be among the best is measured exactly
-            size = np.sqrt(np.maximum((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max()))
-            q, c = np.nonzero(rough <= last + 1e-6 * (1.0 + size))
-            gap = np.sqrt(((x[q] - y[c]) ** 2).sum(axis=1))
-            own = asked.column("_id").combine_chunks()
-            if not same:
-                differ = own.to_numpy(zero_copy_only=False)[q] != names.to_numpy(zero_copy_only=False)[c]
-                q, c, gap = q[differ], c[differ], gap[differ]
-            by = np.lexsort((c, gap, q))
-            q, c, gap = q[by], c[by], gap[by]
-            first = np.searchsorted(q, q)
-            kept = np.arange(len(q)) - first < k
-            q, c, gap = q[kept], c[kept], gap[kept]
+            slack = 1e-6 * (1.0 + np.sqrt(np.maximum((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max())))
+            found = []
+            step = max(TILE // len(y), 1)
+            for begin in range(0, len(x), step):
+                rough = _gaps(x[begin : begin + step], y)
+                last = bound[begin : begin + step]
+                if not np.isfinite(last).all() or (np.count_nonzero(rough <= last[:, None] + slack) > 4 * take * len(rough)):
+                    last = np.minimum(last, np.partition(rough, take - 1, axis=1)[:, take - 1])
+                q, c = np.nonzero(rough <= last[:, None] + slack)
+                gap = np.empty(len(q))
+                for i in range(0, len(q), EXACT):
+                    j = slice(i, i + EXACT)
+                    gap[j] = np.sqrt(((x[q[j] + begin] - y[c[j]]) ** 2).sum(axis=1))
+                q = q + begin
+                if not same:
+                    differ = mine[q] != theirs[c]
+                    q, c, gap = q[differ], c[differ], gap[differ]
+                by = np.lexsort((c, gap, q))
+                q, c, gap = q[by], c[by], gap[by]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                found.append((q[kept], c[kept], gap[kept]))
+            q, c, gap = (np.concatenate(columns) for columns in zip(*found))
             parts = [asked.column(n).combine_chunks().take(pa.array(q)) for n in keys]
             return pa.Table.from_arrays([*parts, own.take(pa.array(q)), names.take(pa.array(c)), pa.array(gap)], schema=schema_)
 
         at = [*self.keys, "_cell", "_part"]
-        load = stored(routed.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / F.lit(self.chunk)).cast("int").alias("_times")))
+        load = stored(pieces(routed, at, self.chunk, "_times").drop("_n"))
         asked = join_small(routed, load, at, ready=True).withColumn("_slice", _chunk("_times")).drop("_times")
         held = join_small(self.placed, self.cells, [*self.keys, "_cell"], ready=True).withColumn("_part", _chunk("_parts"))
         held = join_small(held.select(*at, "_id", "_v"), load, at, ready=True).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
         group = [*at, "_slice"]
-        return asked.select(*group, "_id", "_v").groupBy(*group).cogroup(
+        return asked.select(*group, "_id", "_v", "_bound").groupBy(*group).cogroup(
             held.select(*group, "_id", "_v").groupBy(*group)).applyInArrow(best, ids)
 
     def nearest(self, queries: DataFrame, k: int, vector: str, ident: str, same: bool = True) -> DataFrame:
         """(keys, query, neighbour, distance, rank) of the k nearest rows; ties go to the smaller identity.
 
-        Queries first visit the nearest cells that hold k rows. The k-th distance found there bounds what may be nearer, and they go
-        on only to the cells that reach below it. ``self.visits`` keeps the rows sent, tables of (keys, _id, _v, _cell, _part).
+        Queries first visit the nearest cells that hold k rows. The k-th distance found there bounds what may be nearer, and they
+        visit the cells that reach below it. ``self.visits`` tells the rows sent, as (keys, _id, _v, _bound, _cell, _part).
         """
-        asked = self._side(queries, vector, ident)
+        asked = self._side(queries, vector, ident).withColumn("_bound", F.lit(float("inf")))
         wanted = k if same else k + 1
-        sizes = asked.groupBy(*self.keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(self.chunk)).cast("int").alias("_parts"))
+        sizes = pieces(asked, self.keys, self.chunk, "_parts").drop("_n")
         table = stored(self.atlas.join(sizes, self.keys) if self.keys else beside(self.atlas, sizes))
-        first = stored(self._routed(asked, table, wanted, False))
+        # vectors travel with their visits and are not stored with them: the routes are worked out again for every pass
+        first = self._routed(asked, table, wanted, False)
         found = self._visited(first, k, same)
         self.visits = (first,)
         if self.cells.count() > self.atlas.count():  # else every key is one cell, which its queries have seen
-            found = stored(found)
-            bound = found.groupBy(*self.keys, F.col("query").alias("_id")).agg(
-                F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("_bound"))
-            left = asked.join(bound, [*self.keys, "_id"], "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
-            later = stored(self._routed(left, table, wanted, True))
+            bound = stored(found.groupBy(*self.keys, F.col("query").alias("_id")).agg(
+                F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("_bound")))
+            left = asked.drop("_bound").join(bound, [*self.keys, "_id"], "left").withColumn(
+                "_bound", F.coalesce("_bound", F.lit(float("inf")))).select(*asked.columns)
+            later = self._routed(left, table, wanted, True)
             self.visits = (first, later)
-            found = found.unionByName(self._visited(later, k, same))
-        every = found.dropDuplicates([*self.keys, "query", "neighbour"])
+            found = self._visited(later, k, same)
         order = Window.partitionBy(*self.keys, "query").orderBy("distance", "neighbour")
-        return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(

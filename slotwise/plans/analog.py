@@ -83,7 +83,7 @@ def analog_forecast(
     pool = stored(patterns.where(complete).join(starts, list(keys)).where(F.col("pos") + far <= F.col("_end")).drop("_end"))
     asked = stored(patterns.join(origins, [*keys, "pos"]))
     group = [*keys, "fold"]
-    near = nearest(asked, pool, group, k, chunk=chunk)
+    near = stored(nearest(asked, pool, group, k, chunk=chunk))
     middle = near.groupBy(*group, "query").agg(F.greatest(F.expr("percentile(distance, 0.5D)"), F.lit(1e-6)).alias("_mid"))
     weighted = near.join(middle, [*group, "query"]).withColumn("_w", F.exp(-F.col("distance") / F.col("_mid")))
     told = pool.select(*group, F.col("pos").alias("neighbour"), F.col("scale").alias("_ns"), F.col("level").alias("_nl"), "future")

@@ -149,3 +149,20 @@ def test_pivot_index_is_exact_and_spares_visits(spark):
     assert sent < chunks / 4  # a plan without an index sends every query to every chunk
     assert index.nearest(table.limit(0), 4, "v", "id").count() == 0
     assert PivotIndex(table.limit(0), ["g"], "v", "id").nearest(table, 4, "v", "id").count() == 0
+
+
+def test_pivot_index_sends_a_query_a_fixed_number_of_times(spark):
+    # vectors without clusters: a query has to see all pieces, but not one for every 20 rows
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(3000, 24)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, v array<float>")
+    index = PivotIndex(table, [], "v", "id", chunk=20)
+    asked = table.where("id % 50 = 0")
+    got = {(r["query"], r["rank"]): r.neighbour for r in index.nearest(asked, 3, "v", "id", same=False).collect()}
+    exact = points.astype(float)
+    for i in range(0, 3000, 50):
+        gap = np.sqrt(((exact - exact[i]) ** 2).sum(axis=1))
+        gap[i] = np.inf
+        assert [got[i, k] for k in (1, 2, 3)] == np.argsort(gap, kind="stable")[:3].tolist()
+    sent = sum(v.count() for v in index.visits) / 60
+    assert sent < 60  # 150 chunks of 20 rows
