@@ -18,7 +18,7 @@ from slotwise.operators.clean import CleanRule, clean
 from slotwise.operators.grid import widen
 from slotwise.operators.order_stats import INTERPOLATIONS, exact_quantiles
 from slotwise.plans.contracts import input_frame_rules
-from slotwise.session import cut_lineage
+from slotwise.session import cut_lineage, stored
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
 
@@ -30,41 +30,55 @@ def cells(matrix: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ser
     return matrix.select(*keys, F.explode(pairs).alias("_c")).select(*keys, "_c.column", "_c.value")
 
 
-def profile(matrix: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
-    """Per column: rows, non-finite, distinct, quartiles, median, mean, population spread."""
-    long = cells(matrix, columns, keys)
-    plain = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nonfinite"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
-    distinct = long.where("value IS NOT NULL").groupBy("column", "value").count().groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_values"))
-    quartiles = exact_quantiles(long, ["column"], F.col("value"), {**QUARTILES, "median": 0.5}).drop("n")
-    return plain.join(distinct, "column", "left").join(quartiles, "column", "left").withColumn(
-        "distinct_values", F.coalesce("distinct_values", F.lit(0)))
+def tallies(matrix: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
+    """(column, value, _n): how often each value occurs, null for missing cells; stored, so that the cells are made once."""
+    return stored(cells(matrix, columns, keys).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def spreads(tally: DataFrame) -> DataFrame:
+    """(column, mean, std) of the finite values, population spread, in two passes over the tallies."""
+    rows = tally.where("value IS NOT NULL")
+    means = stored(rows.groupBy("column").agg((F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("mean")))
+    off = F.col("value") - F.col("mean")
+    return join_small(rows, means, ["column"], ready=True).groupBy("column").agg(
+        F.first("mean").alias("mean"), F.sqrt(F.sum(off * off * F.col("_n")) / F.sum("_n")).alias("std"))
+
+
+def profile(matrix: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id", "pos"), tally: DataFrame | None = None) -> DataFrame:
+    """Per column: rows, non-finite, distinct, quartiles, median, mean, population spread. ``tally``: its ``tallies``, if they are there."""
+    tally = tallies(matrix, columns, keys) if tally is None else tally
+    plain = tally.groupBy("column").agg(
+        F.sum("_n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("_n")).otherwise(0)).alias("nonfinite"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("distinct_values"))
+    quartiles = exact_quantiles(
+        tally, ["column"], F.col("value"), {**QUARTILES, "median": 0.5}, mass=F.col("_n")).drop("n")
+    return plain.join(spreads(tally), "column", "left").join(quartiles, "column", "left").select(
+        "column", "rows", "nonfinite", "mean", "std", "low", "high", "distinct_values", *[c for c in quartiles.columns if c != "column"])
 
 
 def outlier_counts(
     matrix: DataFrame, columns: Sequence[str], multiplier: float = 1.5, zscore: float | None = 3.0,
-    interpolations: Sequence[str] = INTERPOLATIONS, keys: Sequence[str] = ("series_id", "pos"),
+    interpolations: Sequence[str] = INTERPOLATIONS, keys: Sequence[str] = ("series_id", "pos"), tally: DataFrame | None = None,
 ) -> DataFrame:
     """Per column: cells outside the IQR fence under every interpolation, under any of them, and by z-score."""
     if multiplier <= 0 or (zscore is not None and zscore <= 0):
         raise ValueError("outlier limits must be positive")
-    long = cells(matrix, columns, keys).where("value IS NOT NULL")
-    bounds = exact_quantiles(long, ["column"], F.col("value"), QUARTILES, interpolations).drop("n")
-    spread = long.groupBy("column").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    rows = join_small(long, bounds.join(spread, "column"), ["column"])
+    tally = tallies(matrix, columns, keys) if tally is None else tally
+    bounds = exact_quantiles(tally, ["column"], F.col("value"), QUARTILES, interpolations, mass=F.col("_n")).drop("n")
+    spread = spreads(tally).withColumnsRenamed({"mean": "_m", "std": "_s"})
+    rows = join_small(tally.where("value IS NOT NULL"), bounds.join(spread, "column"), ["column"])
+    count = lambda hit: F.sum(F.when(hit, F.col("_n")).otherwise(0))
     outside, counts = F.lit(False), []
     for name in interpolations:
         suffix = "" if len(interpolations) == 1 else f"_{name}"
         q1, q3 = F.col(f"q1{suffix}"), F.col(f"q3{suffix}")
         hit = (F.col("value") < q1 - multiplier * (q3 - q1)) | (F.col("value") > q3 + multiplier * (q3 - q1))
-        counts.append(F.count_if(hit).alias(f"iqr_{name}"))
+        counts.append(count(hit).alias(f"iqr_{name}"))
         outside = outside | hit
-    counts.append(F.count_if(outside).alias("iqr_any"))
+    counts.append(count(outside).alias("iqr_any"))
     if zscore is not None:
         far = (F.col("_s") > 0) & (F.abs(F.col("value") - F.col("_m")) > zscore * F.col("_s"))
-        counts.append(F.count_if(far).alias("zscore"))
+        counts.append(count(far).alias("zscore"))
     return rows.groupBy("column").agg(*counts)
 
 
@@ -101,8 +115,9 @@ def duplicate_columns(matrix: DataFrame, columns: Sequence[str], keys: Sequence[
 def quality_report(matrix: DataFrame, columns: Sequence[str], multiplier: float = 1.5, zscore: float | None = 3.0,
                    interpolations: Sequence[str] = INTERPOLATIONS, keys: Sequence[str] = ("series_id", "pos")) -> DataFrame:
     """Profile, outlier counts and the duplicate mark of every column in one table."""
-    facts = profile(matrix, columns, keys)
-    counts = outlier_counts(matrix, columns, multiplier, zscore, interpolations, keys)
+    tally = tallies(matrix, columns, keys)
+    facts = profile(matrix, columns, keys, tally)
+    counts = outlier_counts(matrix, columns, multiplier, zscore, interpolations, keys, tally)
     copies = dict(duplicate_columns(matrix, columns, keys))
     mark = F.coalesce(*[F.when(F.col("column") == c, F.lit(o)) for c, o in copies.items()], F.lit(None).cast("string"))
     return facts.join(counts, "column", "left").withColumns({

@@ -122,6 +122,25 @@ def test_relations_and_multivariate_copies(leaky):
         [least_squares(twin, ["series_id"], ["a"], "sum").first()["coefficients"][0] / 2] * 2)
 
 
+def test_quality_report_makes_the_cells_once(spark):
+    # keys and values pass an accumulator each time the matrix is read
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, float(i % 7)) for i in range(200)]
+
+    def mark(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    matrix = spark.createDataFrame(rows, "pos long, a double").mapInArrow(mark, "pos long, a double").withColumns(
+        {"b": F.col("a") + 0, "flat": F.lit(2.0)})
+    out = {r["column"]: r for r in quality_report(matrix, ["a", "b", "flat"], keys=["pos"]).collect()}
+    a = np.array([v for _, v in rows])
+    assert out["a"]["mean"] == pytest.approx(a.mean()) and out["a"]["std"] == pytest.approx(a.std()) and out["a"]["rows"] == 200
+    assert out["b"]["duplicate_of"] == "a" and out["flat"]["constant"] and out["a"]["iqr_any"] == out["flat"]["zscore"] == 0
+    assert seen.value <= 3 * 200  # tallies, fingerprints, and the comparison of equal ones
+
+
 def test_multivariate_split_is_exact(spark):
     # 90 * 0.7 is 62.99999999999999 in doubles; the exact share trains on 63 rows and judges 27
     a = np.random.default_rng(4).normal(size=(90, 2))
