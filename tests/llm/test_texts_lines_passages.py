@@ -1,12 +1,13 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
-from slotwise.llm.passages import Chaining, _farthest, best_chains, common_words, reach, repeats
+from slotwise.llm.passages import Chaining, _farthest, _ordered, _single, _told, best_chains, common_words, reach, repeats, spans
 from slotwise.llm.shelf import Shelf
 
 
@@ -185,3 +186,61 @@ def test_passages_around_single_anchors(spark):
     wide = {r["doc_id"]: r["passages"] for r in repeats(docs, Chaining(near=64)).collect()}
     found = {r["doc_id"]: r["passages"] for r in repeats(docs).collect()}
     assert found == wide and sum(bool(v) for v in found.values()) > 10
+
+
+def test_chains_of_one_anchor_are_aligned_at_once():
+    """For a whole batch of chains: the passages that ``spans`` gives one by one. Another text with the doc_id gives none."""
+    p, rng, rows, want = Chaining(), np.random.default_rng(3), [], []
+    for k in range(400):
+        a = rng.integers(0, 1 << 31, rng.integers(5, 200)).astype(np.int32)
+        n = int(rng.integers(1, min(len(a) - 4, 60) + 1))
+        x, before, after = int(rng.integers(0, len(a) - 3 - n)), int(rng.integers(0, 90)), int(rng.integers(0, 90))
+        size = n - 1 + p.seed
+        b = rng.integers(0, 1 << 31, before + size + after).astype(np.int32)
+        for i in range(len(b)):
+            if 0 <= x + i - before < len(a) and (before <= i < before + size or rng.random() < (0.3, 0.8, 0.95)[k % 3]):
+                b[i] = a[x + i - before]
+        x0, y0 = max(x - p.pad, 0), max(before - p.pad, 0)
+        a, b = a[x0 : x + size + p.pad], b[y0 : before + size + p.pad]
+        inner = a[x - x0 : x - x0 + size]
+        edges = np.concatenate([a[: x - x0], a[x - x0 + size :]])
+        check = zlib.crc32(inner.tobytes()) + (k % 7 == 0)
+        rows.append((k, 1000 + k, [x], [before], [n], x0, edges.tobytes(), check, y0, b.tobytes()))
+        if k % 7:
+            want += [(k, 1000 + k, u + x0, v + x0, s + y0, t + y0, m) for u, v, s, t, m in spans([x - x0], [before - y0], [n], a, b, p)]
+    lists = pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.int64(), lists, lists, lists, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc", "src", "x", "y", "n", "x0", "edges", "check", "y0", "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(zip(*rows), kinds)], names)
+    got = [tuple(r.values()) for r in _single(batch, p).to_pylist()]
+    assert got == want and 50 < len(want) < 340
+    assert _single(batch.slice(0, 0), p).num_rows == 0
+
+
+def test_orders_subsequences_and_told_passages_against_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 1000):
+        wide = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        near = rng.integers(0, 9, n).astype(np.uint64)  # different values with the same high bits
+        for values in (wide, near, wide[rng.integers(0, max(n // 3, 1), n)] if n else wide):
+            assert np.array_equal(_ordered(values), np.argsort(values, kind="stable"))
+    for _ in range(200):
+        a, b = (rng.integers(0, 6, rng.integers(0, 30)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for u in a:
+            row = _next(row, b, u)
+        assert common_words(a, b) == row[-1]
+    rows = np.sort(rng.integers(0, 20, 400))
+    begin = rng.integers(0, 60, 400)
+    end, src, start, matched = begin + rng.integers(40, 60, 400), rng.integers(0, 5, 400), rng.integers(0, 9, 400), rng.integers(30, 60, 400)
+    key = lambda i: (src[i], begin[i] - end[i], -matched[i], begin[i], start[i], i)
+    inside = lambda i, j: rows[i] == rows[j] and begin[j] <= begin[i] and end[i] <= end[j]
+    left = {i for i in range(400) if not any(inside(i, j) and key(j) < key(i) for j in range(400))}
+    assert set(_told(rows, begin, end, src, start, matched).tolist()) == left
+
+
+def _next(row, b, word):
+    out = [0]
+    for k, other in enumerate(b):
+        out.append(max(row[k] + 1 if other == word else 0, row[k + 1], out[k]))
+    return out
