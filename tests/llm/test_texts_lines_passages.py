@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
-from slotwise.llm.passages import Chaining, _farthest, _ordered, _single, _told, best_chains, common_words, reach, repeats, spans
+from slotwise.llm.passages import Chaining, _farthest, _ordered, _partners, _single, _told, best_chains, common_words, reach, repeats, spans
 from slotwise.llm.shelf import Shelf
 
 
@@ -124,6 +124,53 @@ def test_passages_pieced_together_from_earlier_documents(spark):
         assert places <= {i for s in got[k].passages for i in range(s.begin, s.end)}
 
 
+def test_edited_passages_whose_pieces_stand_in_other_documents(spark):
+    """No seed of the passage has its first or previous place in the source; copies of a crowd of near copies add no sources."""
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    plain = words(64)
+    edited = [w if i % 8 else f"e{i}" for i, w in enumerate(plain)]
+    pieces = [plain[i + 1 : i + 8] for i in range(0, 64, 8)]
+    docs = {100: words(9) + plain + words(9), 300: words(12) + edited + words(7)}
+    for i, piece in enumerate(pieces):
+        docs |= {1 + i: words(20) + piece + words(20), 200 + i: words(15) + piece + words(20)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats(df).collect()}
+    assert {k: r.sources for k, r in got.items() if r.sources} == {300: [100]} and got[300].n_repeated == 63
+
+
+def test_pairs_of_crowded_seeds_against_brute_force():
+    """Passages around one seed, from all pairs of places: for every pair its own, or one as wide from an earlier document."""
+    p, rng, n = Chaining(), np.random.default_rng(7), 160
+    wide, x = 2 * p.pad + p.seed, rng.integers(0, 90, 160)
+    room, doc = rng.integers(0, p.pad + 1, n), rng.integers(0, 120, n)
+    plain = rng.integers(1, 1 << 31, (3, wide)).astype(np.uint32)
+    kind, share = rng.integers(0, 3, n), rng.choice([0.5, 0.8, 0.9, 1.0], (n, 1))
+    words = np.where(rng.random((n, wide)) < share, plain[kind], rng.integers(1, 1 << 31, (n, wide)).astype(np.uint32)).astype(np.uint32)
+    words[:, p.pad : p.pad + p.seed] = plain[0, p.pad : p.pad + p.seed]
+    ahead = np.arange(-p.pad, p.seed + p.pad)
+    words[(ahead < -x[:, None]) | (ahead >= p.seed + room[:, None])] = 0
+    got = {}
+    for part in _partners(np.zeros(n, np.uint64), doc, x, room, words, p):
+        for i, j, left, right, matched in zip(*[v.tolist() for v in part]):
+            assert doc[j] < doc[i]
+            got.setdefault(i, []).append((doc[j], left, right))
+    pairs = 0
+    for i in range(n):
+        for j in range(n):
+            a, b = words[i].view(np.int32), words[j].view(np.int32)
+            before, after = min(x[i], x[j], p.pad), min(room[i], room[j])
+            if doc[j] >= doc[i] or before and a[p.pad - 1] == b[p.pad - 1]:
+                continue
+            left, more = reach(a[p.pad - before : p.pad][::-1], b[p.pad - before : p.pad][::-1], p.drop)
+            right, also = reach(a[p.pad + p.seed :][:after], b[p.pad + p.seed :][:after], p.drop)
+            length = left + p.seed + right
+            if length >= p.least and more + p.seed + also >= p.same * length:
+                pairs += 1
+                assert any(d <= doc[j] and u >= left and v >= right for d, u, v in got.get(i, [])), (i, j)
+    assert pairs > 100
+
+
 def test_repeated_rows_are_one_document_in_line_runs(spark, monkeypatch):
     tables, put = [], Shelf.put
     monkeypatch.setattr(Shelf, "put", lambda self, df: tables.append(put(self, df)) or tables[-1])
