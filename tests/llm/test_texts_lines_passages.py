@@ -4,7 +4,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from slotwise.llm import passages
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
 from slotwise.llm.passages import Chaining, _farthest, _ordered, _partners, _single, _told, best_chains, common_words, reach, repeats, spans
@@ -171,6 +173,34 @@ def test_pairs_of_crowded_seeds_against_brute_force():
     assert pairs > 100
 
 
+@pytest.mark.parametrize("few", [0, 4, 20])
+def test_keyed_pairs_against_brute_force(monkeypatch, few):
+    monkeypatch.setattr(passages, "FEW", few)
+    test_pairs_of_crowded_seeds_against_brute_force()
+
+
+def test_a_line_in_many_documents_is_not_paired_with_itself(monkeypatch):
+    """One line of 17 words with other words around, in 3000 documents, and one passage of 90 words, a tenth edited, in four of them:
+    the passages are those of all pairs, of which few are looked at."""
+    p, rng, n = Chaining(), np.random.default_rng(3), 3000
+    wide = 2 * p.pad + p.seed
+    words = rng.integers(1, 1 << 31, (n, wide)).astype(np.uint32)
+    words[:, p.pad : p.pad + 17] = words[0, p.pad : p.pad + 17]
+    for i in (700, 1500, 2999):
+        same = rng.random(wide) < 0.9
+        words[i, same] = words[20, same]
+        words[i, p.pad : p.pad + 17] = words[20, p.pad : p.pad + 17]
+        words[i, p.pad - 1] = i
+    name, doc, x, room = np.zeros(n, np.uint64), np.arange(n), np.full(n, p.pad), np.full(n, p.pad)
+    found = lambda: {(int(a), int(b)) for i, j, *_ in _partners(name, doc, x, room, words, p) for a, b in zip(i, j)}
+    got = found()
+    monkeypatch.setattr(passages, "FEW", n)
+    assert got == found() and {(700, 20), (1500, 20), (2999, 20)} <= got <= {(a, b) for a in (700, 1500, 2999) for b in (20, 700, 1500)}
+    monkeypatch.undo()
+    judged = sum(len(i) for i, _ in passages._possible(name, x, room, words, p, doc))
+    assert judged < 20 * n
+
+
 def test_repeated_rows_are_one_document_in_line_runs(spark, monkeypatch):
     tables, put = [], Shelf.put
     monkeypatch.setattr(Shelf, "put", lambda self, df: tables.append(put(self, df)) or tables[-1])
