@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.operators.availability import FieldRule, FieldUse, judge, registry_table, rules_from, select_allowed, usage_table
-from slotwise.operators.correlate import lag_moments, least_squares
+from slotwise.operators.correlate import lag_moments, least_squares, least_squares_direct
 from slotwise.plans.analog import analog_forecast, nearest, trajectory_patterns
-from slotwise.plans.audit import Relation, copies, delay_pairs, linear_relation, multivariate_fit, segment_statistics, setpoints, suspicious_names
+from slotwise.plans.audit import Relation, combinations, copies, delay_pairs, linear_relation, multivariate_fit, segment_statistics, setpoints, suspicious_names
 from slotwise.plans.compensation import Setting, compensate, setting_grid
 from slotwise.plans.dispatch import Unit, audit_plan, input_rules, plan_figures, shortage_verdict
 from slotwise.plans.learned import feature_frame, fit, fit_load_map, mixup, nonnegative_fit, ridge, training_set
@@ -148,6 +148,40 @@ def test_multivariate_split_is_exact(spark):
     assert (out["rows"], out["test_rows"]) == (90, 27)
 
 
+def test_multivariate_fit_is_the_direct_one(spark):
+    rng = np.random.default_rng(5)
+    large, small = 90_000 + 9_000 * rng.normal(size=200), 0.05 + 0.002 * rng.normal(size=200)
+    tiny = 1e-5 * rng.normal(size=200)
+    y = 2 * large + 1e9 * tiny + 3e4 * small
+    x = np.column_stack([large, tiny, small])
+    out = combinations(multivariate_fit(frame(spark, a=x[:, 0], b=x[:, 1], c=x[:, 2], y=y), ["a", "b", "c"], "y")).first()
+    want = np.linalg.lstsq(np.column_stack([np.ones(140), x[:140]]), y[:140], rcond=None)[0]
+    assert out["coefficients"] == pytest.approx(want[1:].tolist(), rel=1e-6) and out["r2"] == pytest.approx(1.0)
+    assert (out["candidate"], out["kind"], out["risk"]) == (True, "multivariate_linear_combination", "amber")
+    # equal fields: the minimum-norm solution has the intercept in its norm; values that are not finite don't count
+    twin = np.append(1 + rng.normal(size=200), [np.nan, np.inf, 1.0])
+    z = np.append(rng.normal(size=200) + 5, [1.0, 1.0, -np.inf])
+    out = combinations(multivariate_fit(frame(spark, a=twin, b=twin, y=z), ["a", "b"], "y")).first()
+    want = np.linalg.lstsq(np.column_stack([np.ones(140), twin[:140], twin[:140]]), z[:140], rcond=None)[0]
+    assert out["rows"] == 200 and [out["intercept"], *out["coefficients"]] == pytest.approx(want.tolist(), rel=1e-6)
+    assert (out["candidate"], out["kind"], out["risk"]) == (False, None, None)
+
+
+def test_direct_least_squares_of_many_groups_and_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if g == 2 else g, *rng.normal(size=2).tolist()) for g in range(7) for _ in range(3000)]
+    rows = [(g, a, b, a - 2 * b + (g or 0)) for g, a, b in rows]
+    made = spark.createDataFrame(rows, "g long, a double, b double, y double").repartition(6)
+    out = {r["g"]: r for r in least_squares_direct(made, ["g"], ["a", "b"], "y").collect()}
+    assert set(out) == {0, 1, None, 3, 4, 5, 6} and all(r["n"] == 3000 for r in out.values())
+    for g, r in out.items():
+        assert [r["intercept"], *r["coefficients"]] == pytest.approx([g or 0, 1.0, -2.0], abs=1e-9)
+    whole = least_squares_direct(made, [], ["a", "b"], "y").first()
+    x = np.array([(1.0, a, b) for _, a, b, _ in rows])
+    assert whole["n"] == 21000 and [whole["intercept"], *whole["coefficients"]] == pytest.approx(
+        np.linalg.lstsq(x, np.array([r[3] for r in rows]), rcond=None)[0].tolist())
+
+
 def test_segments_setpoints_names(spark, long_grid):
     grid = long_grid({"x": [5, 5, 5, 7, 7, 9]})
     s = segment_statistics(grid, 0.05).first()
