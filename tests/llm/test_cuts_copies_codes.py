@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm.byte_runs import without_copies
+from slotwise.llm.byte_runs import _dealt, whole_copies, without_copies
 from slotwise.llm.fill_middle import classes, cuts, fill_middle, restored
+from slotwise.llm.line_runs import _document
+from slotwise.llm.shelf import Shelf
 from slotwise.llm.suffixes import Windows, common_prefixes, merge, suffix_array
 from slotwise.llm.vector_codes import NearestEntry, decode, encode, fit
 from slotwise.llm.wavelet_matrix import WaveletMatrix
@@ -194,3 +196,23 @@ def test_codes_equal_plain_k_means(spark):
     assert fit(table.where("vec_id < 5")).entries.shape == (16, 5, 2)
     with pytest.raises(OverflowError):
         fit(spark.createDataFrame([(1, [1e30] * 16)], "vec_id long, embedding array<double>"))
+
+
+def test_suffix_arrays_only_of_names_with_several_stretches():
+    # a name's only stretch needs none; sets hold whole names, so they need no merging among each other
+    names, sizes = np.array([7, 3, 7, 9, 3, 5, 7, 8, 8]), np.array([60, 60, 70, 60, 90, 60, 80, 400, 300])
+    alone, sets = _dealt(names, sizes, 250)
+    assert sorted(alone.tolist()) == [3, 5]
+    assert [sorted(i for part in one for i in part.tolist()) for one in sets] == [[1, 4], [0, 2, 6], [7, 8]]
+    assert [len(one) for one in sets] == [1, 1, 3]
+    assert [len(v) for v in _dealt(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_later_copies_of_whole_texts(spark):
+    text, other = "".join(chr(97 + i * i % 23) for i in range(400)), "é" * 40
+    rows = [(5, text), (3, text), (3, text), (9, text), (None, other), (4, other), (2, "y" * 50), (8, "k" + text[:399])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    copies = whole_copies(docs.select(*_document(), "text"), Shelf(spark))
+    assert sorted((r.doc, r.n) for r in copies.collect()) == [(4, 80), (5, 400), (9, 400)]
+    have = [(r.doc_id, r.text, r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in without_copies(docs).collect()]
+    assert sorted(have, key=str) == sorted(_brute(rows, 50), key=str)
