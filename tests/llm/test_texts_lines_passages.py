@@ -9,7 +9,9 @@ import pytest
 from slotwise.llm import passages
 from slotwise.llm import texts as X
 from slotwise.llm.line_runs import drop_repeats, without_repeats
-from slotwise.llm.passages import Chaining, _farthest, _ordered, _partners, _single, _told, best_chains, common_words, reach, repeats, spans
+from slotwise.llm.passages import (
+    SPAN, Chaining, _farthest, _ordered, _partners, _single, _told, _values_at, best_chains, common_words, reach, repeats, spans, told,
+)
 from slotwise.llm.shelf import Shelf
 
 
@@ -321,3 +323,29 @@ def _next(row, b, word):
     for k, other in enumerate(b):
         out.append(max(row[k] + 1 if other == word else 0, row[k + 1], out[k]))
     return out
+
+
+def test_told_takes_spans_in_many_batches_and_seeds_have_the_same_values(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(3000):
+        begin, n, src = rng.randrange(400), rng.randint(40, 60), rng.randrange(4)
+        rows.append((rng.choice([5, 5, 5, 6, 7, 900, -1]), src, begin, begin + n, begin + 1, begin + 1 + n, n - 2))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        have = {r.doc: [tuple(q) for q in r.passages] for r in told(spark.createDataFrame(rows + rows[:90], SPAN).repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want = {}
+    for doc in {r[0] for r in rows}:
+        own = sorted({(b, e, src, sb, se, m) for d, src, b, e, sb, se, m in rows if d == doc})
+        at = [np.array([r[i] for r in own]) for i in range(6)]
+        kept = _told(np.zeros(len(own), np.int64), at[0], at[1], at[2], at[3], at[5])
+        want[doc] = [own[i] for i in sorted(kept.tolist())]
+    assert have == want
+    words = np.random.default_rng(3).integers(0, 1 << 32, 50, dtype=np.uint64).astype(np.uint32)
+    starts = np.array([0, 5, 30, 50])
+    whole = X.shingles(X.mix(words.astype(np.uint64)), starts, 5)[0]
+    first = np.concatenate([np.arange(a, b - 4) for a, b in zip(starts[:-1], starts[1:])])
+    assert (_values_at(words, first, Chaining()) == whole).all()
